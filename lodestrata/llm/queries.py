@@ -19,8 +19,29 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return similar_pairs(links, members).select(F.col("a").alias("row_id_a"), F.col("b").alias("row_id_b"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    from lodestrata.llm.curves import nearest_vectors
+
+    near = nearest_vectors(_table(spark, folder, "chunk_vectors"), "vec_id", "embedding", k=10)
+    close = near.filter(F.col("similarity") >= 0.9)
+    return close.select(F.least("id", "neighbour").alias("vec_id_a"), F.greatest("id", "neighbour").alias("vec_id_b")).distinct()
+
+
+def p6_pack(spark: SparkSession, folder: str) -> DataFrame:
+    from lodestrata.llm.packing import pack
+
+    return pack(_table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    from lodestrata.llm.automaton import leaks
+
+    found = leaks(_table(spark, folder, "documents"), "doc_id", "text", _table(spark, folder, "eval_items"), "item_id", "passage", with_text=False)
+    return found.select("doc_id", F.explode("leaks.item_id").alias("item_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p6_pack": p6_pack, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
