@@ -12,6 +12,13 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    from lodestrata.llm.pairs import defective_pairs
+
+    results = _table(spark, folder, "faithfulness_results")
+    return defective_pairs(results, "result_id", "query", "final_text", "expected_not_found").withColumnRenamed("id", "result_id")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     from lodestrata.llm.covering import near_duplicates, similar_pairs
 
@@ -41,7 +48,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p6_pack": p6_pack, "p7_found": p7_found}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_pack": p6_pack, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
