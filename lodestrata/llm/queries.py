@@ -47,8 +47,19 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks.item_id").alias("item_id"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    from lodestrata.llm.kernel_language import document_languages
+
+    found = document_languages(_table(spark, folder, "documents"), "doc_id", "text", "lang").filter(F.col("lang").isNotNull())
+    wrong = F.when(~F.col("lang").eqNullSafe(F.col("label_lang")), F.array(F.struct(F.lit(0).alias("line_no"), F.col("lang").alias("lang"))))
+    mixed = F.when(F.size("segments") > 1, F.transform("segments", lambda s: F.struct(s["line_no"].alias("line_no"), s["lang"].alias("lang"))))
+    none = F.array().cast("array<struct<line_no: int, lang: string>>")
+    cases = F.concat(F.coalesce(wrong, none), F.coalesce(mixed, none))
+    return found.select("doc_id", F.explode(cases).alias("c")).select("doc_id", "c.line_no", "c.lang")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_pack": p6_pack, "p7_found": p7_found}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_pack": p6_pack, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
