@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lodestrata.session import checkpointed
 
 ENTRY = np.dtype([("id", "<i8"), ("sim", "<f4")])
+GROUP = 32
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -84,20 +85,42 @@ def _keys(dim: int, curves: int, axes: int, bits: int, seed: int):
 
 
 def _best(ids: np.ndarray, m: np.ndarray, own: slice, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of m[own] the k best of m by (similarity down, id up): positions and similarities."""
-    sims = m[own] @ m.T
-    rows = np.arange(sims.shape[0])
+    """For each row of m[own] the k best of m by (similarity down, id up): positions and similarities.
+
+    The columns are taken in groups of 32: the k best lie in the k groups with the largest maxima.
+    """
+    n, k = len(ids), min(k, len(ids) - 1)
+    sims = np.full((own.stop - own.start, -(-n // GROUP) * GROUP), -np.inf, dtype=np.float32)
+    np.matmul(m[own], m.T, out=sims[:, :n])
+    rows = np.arange(len(sims))
     sims[rows, own.start + rows] = -np.inf
-    k = min(k, len(ids) - 1)
-    part = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+    tops = sims.reshape(len(sims), -1, GROUP).max(axis=2)
+    few = min(k, tops.shape[1])
+    at = np.argpartition(-tops, few - 1, axis=1)[:, :few]
+    at = (at[:, :, None] * GROUP + np.arange(GROUP)).reshape(len(sims), -1)
+    part = np.take_along_axis(at, np.argpartition(-np.take_along_axis(sims, at, 1), k - 1, axis=1)[:, :k], 1)
     edge = np.take_along_axis(sims, part, 1).min(axis=1)
     tied = np.flatnonzero((sims >= edge[:, None]).sum(axis=1) > k)
     for r in tied:  # equal vectors at the edge: take the smaller ids
-        at = np.flatnonzero(sims[r] >= edge[r])
+        at = np.flatnonzero(sims[r, :n] >= edge[r])
         part[r] = at[np.lexsort((ids[at], -sims[r][at]))[:k]]
     return part, np.take_along_axis(sims, part, 1)
 
 
+def _packed(ids: np.ndarray, sims: np.ndarray) -> list[bytes]:
+    """One blob for each row: the ids' bytes by significance, which compress well in a shuffle, then the similarities."""
+    planes = ids.astype("<i8").view(np.uint8).reshape(*ids.shape, 8).transpose(0, 2, 1).reshape(len(ids), -1)
+    return [a.tobytes() + b.tobytes() for a, b in zip(planes, sims.astype("<f4"), strict=True)]
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    n = len(blob) // ENTRY.itemsize
+    e = np.empty(n, dtype=ENTRY)
+    e["id"] = np.ascontiguousarray(np.frombuffer(blob, np.uint8, 8 * n).reshape(8, n).T).view("<i8").ravel()
+    e["sim"] = np.frombuffer(blob, "<f4", n, 8 * n)
+    return e
+
+
 def _windows(dim: int, k: int, block: int, window: int):
     """Rows arrive ordered by (curve, key); yields for each vector and curve its best neighbours of the window."""
 
@@ -111,9 +134,7 @@ def _windows(dim: int, k: int, block: int, window: int):
             b = min(a + block, last)
             lo, hi = max(0, a - window), min(len(ids), b + window)
             at, sims = _best(ids[lo:hi], m32[lo:hi], slice(a - lo, b - lo), k)
-            e = np.empty(at.shape, dtype=ENTRY)
-            e["id"], e["sim"] = ids[lo:hi][at], sims
-            out += [r.tobytes() for r in e]
+            out += _packed(ids[lo:hi][at], sims)
         return pd.DataFrame({"id": ids[first:last], "near": out})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,17 +161,16 @@ def _windows(dim: int, k: int, block: int, window: int):
 def _merge(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            blobs = [b"".join(x) for x in pdf["lists"]]
-            count = np.array([len(b) for b in blobs]) // ENTRY.itemsize
-            e = np.frombuffer(b"".join(blobs), ENTRY)
-            own = np.repeat(np.arange(len(blobs)), count)
+            lists = [[_unpacked(b) for b in x] for x in pdf["lists"]]
+            own = np.repeat(np.arange(len(lists)), [sum(map(len, x)) for x in lists])
+            e = np.concatenate([b for x in lists for b in x]) if lists else np.empty(0, ENTRY)
             order = np.lexsort((-e["sim"], e["id"], own))
             own, e = own[order], e[order]
             fresh = np.r_[True, (own[1:] != own[:-1]) | (e["id"][1:] != e["id"][:-1])] if len(e) else np.empty(0, bool)
             own, e = own[fresh], e[fresh]
             order = np.lexsort((e["id"], -e["sim"], own))
             own, e = own[order], e[order]
-            start = np.searchsorted(own, np.arange(len(blobs)))
+            start = np.searchsorted(own, np.arange(len(lists)))
             rank = np.arange(len(own)) - start[own]
             keep = rank < k
             yield pd.DataFrame({"id": pdf["id"].to_numpy()[own[keep]], "neighbour": e["id"][keep], "rank": rank[keep].astype(np.int32) + 1, "similarity": e["sim"][keep].astype(np.float64)})
@@ -164,11 +184,11 @@ def nearest_vectors(
     vector_col: str,
     k: int = 10,
     dim: int = 64,
-    curves: int = 6,
+    curves: int = 5,
     axes: int = 10,
     bits: int = 6,
-    block: int = 256,
-    window: int = 192,
+    block: int = 512,
+    window: int = 2048,
     seed: int = 7,
 ) -> DataFrame:
     """(id, neighbour, rank, similarity): for every usable vector its k most similar others by cosine.
