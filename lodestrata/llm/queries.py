@@ -12,6 +12,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    from lodestrata.llm.repeated_lines import repeated_lines
+
+    return repeated_lines(_table(spark, folder, "bm25_cache"), "row_id", "documents", "source").withColumnRenamed("id", "row_id")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     from lodestrata.llm.pairs import defective_pairs
 
@@ -59,7 +65,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_pack": p6_pack, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_pack": p6_pack, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
