@@ -18,6 +18,13 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines(_table(spark, folder, "bm25_cache"), "row_id", "documents", "source").withColumnRenamed("id", "row_id")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    from lodestrata.llm.scans import scan_defects
+
+    defects, _ = scan_defects(_table(spark, folder, "bm25_cache"), "row_id", "documents", "source", "chunk_index")
+    return defects.withColumnRenamed("id", "row_id")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     from lodestrata.llm.pairs import defective_pairs
 
@@ -65,7 +72,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_pack": p6_pack, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_pack": p6_pack, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
