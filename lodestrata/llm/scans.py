@@ -9,6 +9,7 @@ repairs remain, the bigram with the preceding word decides, then the frequency.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,7 +28,7 @@ DIVIDED = re.compile(rf"(\S+)[{HYPHENS}]\s*$")
 # Fixed values: (what a scanner reads, what is printed), with the cost of the confusion.
 CONFUSIONS = [
     ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("6", "b"), ("8", "b"), ("9", "g"), ("@", "a"), ("+", "t"), ("!", "i"), ("!", "l"), ("|", "l"), ("|", "i"), ("$", "s"), ("3", "e"), ("4", "a"), ("7", "t"), ("2", "z"),
-    ("c", "e"), ("e", "c"), ("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("li", "h"), ("l!", "h"), ("l1", "h"), ("h", "li"), ("ii", "u"), ("u", "ii"), ("vv", "w"), ("w", "vv"), ("ri", "n"), ("n", "ri"), ("rr", "n"), ("nn", "m"), ("in", "m"), ("iii", "m"), ("l", "i"), ("i", "l"), ("l", "t"), ("f", "t"), ("t", "f"), ("o", "a"), ("fi", "h"), ("u", "v"), ("v", "u"), ("ğ", "g"), ("g", "ğ"), ("ı", "i"), ("i", "ı"), ("a", "ä"), ("o", "ö"), ("u", "ü"), ("b", "h"), ("h", "b"), ("q", "g"), ("tl", "d"), ("I", "l"),
+    ("c", "e"), ("e", "c"), ("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("li", "h"), ("l!", "h"), ("l1", "h"), ("h", "li"), ("ii", "u"), ("u", "ii"), ("vv", "w"), ("w", "vv"), ("ri", "n"), ("n", "ri"), ("rr", "n"), ("nn", "m"), ("in", "m"), ("iii", "m"), ("l", "i"), ("i", "l"), ("l", "t"), ("f", "t"), ("t", "f"), ("o", "a"), ("fi", "h"), ("u", "v"), ("v", "u"), ("ğ", "g"), ("g", "ğ"), ("ı", "i"), ("i", "ı"), ("a", "ä"), ("o", "ö"), ("u", "ü"), ("b", "h"), ("h", "b"), ("q", "g"), ("tl", "d"), ("c1", "d"), ("c!", "d"), ("c|", "d"), ("1i", "h"), ("1!", "h"), ("r!", "n"), ("r1", "n"), ("!i", "u"), ("i!", "u"), ("!!", "u"), ("6", "é"), ("r11", "m"),
 ]
 CHEAP = {("l", "t"), ("f", "t"), ("t", "f"), ("o", "a"), ("u", "v"), ("v", "u"), ("a", "ä"), ("o", "ö"), ("u", "ü"), ("b", "h"), ("h", "b")}
 # Words of page lines in the six languages.
@@ -36,7 +37,7 @@ ROMAN = re.compile(r"(?i)(?=[ivxlc])(c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})")
 DIGIT_LIKE = re.compile(r"[\dOoIlSsBbZzGgqi!|]{1,4}")
 NUMBER = re.compile(r"[\dOoIlSsBbZz!|]+(?:[.,][\dOoIlSsBbZz!|]+)?")
 COMPONENT = re.compile(r"[A-Z]\d")
-CODE = re.compile(r"[A-Z]{1,3}[-/]?\d[\w/-]*|[A-Z]\d+-[A-Z]\d+\S*|[A-Z]{1,3}-\S*\d\S*")
+CODE = re.compile(r"[A-Z]{1,3}[-/]?\d[A-Z\d/-]*|[A-Z]\d+-[A-Z]\d+\S*|[A-Z]{1,3}-\S*\d\S*")
 OUTER = re.compile(r"^[\s.,;:()\[\]{}\"'’“”„«»?¿¡*<>=~_|#/–—-]+|[\s.,;:()\[\]{}\"'’“”„«»?!*<>=~_|#/–—-]+$")
 WORDLIKE = re.compile(r"[^\W_]*(?:[@+!|$'’-]?[^\W_]+)*[@+]?|[@+][^\W_]+")
 
@@ -47,7 +48,7 @@ def word_of(token: str) -> str | None:
     if len(t) < 2 or CODE.fullmatch(t) or not WORDLIKE.fullmatch(t):
         return None
     letters = sum(c.isalpha() for c in t)
-    if letters < 2 or letters < 0.6 * len(t):
+    if letters < 2 or letters < 0.5 * len(t):
         return None
     return t.lower()
 
@@ -180,14 +181,32 @@ def _counted(counts: Counter, joined: Counter) -> pd.DataFrame:
     return pd.DataFrame({"word": words, "n": [counts[w] for w in words], "j": [joined[w] for w in words]})
 
 
+# Characters that scanners confuse, with the form under which the index keeps them.
+SIGNS = str.maketrans("0@+5968$|134", "oatsgbbsllea")
+PAIRS = (("li", "h"), ("rn", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"), ("ii", "u"))
+LETTERS = str.maketrans("ci", "el")
+
+
+def index_forms(word: str) -> set[str]:
+    """Forms of which most misreadings of a word share one: overlapping pairs are taken in either order."""
+    t = unicodedata.normalize("NFKD", word.replace("ß", "ss").replace("ı", "i"))
+    t = "".join(c for c in t if not unicodedata.combining(c) and c not in "-'’").replace("!", "i").translate(SIGNS)
+    forms = set()
+    for order in (PAIRS, PAIRS[::-1]):
+        f = t
+        for pair, one in order:
+            f = f.replace(pair, one)
+        forms.add(f.translate(LETTERS))
+    return forms
+
+
 def _deletes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The symmetric-delete keys of each word: its folded form, and that without one character."""
-    folder = Folder()
+    """The symmetric-delete keys of each word: its index form, and that without one character."""
     for pdf in batches:
         words, keys = [], []
         for w in pdf["word"]:
-            f = folder.lines(w)[0].replace(" ", "") or w
-            own = {f} | ({f[:i] + f[i + 1 :] for i in range(len(f))} if len(f) > 3 else set())
+            own = index_forms(w)
+            own |= {f[:i] + f[i + 1 :] for f in own if len(f) > 3 for i in range(len(f))}
             words += [w] * len(own)
             keys += [xxhash.xxh64_intdigest(k) - (1 << 63) for k in own]
         yield pd.DataFrame({"word": words, "key": keys})
@@ -246,7 +265,8 @@ def _evidence(known: set[str]):
             for r in pdf.itertuples(index=False):
                 lines = r.text.split("\n")
                 e = _edges(lines, folder)
-                width = max(map(len, lines))
+                edges = {*e["page"], e["top"], e["bottom"]}
+                width = max((len(x) for i, x in enumerate(lines) if i not in edges and not x.startswith("--- SOURCE:")), default=0)
                 forms = set(r.page_forms) if r.page_forms is not None else set()
                 edge = set()
                 for i, (form, sure) in e["page"].items():
@@ -264,7 +284,7 @@ def _evidence(known: set[str]):
                     short = bool(after) and len(line) + 1 + len(after.split()[0]) <= width
                     alike = side == "top" and (_near(r.prev_key, key) or _near(r.next_key, key))
                     if side == "top":
-                        title = open_end and (times >= 2 or alike or (short and r.title_share >= 0.3 and not line.isupper() and not re.match(r"\d+\.\d", line)))
+                        title = open_end and (times >= 4 or short and (times >= 2 or alike) or (short and r.title_share >= 0.3 and not line.isupper() and not re.match(r"\d+\.\d", line)))
                     else:
                         title = open_end and (times >= 3 and times >= 0.05 * r.pages)
                     if title:
@@ -296,6 +316,19 @@ def _evidence(known: set[str]):
     return run
 
 
+def _bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        counts: Counter[tuple[str, str]] = Counter()
+        for text in pdf["text"]:
+            before = None
+            for _, token, at, rest in _tokens(text.split("\n")):
+                w = word_of(token + rest)
+                if w and before:
+                    counts[before, w] += 1
+                before = w
+        yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["before", "word", "k"])
+
+
 def _joins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Words to look up for each divided word: without the hyphen, and with it."""
     for pdf in batches:
@@ -379,9 +412,12 @@ def scan_defects(
     # misread words: the repair that the word before it makes likeliest, then the cheapest, then the most frequent
     words = evidence.filter("kind = 'word'").select("id", "line_no", F.col("a").alias("seen"), "before")
     options = words.join(candidates, "seen")
-    context_n = evidence.filter("kind = 'pair'")
-    del context_n
-    pick = Window.partitionBy("id", "line_no", "seen").orderBy("cost", F.desc("n"), "word")
+    unsure = words.join(candidates.groupBy("seen").count().filter("count > 1").select("seen"), "seen", "left_semi").join(candidates, "seen")
+    need = unsure.filter("before is not null").select(F.xxhash64("before", "word").alias("gram")).distinct()
+    grams = pages.select("text").mapInPandas(_bigrams, "before string, word string, k long").select(F.xxhash64("before", "word").alias("gram"), "k")
+    grams = grams.join(need, "gram", "left_semi").groupBy("gram").agg(F.sum("k").alias("k"))
+    options = options.withColumn("gram", F.xxhash64("before", "word")).join(grams, "gram", "left").fillna(0, ["k"])
+    pick = Window.partitionBy("id", "line_no", "seen").orderBy(F.desc("k"), "cost", F.desc("n"), "word")
     repairs = options.withColumn("rn", F.row_number().over(pick)).filter("rn = 1").select("id", "line_no", "seen", F.col("word").alias("repair"))
     split = joins.filter("best is not null")
     here = split.filter(~F.col("best.word").startswith(F.col("a"))).select("id", "line_no", F.col("whole").alias("seen"), F.col("best.word").alias("repair"))
