@@ -96,11 +96,10 @@ def spectra(texts: list[str], table: np.ndarray) -> LineSpectra:
     return LineSpectra((codes & ((1 << 20) - 1)).astype(np.int32), bounds, letters, np.r_[0, np.cumsum(counts)])
 
 
-def _sums(weights: np.ndarray, s: LineSpectra) -> np.ndarray:
+def _sums(weights: np.ndarray, s: LineSpectra, step: int = 20_000) -> np.ndarray:
     """The presence matrix of the lines times a dense matrix over n-grams, in blocks."""
     n = len(s.bounds) - 1
     out = np.zeros((n, weights.shape[1]), dtype=np.float32)
-    step = 20_000
     for a in range(0, n, step):
         b = min(n, a + step)
         lo, hi = s.bounds[a], s.bounds[b]
@@ -122,10 +121,14 @@ def fit(strings: list[str], labels: list[str], landmarks: int = 240, ridge: floa
     rng = np.random.default_rng(seed)
     per = max(1, landmarks // len(LANGUAGES))
     chosen = np.concatenate([rng.permutation(np.flatnonzero(y == c))[:per] for c in range(len(LANGUAGES))])
-    marks = np.zeros((SIZE, len(chosen)), dtype=np.float32)
+    # only the landmarks' n-grams can be shared with them: the matrices have a row for each of those, and one for the rest
+    grams = np.unique(np.concatenate([spec.codes[spec.bounds[i] : spec.bounds[i + 1]] for i in chosen]))
+    marks = np.zeros((len(grams) + 1, len(chosen)), dtype=np.float32)
     for k, i in enumerate(chosen):
-        marks[spec.codes[spec.bounds[i] : spec.bounds[i + 1]], k] = 1 / norm[i]
-    kernel = _sums(marks, spec) / norm[:, None]  # strings by landmarks
+        marks[np.searchsorted(grams, spec.codes[spec.bounds[i] : spec.bounds[i + 1]]), k] = 1 / norm[i]
+    at = np.minimum(np.searchsorted(grams, spec.codes), len(grams) - 1)
+    spec.codes = np.where(grams[at] == spec.codes, at, len(grams)).astype(np.int32)
+    kernel = _sums(marks, spec, 1000) / norm[:, None]  # strings by landmarks
     own = kernel[chosen].astype(np.float64)
     w, u = np.linalg.eigh((own + own.T) / 2)
     good = w > 1e-6 * w.max()
@@ -138,8 +141,10 @@ def fit(strings: list[str], labels: list[str], landmarks: int = 240, ridge: floa
         a = (z1 * weight[:, None]).T
         beta = np.linalg.solve(a @ z1 + ridge * np.eye(z1.shape[1]) * weight.mean(), a @ target)
         weight = np.where((z1 @ beta).argmax(axis=1) == y, weight, 0.0)
-    dense = marks.astype(np.float64) @ (whiten @ beta[:-1])
-    return np.vstack([dense, beta[-1]]).astype(np.float32)
+    dense = np.zeros((SIZE + 1, len(LANGUAGES)), dtype=np.float32)
+    dense[grams] = marks[:-1] @ (whiten @ beta[:-1])
+    dense[SIZE] = beta[-1]
+    return dense
 
 
 def line_margins(weights: np.ndarray, s: LineSpectra) -> np.ndarray:
