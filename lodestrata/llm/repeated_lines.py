@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.session import checkpointed
@@ -107,7 +107,7 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if own is None:
                 own = counts[src] = Counter()
             before = len(own)
-            own.update({w for line in folder.lines(text) for w in line.split(" ") if w})
+            own.update({w for line in folder.lines(text) for w in line.split(" ") if w and w[0] != CODE_SIGN})
             held += len(own) - before
         if held > 400_000:
             yield _counted(counts)
@@ -120,46 +120,111 @@ def _counted(counts: dict[int, Counter[str]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["src", "word", "n"])
 
 
-def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    folder = Folder()
-    for pdf in batches:
-        yield pd.DataFrame({"id": pdf["id"], "src": pdf["src"], "folded": ["\n".join(folder.lines(t)) for t in pdf["text"]]})
+class Masker:
+    """The key of a folded line: its words without those that are rare in its source; null if too little is left."""
+
+    def __init__(self, kept_share: float, many_slots_share: float):
+        self.shares = kept_share, many_slots_share
+        self.hashes: dict[str, int] = {}
+
+    def key(self, line: str, common: set[int]) -> str | None:
+        hashes = self.hashes
+        if len(hashes) > 300_000:
+            hashes.clear()
+        words = line.split(" ")
+        if len(words) > 1:  # initials tell nothing
+            words = [w for w in words if len(w) > 1] or words
+        kept, slots, inside = [], 0, False
+        for w in words:
+            h = hashes.get(w)
+            if h is None:
+                h = hashes[w] = _word(w)
+            masked = h not in common and w[0] != CODE_SIGN
+            if not masked:
+                kept.append(w)
+            elif not inside:
+                slots += 1
+            inside = masked
+        key = " ".join(kept)
+        share = self.shares[slots > 1]
+        if key and len(key) - len(kept) >= share * (sum(map(len, words)) - 1) and any(w[0] != CODE_SIGN for w in kept):
+            return key
+        return None
+
+
+def _keys(masker: Masker):
+    """The key of each line of each row, one on a line."""
 
-
-def _masked(kept_share: float, many_slots_share: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes: dict[str, int] = {}
+        folder = Folder()
+        last, common = None, set()
         for pdf in batches:
-            if len(hashes) > 300_000:
-                hashes.clear()
-            ids, srcs, at, keys = [], [], [], []
-            common: set[int] = set()
-            last = None
-            for ident, src, folded, packed in zip(pdf["id"].tolist(), pdf["src"].tolist(), pdf["folded"], pdf["common"], strict=True):
+            out = []
+            for src, text, packed in zip(pdf["src"].tolist(), pdf["text"], pdf["common"], strict=True):
                 if src != last:
                     common, last = set(packed.tolist()), src
-                for n, line in enumerate(folded.split("\n"), 1):
-                    if not line:
-                        continue
-                    words = line.split(" ")
-                    if len(words) > 1:  # initials tell nothing
-                        words = [w for w in words if len(w) > 1] or words
-                    kept, slots, inside = [], 0, False
-                    for w in words:
-                        h = hashes.get(w)
-                        if h is None:
-                            h = hashes[w] = _word(w)
-                        masked = h not in common and w[0] != CODE_SIGN
-                        if not masked:
-                            kept.append(w)
-                        elif not inside:
-                            slots += 1
-                        inside = masked
-                    key = " ".join(kept)
-                    share = kept_share if slots <= 1 else many_slots_share
-                    if key and len(key) - len(kept) >= share * (sum(map(len, words)) - 1) and any(w[0] != CODE_SIGN for w in kept):
-                        ids.append(ident), srcs.append(src), at.append(n), keys.append(key)
-            yield pd.DataFrame({"id": ids, "src": srcs, "line_no": at, "key": keys}).astype({"id": "int64", "src": "int64", "line_no": "int32"})
+                out.append("\n".join([line and masker.key(line, common) or "" for line in folder.lines(text)]))
+            yield pd.DataFrame({"id": pdf["id"], "src": pdf["src"], "keys": out})
+
+    return run
+
+
+def edits(a: str, b: str, most: int) -> int:
+    """Levenshtein distance, or most + 1 if it is larger."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left = row[0]
+        row[0] = i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(left + (x != y), row[j] + 1, row[j - 1] + 1)
+        if min(row) > most:
+            return most + 1
+    return row[-1]
+
+
+def variant_of(key: str, seeds: list[tuple[str, list[str]]], kept_share: float, edit_share: float) -> int:
+    """Position of the first of the seeds, most frequent first, that the key equals, that it becomes without one run of words (a filled-in name that
+    is itself common), or that lies within the edit distance; -1 if there is none."""
+    words = key.split(" ")
+    own = set(words)
+    for i, (seed, parts) in enumerate(seeds):
+        if key == seed:
+            return i
+        n = len(parts)
+        hits = sum(w in own for w in parts)
+        if len(words) > n >= 2 and hits == n and len(seed) >= kept_share * len(key):
+            head = next((j for j in range(n) if words[j] != parts[j]), n)
+            tail = next((j for j in range(n) if words[-1 - j] != parts[-1 - j]), n)
+            if head + tail >= n:
+                return i
+        most = -(-int(min(len(key), len(seed)) * edit_share * 100) // 100)
+        if len(key) >= 6 and 2 * hits >= n and edits(key, seed, most) <= most:
+            return i
+    return -1
+
+
+def _matches(kept_share: float, edit_share: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, seeds, known = None, [], {}
+        for pdf in batches:
+            ids, srcs, at, which = [], [], [], []
+            for ident, src, keys, own in zip(pdf["id"].tolist(), pdf["src"].tolist(), pdf["keys"], pdf["seeds"], strict=True):
+                if src != last:
+                    last = src
+                    seeds = [(k, k.split(" ")) for k in own]
+                    known = {k: variant_of(k, seeds, kept_share, edit_share) for k in own}  # a seed may be a variant itself
+                for n, key in enumerate(keys.split("\n"), 1):
+                    if key:
+                        i = known.get(key)
+                        if i is None:
+                            i = variant_of(key, seeds, kept_share, edit_share)
+                            if len(known) < 100_000:
+                                known[key] = i
+                        if i >= 0:
+                            ids.append(ident), srcs.append(src), at.append(n), which.append(i)
+            yield pd.DataFrame({"id": ids, "src": srcs, "line_no": at, "seed": which}).astype({"id": "int64", "src": "int64", "line_no": "int32", "seed": "int32"})
 
     return run
 
@@ -174,12 +239,14 @@ def repeated_lines(
     kept_share: float = 0.45,
     many_slots_share: float = 0.7,
     edit_share: float = 0.2,
+    broadcast_words: int = 4_000_000,
 ) -> DataFrame:
     """(id, line_no): every line to be removed, line_no counted from 1 over the text split at newlines.
 
     A line counts if it, or a variant of it, stands in at least `least_rows` rows of its source and in at least
     `least_share` of them. Rows count by id, also those loaded twice; repeats within a row count once, but each is a
-    case. Lines without letters and marker lines never count. Rows with a null id, source or text hold no lines, but a
+    case. Words and wordings of the sources go to the executors by broadcast only if they are at most `broadcast_words`,
+    else by a join. Lines without letters and marker lines never count. Rows with a null id, source or text hold no lines, but a
     row with a source and a null text counts as a row of it. An empty table gives no rows; other columns are ignored.
     """
     named = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(source_key(F.col(source_col))).alias("src"), F.col(source_col).isNotNull().alias("ok")).filter("ok and id is not null")
@@ -190,38 +257,25 @@ def repeated_lines(
     # words of at least half the required rows of their source; half, as variants are united only afterwards
     common = rows.select("src", "text").mapInPandas(_word_counts, "src long, word long, n long").groupBy("src", "word").agg(F.sum("n").alias("n"))
     common = common.join(totals, "src").filter((F.col("n") >= least_rows / 2) & (F.col("n") >= F.col("rows") * least_share / 2))
-    common = common.groupBy("src").agg(F.collect_list("word").alias("common"))  # at most the words of a mean row / (least_share / 2)
-
-    folded = rows.mapInPandas(_folded, "id long, src long, folded string")
-    masked = folded.join(common, "src").mapInPandas(_masked(kept_share, many_slots_share), "id long, src long, line_no int, key string")
-    masked = checkpointed(masked)
-
-    bucket, bit = F.shiftright("id", 6), F.expr("shiftleft(1L, cast(id & 63 as int))")
-    words64 = masked.groupBy("src", "key", bucket.alias("bucket")).agg(F.bit_or(bit).alias("bits"))
-    size = F.sum(F.bit_count("bits"))
-    counts = checkpointed(words64.groupBy("src", "key").agg(size.alias("n")).join(totals, "src"))
+    # at most the words of a mean row / (least_share / 2) for each source
+    common = checkpointed(common.groupBy("src").agg(F.collect_list("word").alias("common")))
+    bounded = lambda d, column: F.broadcast(d) if (d.agg(F.sum(F.size(column))).first()[0] or 0) <= broadcast_words else d
+    masker = Masker(kept_share, many_slots_share)
+    keys = rows.join(bounded(common, "common"), "src").select("id", "src", "text", "common").mapInPandas(_keys(masker), "id long, src long, keys string")
+    keys = checkpointed(keys)
+    each = keys.select("src", F.explode(F.array_distinct(F.split("keys", "\n"))).alias("key")).filter("key <> ''")
+    counts = each.groupBy("src", "key").agg(F.count("*").alias("n")).join(totals, "src")
     seeds = counts.filter((F.col("n") >= least_rows / 2) & (F.col("n") >= F.col("rows") * least_share / 2))
-
-    # variants: each line's key goes to the most frequent seed within the edit distance, or to the one that it becomes
-    # without one run of words (a filled-in name that is itself common)
-    rest = counts.select("src", "key")
-    s = seeds.select("src", F.col("key").alias("seed"), F.split("key", " ").alias("w"), F.col("n").alias("seed_n"))
-    near = (F.abs(F.length("key") - F.length("seed")) <= F.ceil(F.least(F.length("key"), F.length("seed")) * edit_share)) & (F.length("key") >= 6)
-    near = near & F.expr(f"levenshtein(key, seed, cast(ceil(least(length(key), length(seed)) * {edit_share}) as int)) >= 0")
-    longer = (F.size("w") >= 2) & (F.length("key") > F.length("seed")) & (F.length("seed") >= F.length("key") * kept_share)
-    around = F.exists(
-        F.sequence(F.lit(0), F.size("w")),
-        lambda i: F.col("key").startswith(F.array_join(F.slice("w", F.lit(1), i), " ")) & F.col("key").endswith(F.array_join(F.slice("w", i + 1, F.size("w")), " ")),
-    )
-    pairs = rest.join(s, "src").filter((F.col("key") == F.col("seed")) | near | (longer & around)).drop("w")
-    best = Window.partitionBy("src", "key").orderBy(F.desc("seed_n"), "seed")
-    variants = checkpointed(pairs.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select("src", "key", "seed"))
-
-    united = words64.join(variants, ["src", "key"]).groupBy("src", "seed", "bucket").agg(F.bit_or("bits").alias("bits"))
-    united = united.groupBy("src", "seed").agg(size.alias("n")).join(totals, "src")
+    # again at most the lines of a mean row / (least_share / 2); the most frequent first
+    seeds = seeds.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "key"))), lambda x: x["key"]).alias("seeds"))
+    seeds = checkpointed(seeds)
+    found = keys.join(bounded(seeds, "seeds"), "src").select("id", "src", "keys", "seeds")
+    found = checkpointed(found.mapInPandas(_matches(kept_share, edit_share), "id long, src long, line_no int, seed int"))
+    bucket, bit = F.shiftright("id", 6), F.expr("shiftleft(1L, cast(id & 63 as int))")
+    bitmaps = found.groupBy("src", "seed", bucket.alias("bucket")).agg(F.bit_or(bit).alias("bits"))
+    united = bitmaps.groupBy("src", "seed").agg(F.sum(F.bit_count("bits")).alias("n")).join(totals, "src")
     hot = united.filter((F.col("n") >= least_rows) & (F.col("n") >= F.col("rows") * least_share)).select("src", "seed")
-    doomed = variants.join(hot, ["src", "seed"]).select("src", "key")
-    return masked.join(doomed, ["src", "key"]).select("id", "line_no")
+    return found.join(hot, ["src", "seed"]).select("id", "line_no")
 
 
 def remove_lines(df: DataFrame, id_col: str, text_col: str, doomed: DataFrame) -> DataFrame:
