@@ -42,8 +42,12 @@ OUTER = re.compile(r"^[\s.,;:()\[\]{}\"'’“”„«»?¿¡*<>=~_|#/–—-]+|
 WORDLIKE = re.compile(r"[^\W_]*(?:[@+!|$'’-]?[^\W_]+)*[@+]?|[@+][^\W_]+")
 
 
+@lru_cache(maxsize=300_000)
 def word_of(token: str) -> str | None:
     """The lower-cased word in a blank-free token, null for numbers, codes and what has hardly a letter."""
+    t = token.rstrip(".,;:")
+    if t.isalpha() and len(t) > 1:
+        return t.lower()
     t = OUTER.sub("", token)
     if len(t) < 2 or CODE.fullmatch(t) or not WORDLIKE.fullmatch(t):
         return None
@@ -53,6 +57,7 @@ def word_of(token: str) -> str | None:
     return t.lower()
 
 
+@lru_cache(maxsize=100_000)
 def misread_number(token: str) -> bool:
     """Whether a token is a number in which letters stand for digits."""
     t = OUTER.sub("", token)
@@ -153,7 +158,6 @@ def _tokens(lines: list[str]) -> Iterator[tuple[int, str, int, str]]:
 def _vocabulary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: Counter[str] = Counter()
     joined: Counter[str] = Counter()
-    words: dict[str, str | None] = {}
     for pdf in batches:
         for text, scan in zip(pdf["text"], pdf["scan"], strict=True):
             if scan:
@@ -162,14 +166,7 @@ def _vocabulary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if w:
                         (joined if at >= 0 else counts)[w] += 1
             else:
-                for t in text.split():
-                    w = words.get(t, "")
-                    if w == "":
-                        w = words[t] = word_of(t)
-                    if w is not None:
-                        counts[w] += 1
-        if len(words) > 300_000:
-            words.clear()
+                counts.update(w for w in map(word_of, text.split()) if w)
         if len(counts) + len(joined) > 400_000:
             yield _counted(counts, joined)
             counts, joined = Counter(), Counter()
@@ -354,6 +351,7 @@ def scan_defects(
     scan_share: float = 0.5,
     ratio: float = 8.0,
     known_words: int = 50_000,
+    broadcast_sources: int = 1_000_000,
 ) -> tuple[DataFrame, DataFrame]:
     """(defects, repairs): what is wrong in the scanned pages, and how the misread words are repaired.
 
@@ -362,7 +360,7 @@ def scan_defects(
     `scan_share` of its rows no line is longer than `widest`; such a row is a page. `order_col` orders the pages of a
     source; a page whose order is null has no next page. Rows with a null id, source or text hold no case; rows loaded
     twice are each reported; an empty table gives no rows; other columns are ignored. Words and statistics come from
-    all rows; `known_words` only bounds a list of frequent good words that need no lookup.
+    all rows; the list of scanned sources is broadcast only up to `broadcast_sources`; `known_words` only bounds a list of frequent good words that need no lookup.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("_name"), F.col(order_col).cast("long").alias("ci"), F.col(text_col).alias("text"))
     rows = rows.filter("id is not null and _name is not null and text is not null").withColumn("src", F.xxhash64(source_key(F.col("_name")))).drop("_name")
@@ -370,7 +368,8 @@ def scan_defects(
     long_line = F.col("text").rlike(rf"(?m)^(?!--- SOURCE:)[^\n]{{{widest + 1},}}")
     rows = rows.withColumn("narrow", ~long_line & (F.length(F.trim(prose)) > 0))
     scans = rows.groupBy("src").agg(F.avg(F.col("narrow").cast("int")).alias("share")).filter(F.col("share") >= scan_share).select("src", F.lit(True).alias("scanned"))
-    rows = rows.join(scans, "src", "left").withColumn("scan", F.col("narrow") & F.coalesce("scanned", F.lit(False)))
+    scans = checkpointed(scans)
+    rows = rows.join(F.broadcast(scans) if scans.count() <= broadcast_sources else scans, "src", "left").withColumn("scan", F.col("narrow") & F.coalesce("scanned", F.lit(False)))
     vocabulary, candidates = lexicon(rows.select("text", "scan"), ratio)
     misread = candidates.select(F.col("seen").alias("word")).distinct()
     good = vocabulary.filter(F.col("n") >= ratio).join(misread, "word", "left_anti").orderBy(F.desc("n"), "word").limit(known_words)
