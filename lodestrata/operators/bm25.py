@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,32 +47,81 @@ def term_stats(posts: DataFrame, corpus: DataFrame, params: Bm25Params = Bm25Par
     return with_raw.crossJoin(F.broadcast(mean)).select("term", "df", floor.alias("idf"))
 
 
+def _score(vocabulary: dict[str, int], weights: np.ndarray, query_ids: np.ndarray, k: int, digits: int):
+    """Best k texts of a batch for each query; weights is a row of idf by query for each term of the vocabulary."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            counts = np.array([len(t) for t in pdf["tokens"]])
+            terms = np.array([vocabulary[t] for own in pdf["tokens"] for t in own], dtype=np.int64)
+            start = np.r_[0, np.cumsum(counts)]
+            scores = np.zeros((len(pdf), len(query_ids)))
+            for a in range(0, len(pdf), 500):
+                own = a + np.flatnonzero(counts[a : a + 500])
+                if len(own):
+                    lo, hi = start[a], start[min(a + 500, len(pdf))]
+                    scores[own] = np.add.reduceat(weights[terms[lo:hi]], start[own] - lo, axis=0)
+            scores = np.round(scores * pdf["norm"].to_numpy()[:, None], digits).T
+            ids = pdf["doc_id"].to_numpy()
+            n = min(k, len(ids))
+            order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :n]
+            yield pd.DataFrame({"query_id": np.repeat(query_ids, n), "doc_id": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
+
+    return run
+
+
 def bm25_topk(
-    chunks: DataFrame, id_col: str, text_col: str, queries: DataFrame, query_id: str, query_col: str, k: int = 15, params: Bm25Params = Bm25Params(), digits: int = 9
+    chunks: DataFrame,
+    id_col: str,
+    text_col: str,
+    queries: DataFrame,
+    query_id: str,
+    query_col: str,
+    k: int = 15,
+    params: Bm25Params = Bm25Params(),
+    digits: int = 9,
+    queries_at_once: int = 2000,
 ) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best texts of each query by (score down, doc_id up), rank from 0.
 
-    Scores are rounded to `digits` before ranking. Only the postings of the queries' terms are joined, and only ids are
-    carried: texts are fetched after the cut. Texts without a query term score 0 and fill the list where it would be
-    shorter than k. Null and empty texts count in the statistics; queries without tokens list the first ids.
+    Scores are rounded to `digits` before ranking. A text's tokens that no query holds are dropped in the scan; batches
+    of texts are scored against at most `queries_at_once` queries by matrix products, and only the k best of a batch
+    are shuffled. Texts without a query term score 0 and fill the list where it would be shorter than k. Null and empty
+    texts count in the statistics; queries without tokens list the first ids.
     """
     tokens = tokenised(chunks, id_col, text_col)
-    posts, corpus = postings(tokens), corpus_stats(tokens)
-    terms = queries.select(F.col(query_id).alias("query_id"), F.explode(technical_tokens(F.col(query_col))).alias("term"))
-    wanted = terms.select("term").distinct()
-    stats = term_stats(posts, corpus, params).join(wanted, "term", "left_semi")
-    hits = terms.join(stats, "term").join(posts.join(wanted, "term", "left_semi"), "term").crossJoin(F.broadcast(corpus))
-    weight = F.col("idf") * F.col("tf") * (params.k1 + 1) / (F.col("tf") + params.k1 * (1 - params.b + params.b * F.col("dl") / F.col("avgdl")))
-    # texts without any of the terms may fill a list: the smallest ids join in with nothing
-    first = chunks.select(F.col(id_col).alias("doc_id")).orderBy("doc_id").limit(2 * k)
-    filler = queries.select(F.col(query_id).alias("query_id")).crossJoin(F.broadcast(first)).withColumn("w", F.lit(0.0))
-    weighted = hits.select("query_id", "doc_id", weight.alias("w")).unionByName(filler)
-    scores = weighted.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), digits).alias("score"))
+    corpus = corpus_stats(tokens)
+    stats = checkpointed(term_stats(postings(tokens), corpus, params))
+    asked = queries.select(F.col(query_id).cast("long").alias("query_id"), technical_tokens(F.col(query_col)).alias("terms")).filter("query_id is not null")
+    passes = max(1, math.ceil(asked.count() / queries_at_once))
+    dl = F.size("tokens")
+    norm = (params.k1 + 1) / (1 + params.k1 * (1 - params.b + params.b * dl / F.col("avgdl")))
+    texts = tokens.filter("doc_id is not null").crossJoin(F.broadcast(corpus)).select(F.col("doc_id").cast("long").alias("doc_id"), F.when(dl > 0, norm).otherwise(0.0).alias("norm"), "tokens")
+    out = None
+    for p in range(passes):
+        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)
+        rows = part.collect()
+        idf = {r.term: r.idf for r in stats.join(F.broadcast(part.select(F.explode("terms").alias("term")).distinct()), "term", "left_semi").collect()}
+        vocabulary = {t: i for i, t in enumerate(sorted(idf))}
+        weights = np.zeros((max(1, len(vocabulary)), len(rows)))
+        for j, r in enumerate(rows):
+            for t in r.terms:
+                if t in vocabulary:
+                    weights[vocabulary[t], j] = idf[t]
+        own = texts.withColumn("tokens", _only(F.col("tokens"), list(vocabulary)))
+        near = own.mapInPandas(_score(vocabulary, weights, np.array([r.query_id for r in rows], dtype=np.int64), k, digits), "query_id long, doc_id long, score double")
+        out = near if out is None else out.unionByName(near)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    ranked = scores.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k)
+    ranked = out.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k)
     return ranked.select("query_id", "doc_id", "score", (F.col("rn") - 1).alias("rank"))
 
 
+def _only(tokens: Column, vocabulary: list[str]) -> Column:
+    return F.filter(tokens, lambda t: t.isin(vocabulary)) if vocabulary else F.array().cast("array<string>")
+
+
 def source_lists(chunks: DataFrame, id_col: str, source: Column) -> DataFrame:
     """(source, ids, rows): the rows of each source in ascending order."""
     return chunks.groupBy(source.alias("source")).agg(F.array_sort(F.collect_list(id_col)).alias("ids"), F.count(F.lit(1)).alias("rows"))
