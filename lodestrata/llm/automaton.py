@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.frames import filled
+
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -178,4 +180,4 @@ def leaks(
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     schema = "doc_id long, leaks array<struct<item_id: long, spans: array<struct<from_word: int, to_word: int>>, words: int>>, clean_text string"
-    return texts.mapInPandas(run, schema)
+    return texts.mapInPandas(filled(run), schema)

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.frames import filled
 from lodestrata.llm.shingles import WordHasher, mix, shingle_sets
 from lodestrata.session import checkpointed
 
@@ -142,7 +143,7 @@ def near_duplicates(
     bins = POSITIONS * groups
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = texts.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
-    rows = checkpointed(texts.mapInPandas(_sketches(shingle, bins), "id long, fp binary, n int, sketch array<int>"))
+    rows = checkpointed(texts.mapInPandas(filled(_sketches(shingle, bins)), "id long, fp binary, n int, sketch array<int>"))
     classes = rows.groupBy("fp").agg(F.min("id").alias("rep"))
     members = rows.select("id", "fp").join(classes, "fp").select("id", "rep")
     reps = rows.groupBy("fp").agg(F.min_by(F.struct("n", "sketch"), "id").alias("s"), F.min("id").alias("id"))
@@ -153,7 +154,7 @@ def near_duplicates(
 
     tables = F.array(*[key(g, b) for g in range(groups) for b in BLOCKS])
     buckets = reps.select(F.explode(tables).alias("key"), "id").repartition("key")
-    found = checkpointed(buckets.mapInPandas(_bucket_pairs(bucket_limit), "key long, a long, b long"))
+    found = checkpointed(buckets.mapInPandas(filled(_bucket_pairs(bucket_limit)), "key long, a long, b long"))
     hot = found.filter(F.col("b").isNull()).select("key", F.col("a").alias("id"))
     pairs = found.filter(F.col("b").isNotNull()).select("a", "b")
     many = hot.groupBy("key").count().agg(F.max("count")).first()[0]
@@ -177,11 +178,11 @@ def near_duplicates(
     likely = checkpointed(likely)
     ids = checkpointed(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     wanted = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-    sets = texts.join(wanted, "id", "left_semi").mapInPandas(_packed_sets(shingle), "id long, packed binary")
+    sets = texts.join(wanted, "id", "left_semi").mapInPandas(filled(_packed_sets(shingle)), "id long, packed binary")
     sets = checkpointed(sets)
     joined = likely.join(sets.select(F.col("id").alias("a"), F.col("packed").alias("set_a")), "a")
     joined = joined.join(sets.select(F.col("id").alias("b"), F.col("packed").alias("set_b")), "b")
-    links = joined.mapInPandas(_jaccard, "a long, b long, similarity double").filter(F.col("similarity") >= threshold)
+    links = joined.mapInPandas(filled(_jaccard), "a long, b long, similarity double").filter(F.col("similarity") >= threshold)
     return links, members
 
 

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.frames import filled
 from lodestrata.session import checkpointed
 
 ENTRY = np.dtype([("id", "<i8"), ("sim", "<f4")])
@@ -199,9 +200,9 @@ def nearest_vectors(
     lists all others. A row with a null id is skipped; an empty table gives no rows; other columns are ignored.
     """
     vectors = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("embedding")).filter(F.col("id").isNotNull() & F.col("embedding").isNotNull())
-    keyed = vectors.mapInPandas(_keys(dim, curves, axes, bits, seed), "id long, keys array<long>, v binary")
+    keyed = vectors.mapInPandas(filled(_keys(dim, curves, axes, bits, seed)), "id long, keys array<long>, v binary")
     keyed = checkpointed(keyed)
     ordered = keyed.select(F.posexplode("keys").alias("curve", "key"), "id", "v")
     ordered = ordered.repartitionByRange("curve", "key").sortWithinPartitions("curve", "key", "id").drop("key")
-    near = ordered.mapInPandas(_windows(dim, k, block, window), "id long, near binary")
-    return near.groupBy("id").agg(F.collect_list("near").alias("lists")).mapInPandas(_merge(k), "id long, neighbour long, rank int, similarity double")
+    near = ordered.mapInPandas(filled(_windows(dim, k, block, window)), "id long, near binary")
+    return near.groupBy("id").agg(F.collect_list("near").alias("lists")).mapInPandas(filled(_merge(k)), "id long, neighbour long, rank int, similarity double")

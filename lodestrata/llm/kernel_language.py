@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.frames import filled
+
 LANGUAGES = ("en", "de", "fr", "es", "it", "tr")
 # Ways in which a label names one of the languages, after lower-casing and cutting the country.
 LABELS = {
@@ -251,7 +253,7 @@ def document_languages(
 
     rows = df.select(F.col(id_col).alias("doc_id"), label_language(F.col(label_col)).alias("label_lang"), F.col(text_col).alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, label_lang string, lang string, confidence double, segments array<struct<line_no: int, end_line: int, lang: string, confidence: double>>")
+    return rows.mapInPandas(filled(run), f"doc_id {kind}, label_lang string, lang string, confidence double, segments array<struct<line_no: int, end_line: int, lang: string, confidence: double>>")
 
 
 def _classify(texts: list[str], table: np.ndarray, weights: np.ndarray, switch: float, least: int, share: float) -> Iterator[tuple]:

@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.frames import filled
 from lodestrata.session import checkpointed
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -124,11 +125,11 @@ def pack(
     Repeated ids are separate items, null ids are kept; an empty table gives no rows; other columns are ignored.
     """
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    placed = checkpointed(texts.mapInPandas(_pack(tokenizer_path, capacity, open_containers), ROW))
+    placed = checkpointed(texts.mapInPandas(filled(_pack(tokenizer_path, capacity, open_containers)), ROW))
     left = placed.filter("left_open is not null").select("container", F.col("left_open").alias("used"))
     count = left.count()  # open_containers for each partition at most
     tasks = max(1, -(-count // merge_at_once))
-    moved = left.repartition(tasks, "container").mapInPandas(_merge(capacity), "container long, to long, base int")
+    moved = left.repartition(tasks, "container").mapInPandas(filled(_merge(capacity)), "container long, to long, base int")
     moved = checkpointed(moved)
     rows = placed.filter("left_open is null").drop("left_open")
     out = rows.join(F.broadcast(moved) if count <= broadcast_limit else moved, "container", "left")

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.frames import filled
 from lodestrata.llm.langwords import guess, named_languages, scores
 from lodestrata.session import checkpointed
 
@@ -263,12 +264,12 @@ def defective_pairs(
         (F.col(not_found_col) if not_found_col else F.lit(None).cast("boolean")).alias("nf"),
     )
     kind = df.schema[id_col].dataType.simpleString()
-    first = checkpointed(rows.mapInPandas(_first_pass, f"id {kind}, defect string, tail array<long>"))
+    first = checkpointed(rows.mapInPandas(filled(_first_pass), f"id {kind}, defect string, tail array<long>"))
     known = first.filter(F.col("defect").isNotNull()).select("id", "defect")
     open_ = first.filter(F.col("tail").isNotNull() & F.col("defect").isNull()).withColumn("uid", F.monotonically_increasing_id())
     grams = open_.select("uid", "id", F.posexplode("tail").alias("k", "gram"))
     need = grams.select("gram").distinct()
-    stats = rows.select("answer").filter(F.col("answer").isNotNull()).mapInPandas(_endings, "gram long, ends long, seen long")
+    stats = rows.select("answer").filter(F.col("answer").isNotNull()).mapInPandas(filled(_endings), "gram long, ends long, seen long")
     stats = stats.join(need, "gram", "left_semi").groupBy("gram").agg(F.sum("ends").alias("ends"), F.sum("seen").alias("seen"))
     judged = grams.join(stats, "gram", "left").fillna(0, ["ends", "seen"])
     share = F.when(F.col("seen") >= least_seen, F.col("ends") / F.col("seen"))

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.frames import filled
 from lodestrata.session import checkpointed
 
 MARKER = re.compile(r"--- SOURCE:.*---\s*")
@@ -255,13 +256,13 @@ def repeated_lines(
     rows = rows.filter("id is not null and text is not null").filter(F.col("src") != F.xxhash64(F.lit(None).cast("string")))
 
     # words of at least half the required rows of their source; half, as variants are united only afterwards
-    common = rows.select("src", "text").mapInPandas(_word_counts, "src long, word long, n long").groupBy("src", "word").agg(F.sum("n").alias("n"))
+    common = rows.select("src", "text").mapInPandas(filled(_word_counts), "src long, word long, n long").groupBy("src", "word").agg(F.sum("n").alias("n"))
     common = common.join(totals, "src").filter((F.col("n") >= least_rows / 2) & (F.col("n") >= F.col("rows") * least_share / 2))
     # at most the words of a mean row / (least_share / 2) for each source
     common = checkpointed(common.groupBy("src").agg(F.collect_list("word").alias("common")))
     bounded = lambda d, column: F.broadcast(d) if (d.agg(F.sum(F.size(column))).first()[0] or 0) <= broadcast_words else d
     masker = Masker(kept_share, many_slots_share)
-    keys = rows.join(bounded(common, "common"), "src").select("id", "src", "text", "common").mapInPandas(_keys(masker), "id long, src long, keys string")
+    keys = rows.join(bounded(common, "common"), "src").select("id", "src", "text", "common").mapInPandas(filled(_keys(masker)), "id long, src long, keys string")
     keys = checkpointed(keys)
     each = keys.select("src", F.explode(F.array_distinct(F.split("keys", "\n"))).alias("key")).filter("key <> ''")
     counts = each.groupBy("src", "key").agg(F.count("*").alias("n")).join(totals, "src")
@@ -270,7 +271,7 @@ def repeated_lines(
     seeds = seeds.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "key"))), lambda x: x["key"]).alias("seeds"))
     seeds = checkpointed(seeds)
     found = keys.join(bounded(seeds, "seeds"), "src").select("id", "src", "keys", "seeds")
-    found = checkpointed(found.mapInPandas(_matches(kept_share, edit_share), "id long, src long, line_no int, seed int"))
+    found = checkpointed(found.mapInPandas(filled(_matches(kept_share, edit_share)), "id long, src long, line_no int, seed int"))
     bucket, bit = F.shiftright("id", 6), F.expr("shiftleft(1L, cast(id & 63 as int))")
     bitmaps = found.groupBy("src", "seed", bucket.alias("bucket")).agg(F.bit_or(bit).alias("bits"))
     united = bitmaps.groupBy("src", "seed").agg(F.sum(F.bit_count("bits")).alias("n")).join(totals, "src")

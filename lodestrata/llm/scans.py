@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.llm.frames import filled
 from lodestrata.llm.repeated_lines import Folder, source_key
 from lodestrata.session import checkpointed
 
@@ -219,15 +220,15 @@ def lexicon(rows: DataFrame, ratio: float = 8.0) -> tuple[DataFrame, DataFrame]:
     """(vocabulary, candidates): vocabulary(word, n, j) counts every word as it stands, and joined over line ends;
     candidates(seen, word, n, cost) are the repairs of each word that a confusion explains and that is `ratio` times
     as frequent. Both come from all rows."""
-    vocabulary = rows.mapInPandas(_vocabulary, "word string, n long, j long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("j").alias("j"))
+    vocabulary = rows.mapInPandas(filled(_vocabulary), "word string, n long, j long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("j").alias("j"))
     vocabulary = checkpointed(vocabulary)
     words = vocabulary.filter(F.col("n") >= ratio)
-    index = words.filter(~F.col("word").rlike(r"[0-9@+!|$]")).select("word").mapInPandas(_deletes, "word string, key long")
-    seen = vocabulary.select("word").mapInPandas(_deletes, "word string, key long").withColumnRenamed("word", "seen")
+    index = words.filter(~F.col("word").rlike(r"[0-9@+!|$]")).select("word").mapInPandas(filled(_deletes), "word string, key long")
+    seen = vocabulary.select("word").mapInPandas(filled(_deletes), "word string, key long").withColumnRenamed("word", "seen")
     pairs = seen.join(index, "key").filter(F.col("seen") != F.col("word")).select("seen", "word").distinct()
     pairs = pairs.join(vocabulary.select(F.col("word").alias("seen"), (F.col("n") + F.col("j")).alias("m")), "seen")
     pairs = pairs.join(words.select("word", "n"), "word").filter(F.col("n") >= F.col("m") * ratio)
-    found = pairs.select("seen", "word", "n").mapInPandas(_costs, "seen string, word string, n long, cost double")
+    found = pairs.select("seen", "word", "n").mapInPandas(filled(_costs), "seen string, word string, n long, cost double")
     return vocabulary, checkpointed(found)
 
 
@@ -376,7 +377,7 @@ def scan_defects(
     known = {r.word for r in good.select("word").collect()}
 
     pages = rows.filter("scan").select("id", "src", "ci", "text")
-    facts = checkpointed(pages.mapInPandas(_pages, "id long, src long, ci long, top_key string, bottom_key string, forms array<string>, top_word string, body_word string"))
+    facts = checkpointed(pages.mapInPandas(filled(_pages), "id long, src long, ci long, top_key string, bottom_key string, forms array<string>, top_word string, body_word string"))
     by_source = facts.groupBy("src").agg(F.countDistinct("id").alias("pages"))
     keys = facts.select("src", "ci", F.explode(F.array("top_key", "bottom_key")).alias("key")).filter("key <> ''").groupBy("src", "key").agg(F.countDistinct("ci").alias("times"))
     titled = facts.join(keys.filter("times >= 2").select("src", F.col("key").alias("top_key"), F.col("times")), ["src", "top_key"]).groupBy("src").agg(F.count("*").alias("titled"))
@@ -396,11 +397,11 @@ def scan_defects(
         "id", "pages", "title_share", "page_forms", "next_key", "next_top", "next_body", F.coalesce("next_titled", F.lit(False)).alias("next_titled"), "prev_key",
         F.coalesce("top_times", F.lit(0)).alias("top_times"), F.coalesce("bottom_times", F.lit(0)).alias("bottom_times"),
     )
-    evidence = pages.select("id", "text").join(context, "id").mapInPandas(_evidence(known), "id long, line_no int, kind string, a string, b string, before string, at int")
+    evidence = pages.select("id", "text").join(context, "id").mapInPandas(filled(_evidence(known)), "id long, line_no int, kind string, a string, b string, before string, at int")
     evidence = checkpointed(evidence)
 
     certain = evidence.filter(F.col("kind").isin("page_number", "header", "char")).select("id", "line_no", F.col("kind").alias("defect"))
-    joins = evidence.filter("kind = 'join'").mapInPandas(_joins, "id long, line_no int, a string, b string, at int, whole string, compound string")
+    joins = evidence.filter("kind = 'join'").mapInPandas(filled(_joins), "id long, line_no int, a string, b string, at int, whole string, compound string")
     count = vocabulary.select("word", "n")
     joins = joins.join(count.select(F.col("word").alias("whole"), F.col("n").alias("n_whole")), "whole", "left").join(count.select(F.col("word").alias("compound"), F.col("n").alias("n_compound")), "compound", "left")
     repaired = candidates.groupBy(F.col("seen").alias("whole")).agg(F.min_by(F.struct("word", "n"), F.struct("cost", -F.col("n"), "word")).alias("best"))
@@ -413,7 +414,7 @@ def scan_defects(
     options = words.join(candidates, "seen")
     unsure = words.join(candidates.groupBy("seen").count().filter("count > 1").select("seen"), "seen", "left_semi").join(candidates, "seen")
     need = unsure.filter("before is not null").select(F.xxhash64("before", "word").alias("gram")).distinct()
-    grams = pages.select("text").mapInPandas(_bigrams, "before string, word string, k long").select(F.xxhash64("before", "word").alias("gram"), "k")
+    grams = pages.select("text").mapInPandas(filled(_bigrams), "before string, word string, k long").select(F.xxhash64("before", "word").alias("gram"), "k")
     grams = grams.join(need, "gram", "left_semi").groupBy("gram").agg(F.sum("k").alias("k"))
     options = options.withColumn("gram", F.xxhash64("before", "word")).join(grams, "gram", "left").fillna(0, ["k"])
     pick = Window.partitionBy("id", "line_no", "seen").orderBy(F.desc("k"), "cost", F.desc("n"), "word")
