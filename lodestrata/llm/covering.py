@@ -127,7 +127,7 @@ def near_duplicates(
     text_col: str,
     threshold: float = 0.8,
     shingle: int = 5,
-    groups: int = 3,
+    groups: int = 4,
     bucket_limit: int = 2000,
     broadcast_ids: int = 2_000_000,
 ) -> tuple[DataFrame, DataFrame]:

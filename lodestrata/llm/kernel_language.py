@@ -213,7 +213,7 @@ def train(df: DataFrame, id_col: str, text_col: str, label_col: str, per_languag
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 30)
     sample = texts.join(F.broadcast(chosen), "id").select("id", "label", F.slice(lines, 1, lines_each).alias("lines"))
     rows = sorted(((r.id, r.label, r.lines) for r in sample.collect()), key=lambda r: (r[1], r[0]))
-    strings = [x[:400] for _, _, ls in rows for x in ls]
+    strings = [x for _, _, ls in rows for x in ls]
     labels = [label for _, label, ls in rows for _ in ls]
     if len(set(labels)) < 2:
         raise ValueError("the labelled rows name fewer than two languages")

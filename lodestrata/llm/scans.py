@@ -229,7 +229,9 @@ def lexicon(rows: DataFrame, ratio: float = 8.0) -> tuple[DataFrame, DataFrame]:
     pairs = pairs.join(vocabulary.select(F.col("word").alias("seen"), (F.col("n") + F.col("j")).alias("m")), "seen")
     pairs = pairs.join(words.select("word", "n"), "word").filter(F.col("n") >= F.col("m") * ratio)
     found = pairs.select("seen", "word", "n").mapInPandas(filled(_costs), "seen string, word string, n long, cost double")
-    return vocabulary, checkpointed(found)
+    found = checkpointed(found)
+    misread = found.select(F.col("seen").alias("word")).distinct()  # a frequent misreading repairs nothing
+    return vocabulary, checkpointed(found.join(misread, "word", "left_anti"))
 
 
 def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
