@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +36,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once for a context, unless their PYTHONPATH already has it."""
+    root, sc = Path(__file__).resolve().parents[1], spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or any(p.startswith("lodestrata-") for p in map(os.path.basename, sc._python_includes)):
+        return
+    folder = Path(tempfile.mkdtemp(prefix="lodestrata-code-"))
+    shutil.copytree(Path(__file__).resolve().parent, folder / "package" / "lodestrata", ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(str(folder / "lodestrata-code"), "zip", folder / "package"))
