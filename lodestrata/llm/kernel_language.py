@@ -60,6 +60,7 @@ class LineSpectra:
     codes: np.ndarray
     bounds: np.ndarray
     letters: np.ndarray  # letters of each line
+    worded: np.ndarray  # the same, but 0 for lines without a word of four letters: units and codes tell no language
     first_line: np.ndarray  # first line of each text, and the number of lines at the end
 
 
@@ -81,6 +82,10 @@ def spectra(texts: list[str], table: np.ndarray) -> LineSpectra:
     n_lines = len(ends)
     letter = sym > SPACE
     letters = np.bincount(lines[letter], minlength=n_lines)
+    edges = np.flatnonzero(np.diff(np.r_[0, letter.astype(np.int8), 0]))
+    first, size = edges[::2], edges[1::2] - edges[::2]
+    long = size >= 4
+    worded = np.where(np.bincount(lines[first[long]], minlength=n_lines) > 0, letters, 0)
     base = lines.astype(np.int64) * (1 << 20)
     grams = [base[letter] + sym[letter]]
     real = sym > 0
@@ -95,7 +100,7 @@ def spectra(texts: list[str], table: np.ndarray) -> LineSpectra:
     codes = codes[np.r_[True, codes[1:] != codes[:-1]]] if len(codes) else codes
     bounds = np.searchsorted(codes, np.arange(n_lines + 1, dtype=np.int64) << 20)
     counts = np.fromiter((t.count("\n") + 1 for t in texts), dtype=np.int64, count=len(texts))
-    return LineSpectra((codes & ((1 << 20) - 1)).astype(np.int32), bounds, letters, np.r_[0, np.cumsum(counts)])
+    return LineSpectra((codes & ((1 << 20) - 1)).astype(np.int32), bounds, letters, worded, np.r_[0, np.cumsum(counts)])
 
 
 def _sums(weights: np.ndarray, s: LineSpectra, step: int = 20_000) -> np.ndarray:
@@ -157,7 +162,7 @@ def line_margins(weights: np.ndarray, s: LineSpectra) -> np.ndarray:
     f -= f.max(axis=1, keepdims=True)
     logp = f - np.log(np.exp(f).sum(axis=1, keepdims=True))
     logp = np.maximum(logp, -6.0)
-    sure = np.minimum(s.letters / 40.0, 2.0).astype(np.float32)  # short lines, headings and table rows say little
+    sure = np.minimum(s.worded / 40.0, 2.0).astype(np.float32)  # short lines, headings and table rows say little
     return logp * sure[:, None]
 
 
@@ -274,7 +279,7 @@ def _classify(texts: list[str], table: np.ndarray, weights: np.ndarray, switch:
             chars = sum(map(len, lines[x:y]))
             by[lang] += max(chars, 1)
             first = next((j for j in range(x, y) if lines[j].strip()), x)
-            weight = np.minimum(letters[x:y] / 40.0, 2.0)
+            weight = np.minimum(s.worded[a + x : a + y] / 40.0, 2.0)
             mean = own[x:y].sum(axis=0) / max(float(weight.sum()), 1e-9)
             p = np.exp(mean - mean.max())
             out.append({"line_no": first + 1, "end_line": y, "lang": LANGUAGES[lang], "confidence": float(p[lang] / p.sum())})
