@@ -84,6 +84,8 @@ CITATION = re.compile(r"\s*\[[^\[\]\n]*\]\s*$")
 NOTHING = re.compile(r"(?i)^(null|none|n/?a|nan|nil|undefined|empty|\W|_)*$")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+#: Words at the end of an answer that are looked up together.
+ORDERS = (1, 2, 3, 4, 5)
 PROSE_WORD = re.compile(r"\b[^\W\d_]{3,}\b")
 PLAIN_VALUE = re.compile(r"^[<>≤≥±~]?\s*[-+]?\d[\d.,]*\s*[^\s\d]{0,6}(/[^\s\d]{1,4})?$")
 CODE = re.compile(r"^(?=.*\d)[A-Z][A-Z0-9]*(?:[-/][A-Z0-9]+)*$")
@@ -193,7 +195,7 @@ def _masked(sentence: str) -> list[str]:
 
 
 def classify(query: str | None, text: str | None, expected_not_found: bool | None) -> tuple[str | None, list[int] | None]:
-    """(defect, None), or (None, hashes of the last one to three words) if only statistics tell whether it broke off."""
+    """(defect, None), or (None, hashes of the last one to five words) if only statistics tell whether it broke off."""
     answer = visible(text)
     if NOTHING.match(answer):
         return "empty", None
@@ -219,7 +221,7 @@ def classify(query: str | None, text: str | None, expected_not_found: bool | Non
         while (shorter := CITATION.sub("", answer).rstrip()) != answer and shorter:
             answer = shorter
         w = _masked(SENTENCE.split(answer)[-1])
-        return None, [_gram(w[-k:]) for k in (1, 2, 3) if len(w) >= k]
+        return None, [_gram(w[-k:]) for k in ORDERS if len(w) >= k]
     return None, None
 
 
@@ -229,33 +231,49 @@ def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": pdf["id"], "defect": [x[0] for x in out], "tail": [x[1] for x in out]})
 
 
-def _endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each sequence of one to three words, how often it stands at the end of a closed sentence and elsewhere."""
-    for pdf in batches:
-        ends: Counter[int] = Counter()
-        all_: Counter[int] = Counter()
-        for text in pdf["answer"]:
-            for s in SENTENCE.split(visible(text)):
-                if s.rstrip()[-1:] in (".", "!", "?"):
-                    w = _masked(s)
-                    for k in (1, 2, 3):
-                        for i in range(len(w) - k + 1):
-                            g = " ".join(w[i : i + k])
-                            all_[g] += 1
-                            if i + k == len(w):
-                                ends[g] += 1
-        grams = list(all_)
-        yield pd.DataFrame({"gram": [xxhash.xxh64_intdigest(g) - (1 << 63) for g in grams], "ends": [ends[g] for g in grams], "seen": [all_[g] for g in grams]})
+def _endings(last_words: set[int] | None):
+    """For each sequence of one to five words, how often it stands at the end of a closed sentence and anywhere in one;
+    only for those whose last word is among `last_words`, if these are given."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted: dict[str, bool] = {}
+        for pdf in batches:
+            ends: Counter[str] = Counter()
+            all_: Counter[str] = Counter()
+            for text in pdf["answer"]:
+                for s in SENTENCE.split(visible(text)):
+                    if s.rstrip()[-1:] in (".", "!", "?"):
+                        w = _masked(s)
+                        for i in range(1, len(w) + 1):
+                            if last_words is not None:
+                                ask = wanted.get(w[i - 1])
+                                if ask is None:
+                                    ask = wanted[w[i - 1]] = _gram([w[i - 1]]) in last_words
+                                if not ask:
+                                    continue
+                            for k in ORDERS:
+                                if k <= i:
+                                    g = " ".join(w[i - k : i])
+                                    all_[g] += 1
+                                    if i == len(w):
+                                        ends[g] += 1
+            grams = list(all_)
+            yield pd.DataFrame({"gram": [_gram([g]) for g in grams], "ends": [ends[g] for g in grams], "seen": [all_[g] for g in grams]})
+            if len(wanted) > 300_000:
+                wanted.clear()
+
+    return run
 
 
 def defective_pairs(
-    df: DataFrame, id_col: str, query_col: str, answer_col: str, not_found_col: str | None = None, end_share: float = 0.3, least_seen: int = 3
+    df: DataFrame, id_col: str, query_col: str, answer_col: str, not_found_col: str | None = None, end_share: float = 0.3, least_seen: int = 3, most_last_words: int = 200_000
 ) -> DataFrame:
     """(id, defect): the pairs that are no usable answer, each with one of empty, refusal, copy, wrong_language, truncated.
 
     The first of these that holds is given. Null and blank answers are empty; a null query is compared with nothing;
-    a null flag takes an answer that nothing was found for right. An answer without final stop is truncated if its last
-    words, the longest of three, two or one seen at least `least_seen` times in closed sentences of the table, end a
+    `most_last_words` only bounds a
+    list that spares lookups; a null flag takes an answer that nothing was found for right. An answer without final stop is truncated if its last
+    words, the longest of five to one of them seen at least `least_seen` times in closed sentences of the table, end a
     sentence in less than `end_share` of their cases, or if its last word is never seen in one. Repeated rows are each
     classified; rows with a null id are kept with their null; an empty table gives no rows; other columns are ignored.
     """
@@ -269,7 +287,9 @@ def defective_pairs(
     open_ = first.filter(F.col("tail").isNotNull() & F.col("defect").isNull()).withColumn("uid", F.monotonically_increasing_id())
     grams = open_.select("uid", "id", F.posexplode("tail").alias("k", "gram"))
     need = grams.select("gram").distinct()
-    stats = rows.select("answer").filter(F.col("answer").isNotNull()).mapInPandas(filled(_endings), "gram long, ends long, seen long")
+    lasts = open_.select(F.col("tail")[0].alias("gram")).distinct()
+    last_words = {r.gram for r in lasts.collect()} if lasts.count() <= most_last_words else None
+    stats = rows.select("answer").filter(F.col("answer").isNotNull()).mapInPandas(filled(_endings(last_words)), "gram long, ends long, seen long")
     stats = stats.join(need, "gram", "left_semi").groupBy("gram").agg(F.sum("ends").alias("ends"), F.sum("seen").alias("seen"))
     judged = grams.join(stats, "gram", "left").fillna(0, ["ends", "seen"])
     share = F.when(F.col("seen") >= least_seen, F.col("ends") / F.col("seen"))
