@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import checkpointed
+
 
 @lru_cache(maxsize=8)
 def client(factory: Callable[[], Any]) -> Any:
@@ -125,11 +127,11 @@ def corrected(df: DataFrame, text_col: str, feedback, rewrite, tries: int = 2) -
     `feedback` (DataFrame to DataFrame) adds compliant and messages; `rewrite` (DataFrame to DataFrame) replaces the
     text of the rows it is given. Rows that are compliant, or that a rewrite leaves as they are, are not asked again.
     """
-    todo = feedback(df).withColumn("was_corrected", F.lit(False)).withColumn("_stop", F.col("compliant"))
+    todo = checkpointed(feedback(df).withColumn("was_corrected", F.lit(False)).withColumn("_stop", F.col("compliant")))
     for _ in range(tries):
         done, open_ = todo.filter("_stop"), todo.filter("not _stop").withColumn("_before", F.col(text_col))
         again = rewrite(open_.drop("compliant", "messages"))
         changed = ~F.col(text_col).eqNullSafe(F.col("_before"))
         again = feedback(again.withColumn("was_corrected", F.col("was_corrected") | changed).withColumn("_stop", ~changed).drop("_before"))
-        todo = done.unionByName(again.withColumn("_stop", F.col("_stop") | F.col("compliant")))
+        todo = checkpointed(done.unionByName(again.withColumn("_stop", F.col("_stop") | F.col("compliant"))))
     return todo.drop("_stop")

@@ -94,6 +94,13 @@ def bm25_topk(
     tokens = tokenised(chunks, id_col, text_col)
     corpus = corpus_stats(tokens)
     stats = checkpointed(term_stats(postings(tokens), corpus, params))
+    return index_topk(tokens, corpus, stats, queries, query_id, query_col, k, params, digits, queries_at_once)
+
+
+def index_topk(
+    tokens: DataFrame, corpus: DataFrame, stats: DataFrame, queries: DataFrame, query_id: str, query_col: str, k: int = 15, params: Bm25Params = Bm25Params(), digits: int = 9, queries_at_once: int = 2000
+) -> DataFrame:
+    """bm25_topk over the tables of an index: tokens(doc_id, tokens), corpus(n, avgdl) and stats(term, df, idf)."""
     asked = queries.select(F.col(query_id).cast("long").alias("query_id"), technical_tokens(F.col(query_col)).alias("terms")).filter("query_id is not null")
     passes = max(1, math.ceil(asked.count() / queries_at_once))
     dl = F.size("tokens")

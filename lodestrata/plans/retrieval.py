@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import base_name, technical_tokens
@@ -49,9 +49,9 @@ def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, p: Retri
     return fusion.rerank_decision(scored, p.min_score, p.rrf_floor, p.fallback, p.context)
 
 
-def contexts(retrieved: DataFrame, budget: int = 4500) -> DataFrame:
+def contexts(retrieved: DataFrame, budget: int | Column = 4500) -> DataFrame:
     """(query_id, context, citations): the leading texts within the budget and their sources, each cited once."""
-    blocks = fusion.within_budget(retrieved, ["query_id"], ["final_rank"], "text", F.lit(budget))
+    blocks = fusion.within_budget(retrieved, ["query_id"], ["final_rank"], "text", budget if isinstance(budget, Column) else F.lit(budget))
     text = fusion.joined_text(blocks, ["query_id"], "final_rank", "text")
     cited = fusion.distinct_citations(blocks.withColumn("name", base_name(F.col("source"))), ["query_id"], ["final_rank"], ["name", "page"])
     each = F.array_sort(F.collect_list(F.struct("final_rank", "name", "page", "rerank_score", "rrf_score")))

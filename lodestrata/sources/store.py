@@ -104,6 +104,7 @@ def write_bm25(chunks: DataFrame, id_col: str, text_col: str, root: str) -> None
     """The postings and statistics of all chunks as tables; readers pick them up by reading them again."""
     tokens = bm25.tokenised(chunks, id_col, text_col)
     posts, corpus = bm25.postings(tokens), bm25.corpus_stats(tokens)
+    tokens.write.mode("overwrite").parquet(f"{root}/tokens")
     posts.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{root}/postings")
     corpus.write.mode("overwrite").parquet(f"{root}/corpus")
     spark = chunks.sparkSession
@@ -111,6 +112,16 @@ def write_bm25(chunks: DataFrame, id_col: str, text_col: str, root: str) -> None
     stats.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{root}/terms")
 
 
+def read_bm25(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tokens, corpus, stats) of a written index, for bm25.index_topk."""
+    return spark.read.parquet(f"{root}/tokens"), spark.read.parquet(f"{root}/corpus"), spark.read.parquet(f"{root}/terms")
+
+
+def missing_paths(required: list[str]) -> list[str]:
+    """Those of the paths that a start needs and that do not exist."""
+    return [p for p in required if not Path(p).exists()]
+
+
 def reset_index(root: str, keep: tuple[str, ...] = ()) -> list[str]:
     """Remove everything under an index root but the kept names; refuses roots that are no index folder."""
     path = Path(root).resolve()

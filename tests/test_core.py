@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import hashing, models, text
 from lodestrata.operators import answers, bm25, chunking, evaluation, fusion, knn, querying
-from lodestrata.plans import ingest, retrieval
+from lodestrata.plans import answer, ingest, retrieval
 from lodestrata.sources import readers, store
 from lodestrata.streaming.ingest import event_windows, ingest_stream
 
@@ -275,6 +275,7 @@ def test_store_and_stream(spark, tmp_path):
     assert c.read("two").count() == 2
     store.write_bm25(c.read("two"), "chunk_hash", "documents", str(tmp_path / "root/index"))
     assert spark.read.parquet(str(tmp_path / "root/index/terms")).count() > 0
+    assert store.missing_paths([str(tmp_path), "/no/such"]) == ["/no/such"]
     assert store.reset_index(str(tmp_path / "root"), keep=("index",)) == ["collection_name=one", "collection_name=two"]
     with pytest.raises(ValueError):
         store.reset_index("/")
@@ -353,6 +354,54 @@ def test_plans(spark):
     assert "PushedFilters: [" in p and "EqualTo(page,3)]" in p and "ReadSchema: struct<row_id:bigint,source:string,page:int>" in p
 
 
+def test_index_gives_the_same_hits(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"{w} pump valve {i}") for i, w in enumerate("abcdefgh")], "id long, t string")
+    queries = spark.createDataFrame([(1, "c pump"), (2, "valve 5")], "q long, t string")
+    store.write_bm25(docs, "id", "t", str(tmp_path / "i"))
+    stored = bm25.index_topk(*store.read_bm25(spark, str(tmp_path / "i")), queries, "q", "t", k=3)
+    direct = bm25.bm25_topk(docs, "id", "t", queries, "q", "t", k=3)
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, direct.collect()))
+
+
+def test_answers_end_to_end(spark):
+    texts = ["--- SOURCE: a.pdf | PAGE 1 ---\nThe pump X1 runs at 24V.", "--- SOURCE: b.pdf | PAGE 2 ---\nThe valve opens slowly.", " "]
+    rows = [(i, t, f"{'ab'[i % 2]}.pdf", i + 1, "", "False", "") for i, t in enumerate(texts)]
+    chunks = spark.createDataFrame(rows, "row_id long, documents string, source string, page int, parent_context string, has_visual string, image_path string")
+    vectors = models.embedded(chunks.select("row_id", (F.col("row_id") + 10).alias("vec_id"), "documents"), "documents").select("vec_id", "row_id", "embedding")
+
+    def reply(prompt):
+        if prompt.startswith("Is the question"):
+            return "CHAT" if "hello" in prompt else "SEARCH"
+        if prompt.startswith("Rewrite the question"):
+            return "What voltage has the pump X1?"
+        if prompt.startswith("Does the context"):
+            return 'so {"verdict": "UNSUPPORTED", "unsupported_claims": ["' + ("the pump X1 at 24V" if "24V" in prompt.split("Answer:")[1] else "the fan Z9") + '"]}'
+        if "Rewrite the answer" in prompt:
+            return "<answer>Check the pump X1 at 24V.</answer>"
+        if "hello" in prompt:
+            return "<think>greet</think>Hello."
+        return "<answer>It has a fan Z9.</answer>" if "valve" in prompt.split("Question:")[1] else "<answer>The pump X1 at 24V. " + "word " * 30 + "</answer>"
+
+    model = lambda d: models.completed(d, "prompt", lambda: reply)
+    questions = spark.createDataFrame(
+        [(1, "its voltage?", "User: tell me of the pump X1", "General", False, None), (2, "How does the valve open?", None, "General", False, None), (3, "hello", None, None, False, "old"), (4, "the pump X1 voltage", None, "Procedure", True, None), (5, "/b.pdf the pump X1", None, "Safety", False, None), (6, "", None, "Safety", False, None)],
+        "query_id long, query string, history string, template_type string, strict_mode boolean, last_context string",
+    )
+    embed = lambda d: models.embedded(d, "query")
+    got = {r.query_id: r for r in answer.answered(questions, chunks, vectors, embed, model).collect()}
+    assert len(got) == 6
+    assert got[1].final_text.startswith("The pump X1 at 24V.") and not got[1].was_corrected and got[1].sources
+    assert got[2].final_text == answer.NOTHING_FOUND and got[2].sources is None and got[2].context
+    assert got[3].final_text == "Hello." and got[3].context == "old" and got[3].is_compliant
+    assert got[4].final_text == "Check the pump X1 at 24V." and got[4].was_corrected and got[4].is_compliant
+    assert all(s.name == "b.pdf" for s in got[5].sources or [])
+
+
+def test_kept_sources(spark):
+    df = spark.createDataFrame([("--- SOURCE: d/A.pdf | PAGE 2 ---\nx", [("a.pdf", 2), ("a.pdf", 3)]), ("no marker", [("a.pdf", 2)])], "c string, s array<struct<source: string, page: int>>")
+    assert [len(r.k) for r in df.select(answer.kept_sources(F.col("c"), F.col("s")).alias("k")).collect()] == [1, 1]
+
+
 def test_retrieval_end_to_end(spark):
     from lodestrata.plans.queries import hybrid_retrieval
 
