@@ -30,7 +30,7 @@ EMPTY = np.uint64(1) << np.uint64(62)
 
 
 def sketch(shingles: np.ndarray, bins: int) -> np.ndarray:
-    """One-permutation min-hashes of a shingle set; an empty bin borrows from the next full one at its right."""
+    """One-permutation min-hashes of a shingle set, 16 bits of each; an empty bin borrows from the next full one at its right."""
     v = mix(shingles ^ np.uint64(0x9E3779B97F4A7C15))
     b = (v % np.uint64(bins)).astype(np.int64)
     v >>= np.uint64(8)
@@ -40,7 +40,7 @@ def sketch(shingles: np.ndarray, bins: int) -> np.ndarray:
     at = np.searchsorted(full, np.arange(bins))
     src = full[at % len(full)]
     hops = (src - np.arange(bins)) % bins
-    return mix(low[src] + hops.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32).view(np.int32)
+    return mix(low[src] + hops.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint16).view(np.int16)
 
 
 def _sketches(size: int, bins: int):
@@ -143,7 +143,7 @@ def near_duplicates(
     bins = POSITIONS * groups
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = texts.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
-    rows = checkpointed(texts.mapInPandas(filled(_sketches(shingle, bins)), "id long, fp binary, n int, sketch array<int>"))
+    rows = checkpointed(texts.mapInPandas(filled(_sketches(shingle, bins)), "id long, fp binary, n int, sketch array<smallint>"))
     classes = rows.groupBy("fp").agg(F.min("id").alias("rep"))
     members = rows.select("id", "fp").join(classes, "fp").select("id", "rep")
     reps = rows.groupBy("fp").agg(F.min_by(F.struct("n", "sketch"), "id").alias("s"), F.min("id").alias("id"))
