@@ -136,7 +136,7 @@ def near_duplicates(
     Returns (links, members): links(a, b, similarity) with a < b holds every pair of class representatives whose
     Jaccard similarity over distinct word shingles is at least `threshold`; members(id, rep) maps every record with at
     least one shingle to the smallest id that has the same shingle set. Null or empty texts and those shorter than a
-    shingle are in neither. The ids must be unique and not null (a null id is skipped); other columns are ignored.
+    shingle are in neither. A row repeated under its id counts once, a null id is skipped; other columns are ignored.
     A bucket with more than `bucket_limit` members is not enumerated in one task: its members are split into blocks
     and each pair of blocks becomes a task of its own. Candidate ids are broadcast only if at most `broadcast_ids`.
     """
@@ -145,7 +145,7 @@ def near_duplicates(
     texts = texts.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
     rows = checkpointed(texts.mapInPandas(filled(_sketches(shingle, bins)), "id long, fp binary, n int, sketch array<smallint>"))
     classes = rows.groupBy("fp").agg(F.min("id").alias("rep"))
-    members = rows.select("id", "fp").join(classes, "fp").select("id", "rep")
+    members = rows.select("id", "fp").join(classes, "fp").select("id", "rep").distinct()
     reps = rows.groupBy("fp").agg(F.min_by(F.struct("n", "sketch"), "id").alias("s"), F.min("id").alias("id"))
     reps = checkpointed(reps.select("id", "s.n", "s.sketch"))
 
@@ -179,7 +179,7 @@ def near_duplicates(
     ids = checkpointed(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     wanted = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
     sets = texts.join(wanted, "id", "left_semi").mapInPandas(filled(_packed_sets(shingle)), "id long, packed binary")
-    sets = checkpointed(sets)
+    sets = checkpointed(sets.dropDuplicates(["id"]))
     joined = likely.join(sets.select(F.col("id").alias("a"), F.col("packed").alias("set_a")), "a")
     joined = joined.join(sets.select(F.col("id").alias("b"), F.col("packed").alias("set_b")), "b")
     links = joined.mapInPandas(filled(_jaccard), "a long, b long, similarity double").filter(F.col("similarity") >= threshold)
