@@ -20,6 +20,7 @@ from lodestrata.session import checkpointed
 
 ENTRY = np.dtype([("id", "<i8"), ("sim", "<f4")])
 GROUP = 32
+STEPS = 32_767  # similarities travel in steps of 1 / STEPS, finer than the half precision of the vectors
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -109,16 +110,18 @@ def _best(ids: np.ndarray, m: np.ndarray, own: slice, k: int) -> tuple[np.ndarra
 
 
 def _packed(ids: np.ndarray, sims: np.ndarray) -> list[bytes]:
-    """One blob for each row: the ids' bytes by significance, which compress well in a shuffle, then the similarities."""
+    """One blob for each row: the ids' bytes by significance, which compress well in a shuffle, then the similarities
+    in two bytes each."""
     planes = ids.astype("<i8").view(np.uint8).reshape(*ids.shape, 8).transpose(0, 2, 1).reshape(len(ids), -1)
-    return [a.tobytes() + b.tobytes() for a, b in zip(planes, sims.astype("<f4"), strict=True)]
+    steps = np.round((np.clip(sims, -1, 1) + 1) * STEPS).astype("<u2")
+    return [a.tobytes() + b.tobytes() for a, b in zip(planes, steps, strict=True)]
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    n = len(blob) // ENTRY.itemsize
+    n = len(blob) // 10
     e = np.empty(n, dtype=ENTRY)
     e["id"] = np.ascontiguousarray(np.frombuffer(blob, np.uint8, 8 * n).reshape(8, n).T).view("<i8").ravel()
-    e["sim"] = np.frombuffer(blob, "<f4", n, 8 * n)
+    e["sim"] = np.frombuffer(blob, "<u2", n, 8 * n) / np.float32(STEPS) - 1
     return e
 
 
