@@ -92,7 +92,8 @@ def _best(ids: np.ndarray, m: np.ndarray, own: slice, k: int) -> tuple[np.ndarra
     The columns are taken in groups of 32: the k best lie in the k groups with the largest maxima.
     """
     n, k = len(ids), min(k, len(ids) - 1)
-    sims = np.full((own.stop - own.start, -(-n // GROUP) * GROUP), -np.inf, dtype=np.float32)
+    sims = np.empty((own.stop - own.start, -(-n // GROUP) * GROUP), dtype=np.float32)
+    sims[:, n:] = -np.inf
     np.matmul(m[own], m.T, out=sims[:, :n])
     rows = np.arange(len(sims))
     sims[rows, own.start + rows] = -np.inf
@@ -100,9 +101,11 @@ def _best(ids: np.ndarray, m: np.ndarray, own: slice, k: int) -> tuple[np.ndarra
     few = min(k, tops.shape[1])
     at = np.argpartition(-tops, few - 1, axis=1)[:, :few]
     at = (at[:, :, None] * GROUP + np.arange(GROUP)).reshape(len(sims), -1)
-    part = np.take_along_axis(at, np.argpartition(-np.take_along_axis(sims, at, 1), k - 1, axis=1)[:, :k], 1)
-    edge = np.take_along_axis(sims, part, 1).min(axis=1)
-    tied = np.flatnonzero((sims >= edge[:, None]).sum(axis=1) > k)
+    some = np.take_along_axis(sims, at, 1)
+    part = np.take_along_axis(at, np.argpartition(-some, k - 1, axis=1)[:, :k], 1)
+    edge = np.take_along_axis(sims, part, 1).min(axis=1)[:, None]
+    tied = np.flatnonzero(((some >= edge).sum(axis=1) > k) | ((tops >= edge).sum(axis=1) > few))
+    edge = edge[:, 0]
     for r in tied:  # equal vectors at the edge: take the smaller ids
         at = np.flatnonzero(sims[r, :n] >= edge[r])
         part[r] = at[np.lexsort((ids[at], -sims[r][at]))[:k]]
