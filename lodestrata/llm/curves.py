@@ -89,7 +89,7 @@ def _keys(dim: int, curves: int, axes: int, bits: int, seed: int):
 def _best(ids: np.ndarray, m: np.ndarray, own: slice, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row of m[own] the k best of m by (similarity down, id up): positions and similarities.
 
-    The columns are taken in groups of 32: the k best lie in the k groups with the largest maxima.
+    The columns are taken in groups of GROUP: the k best lie in the k groups with the largest maxima.
     """
     n, k = len(ids), min(k, len(ids) - 1)
     sims = np.empty((own.stop - own.start, -(-n // GROUP) * GROUP), dtype=np.float32)
@@ -97,10 +97,11 @@ def _best(ids: np.ndarray, m: np.ndarray, own: slice, k: int) -> tuple[np.ndarra
     np.matmul(m[own], m.T, out=sims[:, :n])
     rows = np.arange(len(sims))
     sims[rows, own.start + rows] = -np.inf
-    tops = sims.reshape(len(sims), -1, GROUP).max(axis=2)
-    few = min(k, tops.shape[1])
+    tops = sims.reshape(len(sims), GROUP, -1).max(axis=1)  # columns a fixed stride apart: fast to reduce
+    groups = tops.shape[1]
+    few = min(k, groups)
     at = np.argpartition(-tops, few - 1, axis=1)[:, :few]
-    at = (at[:, :, None] * GROUP + np.arange(GROUP)).reshape(len(sims), -1)
+    at = (at[:, :, None] + groups * np.arange(GROUP)).reshape(len(sims), -1)
     some = np.take_along_axis(sims, at, 1)
     part = np.take_along_axis(at, np.argpartition(-some, k - 1, axis=1)[:, :k], 1)
     edge = np.take_along_axis(sims, part, 1).min(axis=1)[:, None]
