@@ -31,6 +31,9 @@ MERGED = (("rn", "m"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("li", "h"), ("fi"
 SAME = str.maketrans("ci", "el")
 NO_DIGITS = str.maketrans("", "", "0123456789")
 CODE_SIGN = "#"
+# Units of measurement; lines with different units are different lines.
+UNITS = set("v a w kw mw ma bar mbar kpa mpa pa hz khz mhz db nm mm cm m µm um ml l l/min rpm kg g mg °c °f c ohm kohm mohm s ms h min %".split())
+GLUED = re.compile(r"\d[\d.,]*([^\d.,].*)")
 
 
 def source_key(source: Column) -> Column:
@@ -83,7 +86,19 @@ class Folder:
                 out.append("")
                 continue
             words = []
-            for token in TOKEN.findall(line):
+            name = number = False
+            for n, token in enumerate(TOKEN.findall(line)):
+                after, number = number, token[-1].isdigit() and token[0].isdigit()
+                unit = token.rstrip(".,;:").lower() if after else (m := GLUED.fullmatch(token)) and m[1].rstrip(".,;:").lower()
+                if unit in UNITS and (after or len(unit) > 1 or unit in "vaw%"):  # a lone s or l may be a misread digit
+                    words.append(CODE_SIGN + unit)
+                    continue
+                if name and token[0].isupper():  # the surname after an initial
+                    name = False
+                    continue
+                name = n > 0 and len(token) == 2 and token[1] == "." and token[0].isupper()
+                if name:
+                    continue
                 w = cache.get(token)
                 if w is None:
                     w = cache[token] = fold_token(token)
@@ -133,7 +148,7 @@ class Masker:
         if len(hashes) > 300_000:
             hashes.clear()
         words = line.split(" ")
-        if len(words) > 1:  # initials tell nothing
+        if len(words) > 1:  # single letters tell nothing
             words = [w for w in words if len(w) > 1] or words
         kept, slots, inside = [], 0, False
         for w in words:
@@ -170,43 +185,33 @@ def _keys(masker: Masker):
     return run
 
 
-def edits(a: str, b: str, most: int) -> int:
-    """Levenshtein distance, or most + 1 if it is larger."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        left = row[0]
-        row[0] = i
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], min(left + (x != y), row[j] + 1, row[j - 1] + 1)
-        if min(row) > most:
-            return most + 1
-    return row[-1]
-
-
-def variant_of(key: str, seeds: list[tuple[str, list[str]]], kept_share: float, edit_share: float) -> int:
-    """Position of the first of the seeds, most frequent first, that the key equals, that it becomes without one run of words (a filled-in name that
-    is itself common), or that lies within the edit distance; -1 if there is none."""
+def lacks_only(words: list[str], parts: list[str]) -> bool:
+    """Whether words are parts without some of them, in order."""
+    left = iter(parts)
+    return all(w in left for w in words)
+
+
+def variant_of(key: str, seeds: list[tuple[str, list[str]]], kept_share: float, lost_share: float) -> int:
+    """Position of the first of the seeds, most frequent first, that the key equals, that it becomes without one or
+    two words in a row (a filled-in name that is itself common), or of which it lacks only words with at most `lost_share` of the
+    letters (misread ones, which are rare and so masked); -1 if there is none."""
     words = key.split(" ")
     own = set(words)
     for i, (seed, parts) in enumerate(seeds):
         if key == seed:
             return i
-        n = len(parts)
-        hits = sum(w in own for w in parts)
-        if len(words) > n >= 2 and hits == n and len(seed) >= kept_share * len(key):
+        n, m = len(parts), len(words)
+        if n + 2 >= m > n >= 2 and len(seed) >= kept_share * len(key) and all(w in own for w in parts):
             head = next((j for j in range(n) if words[j] != parts[j]), n)
             tail = next((j for j in range(n) if words[-1 - j] != parts[-1 - j]), n)
             if head + tail >= n:
                 return i
-        most = -(-int(min(len(key), len(seed)) * edit_share * 100) // 100)
-        if len(key) >= 6 and 2 * hits >= n and edits(key, seed, most) <= most:
+        elif m < n and len(key) >= (1 - lost_share) * len(seed) and lacks_only(words, parts):
             return i
     return -1
 
 
-def _matches(kept_share: float, edit_share: float):
+def _matches(kept_share: float, lost_share: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, seeds, known = None, [], {}
         for pdf in batches:
@@ -215,12 +220,12 @@ def _matches(kept_share: float, edit_share: float):
                 if src != last:
                     last = src
                     seeds = [(k, k.split(" ")) for k in own]
-                    known = {k: variant_of(k, seeds, kept_share, edit_share) for k in own}  # a seed may be a variant itself
+                    known = {k: variant_of(k, seeds, kept_share, lost_share) for k in own}  # a seed may be a variant itself
                 for n, key in enumerate(keys.split("\n"), 1):
                     if key:
                         i = known.get(key)
                         if i is None:
-                            i = variant_of(key, seeds, kept_share, edit_share)
+                            i = variant_of(key, seeds, kept_share, lost_share)
                             if len(known) < 100_000:
                                 known[key] = i
                         if i >= 0:
@@ -239,7 +244,7 @@ def repeated_lines(
     least_share: float = 0.2,
     kept_share: float = 0.45,
     many_slots_share: float = 0.7,
-    edit_share: float = 0.2,
+    lost_share: float = 0.4,
     broadcast_words: int = 4_000_000,
 ) -> DataFrame:
     """(id, line_no): every line to be removed, line_no counted from 1 over the text split at newlines.
@@ -271,7 +276,7 @@ def repeated_lines(
     seeds = seeds.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "key"))), lambda x: x["key"]).alias("seeds"))
     seeds = checkpointed(seeds)
     found = keys.join(bounded(seeds, "seeds"), "src").select("id", "src", "keys", "seeds")
-    found = checkpointed(found.mapInPandas(filled(_matches(kept_share, edit_share)), "id long, src long, line_no int, seed int"))
+    found = checkpointed(found.mapInPandas(filled(_matches(kept_share, lost_share)), "id long, src long, line_no int, seed int"))
     bucket, bit = F.shiftright("id", 6), F.expr("shiftleft(1L, cast(id & 63 as int))")
     bitmaps = found.groupBy("src", "seed", bucket.alias("bucket")).agg(F.bit_or(bit).alias("bits"))
     united = bitmaps.groupBy("src", "seed").agg(F.sum(F.bit_count("bits")).alias("n")).join(totals, "src")

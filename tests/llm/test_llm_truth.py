@@ -14,7 +14,7 @@ from lodestrata.llm.curves import hilbert_keys, nearest_vectors
 from lodestrata.llm.kernel_language import LABELS, document_languages
 from lodestrata.llm.packing import load_tokenizer
 from lodestrata.llm.pairs import classify
-from lodestrata.llm.repeated_lines import edits, fold_token
+from lodestrata.llm.repeated_lines import Folder, fold_token, variant_of
 from lodestrata.llm.scans import confusion_cost, misread_number, page_number_form, scan_defects, word_of
 
 DATA = "/root/testdata/sf0.001"
@@ -143,7 +143,16 @@ def test_folding():
     assert fold_token("frorn") == fold_token("from")
     assert fold_token("2024-05-21") == "" and fold_token("|") == ""
     assert fold_token("JU-868-78") == fold_token("(ju-112-78).")
-    assert edits("kitten", "sitting", 3) == 3 and edits("kitten", "sitting", 2) == 3
+    lines = Folder().lines
+    assert lines("Reviewed by T. Halloux on 2024-05-21") == lines("* REVIEWED BY B. ORLANE ON 01/02/2003;")
+    assert lines("A loss of 12 bar") != lines("A loss of 12 kPa") and lines("A loss of 12 bar") == lines("A loss of 3.5bar")
+    assert lines("Page 3S of 78") == lines("Page 12 of 78") and lines("--- SOURCE: a | PAGE 1 ---\nx1") == ["", ""]
+
+
+def test_variants():
+    seeds = [(k, k.split(" ")) for k in ("share this topic", "read the booklet before you work")]
+    find = lambda k: variant_of(k, seeds, 0.45, 0.4)
+    assert [find(k) for k in ("share this topic", "share this orlane topic", "read the booklet you work", "before you work", "share the booklet")] == [0, 0, 1, -1, -1]
 
 
 def test_scan_parts():
