@@ -69,14 +69,27 @@ def fold_token(token: str) -> str:
     return t.translate(SAME)
 
 
+NUMBER, INITIAL = 1, 2
+
+
 class Folder:
     """fold_token with a bounded cache; the result never depends on the cache."""
 
     def __init__(self, capacity: int = 300_000):
-        self.cache: dict[str, str] = {}
+        self.cache: dict[str, tuple[str, int]] = {}
         self.capacity = capacity
 
+    @staticmethod
+    def entry(token: str) -> tuple[str, int]:
+        """(words of the token, what it may be for the next one)."""
+        if (m := GLUED.fullmatch(token)) and (unit := m[1].rstrip(".,;:").lower()) in UNITS and (len(unit) > 1 or unit in "vaw%"):
+            return CODE_SIGN + unit, 0  # a lone s or l may be a misread digit
+        if token[0].isdigit() and token[-1].isdigit():
+            return fold_token(token), NUMBER
+        return fold_token(token), INITIAL if len(token) == 2 and token[1] == "." and token[0].isupper() else 0
+
     def lines(self, text: str) -> list[str]:
+        """The folded lines of a text: a unit after a number is kept like a code, an initial and the surname after it go."""
         cache = self.cache
         if len(cache) > self.capacity:
             cache.clear()
@@ -85,25 +98,25 @@ class Folder:
             if line.startswith("--- SOURCE:") and MARKER.fullmatch(line):
                 out.append("")
                 continue
-            words = []
-            name = number = False
-            for n, token in enumerate(TOKEN.findall(line)):
-                after, number = number, token[-1].isdigit() and token[0].isdigit()
-                unit = token.rstrip(".,;:").lower() if after else (m := GLUED.fullmatch(token)) and m[1].rstrip(".,;:").lower()
-                if unit in UNITS and (after or len(unit) > 1 or unit in "vaw%"):  # a lone s or l may be a misread digit
-                    words.append(CODE_SIGN + unit)
-                    continue
-                if name and token[0].isupper():  # the surname after an initial
-                    name = False
-                    continue
-                name = n > 0 and len(token) == 2 and token[1] == "." and token[0].isupper()
-                if name:
+            words: list[str] = []
+            before = -1  # nothing yet
+            for token in TOKEN.findall(line):
+                e = cache.get(token)
+                if e is None:
+                    e = cache[token] = self.entry(token)
+                word, kind = e
+                if before > 0:
+                    if before == INITIAL and token[0].isupper():
+                        before = 0
+                        continue
+                    if before == NUMBER and (unit := token.rstrip(".,;:").lower()) in UNITS:
+                        word, kind = CODE_SIGN + unit, 0
+                if kind == INITIAL and before >= 0:
+                    before = kind
                     continue
-                w = cache.get(token)
-                if w is None:
-                    w = cache[token] = fold_token(token)
-                if w:
-                    words.append(w)
+                before = kind if kind == NUMBER else 0
+                if word:
+                    words.append(word)
             out.append(" ".join(words))
         return out
 
