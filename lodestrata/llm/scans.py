@@ -344,7 +344,7 @@ def _joins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["id", "line_no", "a", "b", "at", "whole", "compound"]).astype({"line_no": "int32", "at": "Int32"})
 
 
-def scan_defects(
+def _analysed(
     df: DataFrame,
     id_col: str,
     text_col: str,
@@ -355,18 +355,11 @@ def scan_defects(
     ratio: float = 8.0,
     known_words: int = 50_000,
     broadcast_sources: int = 1_000_000,
-) -> tuple[DataFrame, DataFrame]:
-    """(defects, repairs): what is wrong in the scanned pages, and how the misread words are repaired.
-
-    defects(id, line_no, defect) has hyphen, char, header and page_number, line_no counted from 1 over the text split at
-    newlines; repairs(id, line_no, seen, repair) has the word for each misread one. A source is scanned if in at least
-    `scan_share` of its rows no line is longer than `widest`; such a row is a page. `order_col` orders the pages of a
-    source; a page whose order is null has no next page. Rows with a null id, source or text hold no case; rows loaded
-    twice are each reported; an empty table gives no rows; other columns are ignored. Words and statistics come from
-    all rows; the list of scanned sources is broadcast only up to `broadcast_sources`; `known_words` only bounds a list of frequent good words that need no lookup.
-    """
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(defects, repairs, pages, whole) of scan_defects and repaired_paragraphs: pages(id, src, name, ci, text) are the
+    scanned ones, whole(id, line_no, seen, repair) the repairs of words divided at the end of a line."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("_name"), F.col(order_col).cast("long").alias("ci"), F.col(text_col).alias("text"))
-    rows = rows.filter("id is not null and _name is not null and text is not null").withColumn("src", F.xxhash64(source_key(F.col("_name")))).drop("_name")
+    rows = rows.filter("id is not null and _name is not null and text is not null").withColumn("name", source_key(F.col("_name"))).withColumn("src", F.xxhash64("name")).drop("_name")
     prose = F.regexp_replace("text", r"(?m)^--- SOURCE:.*---\s*$", "")
     long_line = F.col("text").rlike(rf"(?m)^(?!--- SOURCE:)[^\n]{{{widest + 1},}}")
     rows = rows.withColumn("narrow", ~long_line & (F.length(F.trim(prose)) > 0))
@@ -378,7 +371,8 @@ def scan_defects(
     good = vocabulary.filter(F.col("n") >= ratio).join(misread, "word", "left_anti").orderBy(F.desc("n"), "word").limit(known_words)
     known = {r.word for r in good.select("word").collect()}
 
-    pages = rows.filter("scan").select("id", "src", "ci", "text")
+    printed = rows.filter("scan").select("id", "src", "name", "ci", "text")
+    pages = printed.drop("name")
     facts = checkpointed(pages.mapInPandas(filled(_pages), "id long, src long, ci long, top_key string, bottom_key string, forms array<string>, top_word string, body_word string"))
     by_source = facts.groupBy("src").agg(F.countDistinct("id").alias("pages"))
     keys = facts.select("src", "ci", F.explode(F.array("top_key", "bottom_key")).alias("key")).filter("key <> ''").groupBy("src", "key").agg(F.countDistinct("ci").alias("times"))
@@ -426,4 +420,189 @@ def scan_defects(
     there = split.filter(~F.col("best.word").endswith(F.col("b")) & F.col("at").isNotNull()).select("id", F.col("at").alias("line_no"), F.col("whole").alias("seen"), F.col("best.word").alias("repair"))
     repairs = repairs.unionByName(here).unionByName(there)
     chars = repairs.select("id", "line_no", F.lit("char").alias("defect"))
-    return certain.unionByName(hyphens).unionByName(chars).distinct(), repairs
+    whole = split.select("id", "line_no", F.col("whole").alias("seen"), F.col("best.word").alias("repair"))
+    return certain.unionByName(hyphens).unionByName(chars).distinct(), repairs, printed, whole
+
+
+def scan_defects(
+    df: DataFrame,
+    id_col: str,
+    text_col: str,
+    source_col: str,
+    order_col: str,
+    widest: int = 90,
+    scan_share: float = 0.5,
+    ratio: float = 8.0,
+    known_words: int = 50_000,
+    broadcast_sources: int = 1_000_000,
+) -> tuple[DataFrame, DataFrame]:
+    """(defects, repairs): what is wrong in the scanned pages, and how the misread words are repaired.
+
+    defects(id, line_no, defect) has hyphen, char, header and page_number, line_no counted from 1 over the text split at
+    newlines; repairs(id, line_no, seen, repair) has the word for each misread one. A source is scanned if in at least
+    `scan_share` of its rows no line is longer than `widest`; such a row is a page. `order_col` orders the pages of a
+    source; a page whose order is null has no next page. Rows with a null id, source or text hold no case; rows loaded
+    twice are each reported; an empty table gives no rows; other columns are ignored. Words and statistics come from
+    all rows; the list of scanned sources is broadcast only up to `broadcast_sources`; `known_words` only bounds a list of frequent good words that need no lookup.
+    """
+    return _analysed(df, id_col, text_col, source_col, order_col, widest, scan_share, ratio, known_words, broadcast_sources)[:2]
+
+
+# Digits that scanners read as letters and signs; starts of list items, table rows and headings.
+DIGITS = str.maketrans("OoIli!|ZzSsBbGgq", "0011111225586699")
+ITEM = re.compile(r"\s*([-*•‣▪–—]\s|\d+[.)]\s|[|#])")
+CLOSED = re.compile(r"[.!?…][\"'»”’)\]]*$")
+
+
+def _cased(seen: str, word: str, opening: bool) -> str:
+    """The word in the letter case of what stands in its place."""
+    letters = [c for c in seen if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        return word.upper()
+    doubtful = not seen[0].isalpha() or seen[0] == "I" and word[0] not in "iı"
+    return word[0].upper() + word[1:] if (opening if doubtful else seen[0].isupper()) else word
+
+
+def _token_repaired(token: str, repairs: dict[str, str], opening: bool) -> str:
+    w = word_of(token)
+    if w in repairs:
+        at = token.lower().find(w)
+        if at >= 0 and len(token.lower()) == len(token):
+            return token[:at] + _cased(token[at : at + len(w)], repairs[w], opening) + token[at + len(w) :]
+    core = OUTER.sub("", token)
+    if misread_number(token) and not (core[:2].isalpha() and core[:2].isupper()):  # two capitals start a code
+        return token.replace(core, core.translate(DIGITS), 1)
+    return token
+
+
+def _joint(a: str, b: str, hyphen: bool, repairs: dict[str, str], opening: bool) -> str:
+    """The two parts of a divided word as one, with its sign where this belongs to the word."""
+    if not hyphen:
+        return a + b
+    a = a.rstrip(HYPHENS)
+    left, right = OUTER.sub("", a), OUTER.sub("", b)
+    word = repairs.get((left + right).lower())
+    if word is None or not left or not right:
+        return a + b
+    return a[: a.index(left)] + _cased(left + right, word, opening) + b[b.index(right) + len(right) :]
+
+
+def repaired_page(text: str, cut: set[int], hyphens: set[int], repairs: dict[int, dict[str, str]], whole: dict[int, dict[str, str]]) -> list[dict]:
+    """The pieces of paragraphs of a page, without its marker and running lines: text, item (it starts a list item, row
+    or heading), open (its sentence does not end) and glue (None, or whether the sign of a divided last word goes).
+
+    Lines are counted from 0. A paragraph ends at a blank line, before an item, and after a line that had room for the
+    next word if it ends a sentence or the next line starts with a capital.
+    """
+    lines = text.split("\n")
+    kept = [i for i, x in enumerate(lines) if x.strip() and i not in cut and not (x.startswith("--- SOURCE:") and MARKER.fullmatch(x))]
+    width = max((len(lines[i].strip()) for i in kept), default=0)
+    pieces: list[dict] = []
+    words: list[str] = []
+    carried = None  # (line, first part of a word, whether its sign goes)
+    opening = True
+    for n, i in enumerate(kept):
+        line = lines[i]
+        tokens = line.split()
+        item = bool(ITEM.match(line))
+        if n and carried is None:
+            before = lines[kept[n - 1]].strip()
+            room = len(before) + 1 + len(tokens[0]) <= width
+            if any(not x.strip() for x in lines[kept[n - 1] + 1 : i]) or item or before.startswith("|") or room and (CLOSED.search(before) or line.strip()[0].isupper()):
+                pieces.append({"words": words, "item": bool(ITEM.match(lines[first])), "glue": None})
+                words = []
+        if not words and carried is None:
+            first, opening = i, True
+        divided = DIVIDED.search(line) and len(tokens[-1]) > 1
+        for k, t in enumerate(tokens):
+            if k == 0 and carried:
+                at, part, hyphen = carried
+                t = _joint(part, t, hyphen, whole.get(at, {}), opening)
+                carried = None
+                if divided and len(tokens) == 1:
+                    carried = (i, t, i in hyphens)
+                    break
+            elif divided and k == len(tokens) - 1:
+                carried = (i, t, i in hyphens)
+                break
+            else:
+                t = _token_repaired(t, repairs.get(i, {}), opening)
+            words.append(t)
+            opening = bool(CLOSED.search(t))
+    glue = None
+    if carried:
+        words.append(carried[1])
+        glue = carried[2]
+    if words:
+        pieces.append({"words": words, "item": bool(ITEM.match(lines[first])), "glue": glue})
+    last = whole.get(kept[-1], {}) if kept else {}
+    out = []
+    for p in pieces:
+        t = " ".join(p["words"])
+        seen, repair = next(iter(last.items()), (None, None)) if p["glue"] is not None else (None, None)
+        out.append({"text": t, "item": p["item"], "open": p["glue"] is not None or not CLOSED.search(t), "glue": p["glue"], "seen": seen, "repair": repair})
+    return out
+
+
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples(index=False):
+            cut, hyphens, repairs, whole = set(), set(), {}, {}
+            for m in r.marks if r.marks is not None else ():
+                i = m["line_no"] - 1
+                if m["kind"] in ("header", "page_number"):
+                    cut.add(i)
+                elif m["kind"] == "hyphen":
+                    hyphens.add(i)
+                else:
+                    (whole if m["kind"] == "whole" else repairs).setdefault(i, {})[m["seen"]] = m["repair"]
+            for n, p in enumerate(repaired_page(r.text, cut, hyphens, repairs, whole)):
+                out.append((r.id, r.src, r.name, None if pd.isna(r.ci) else int(r.ci), n, *p.values()))
+        yield pd.DataFrame(out, columns=["id", "src", "name", "ci", "n", "text", "item", "open", "glue", "seen", "repair"]).astype({"ci": "Int64", "n": "int32", "glue": "boolean"})
+
+
+def _paragraphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        texts = []
+        for parts in pdf["parts"]:
+            text, before = "", None
+            for p in parts:
+                if before is not None and before["glue"] is not None:
+                    a, _, rest = text.rpartition(" ")
+                    b, _, more = p["text"].partition(" ")
+                    fix = {before["seen"]: before["repair"]} if before["seen"] else {}
+                    text = " ".join(x for x in (a, _joint(rest, b, before["glue"], fix, not a or bool(CLOSED.search(a))), more) if x)
+                else:
+                    text = f"{text} {p['text']}" if text else p["text"]
+                before = p
+            texts.append(text)
+        yield pdf[["source", "paragraph", "ids"]].assign(text=texts)
+
+
+def repaired_paragraphs(df: DataFrame, id_col: str, text_col: str, source_col: str, order_col: str, **settings) -> DataFrame:
+    """(source, paragraph, ids, text): the clean paragraphs of the scanned pages, numbered from 1 in each source.
+
+    Marker, header and page-number lines are gone, divided words are whole, misread words and numbers are repaired, and
+    lines are joined; a sentence or word that a page leaves open goes on in the page whose `order_col` is the next, and
+    ids lists the rows that hold it. `source` is the base name in lower case. Of rows of one source, order and text the
+    smallest id stands for all; rows without order stand alone and come first. `settings` are those of scan_defects.
+    """
+    defects, repairs, pages, whole = _analysed(df, id_col, text_col, source_col, order_col, **settings)
+    pages = pages.groupBy("src", "name", "ci", F.when(F.col("ci").isNull(), F.col("id")).alias("lone"), "text").agg(F.min("id").alias("id")).drop("lone")
+    none = F.lit(None).cast("string")
+    marks = defects.filter("defect <> 'char'").select("id", "line_no", F.col("defect").alias("kind"), none.alias("seen"), none.alias("repair"))
+    for kind, found in (("word", repairs), ("whole", whole)):
+        marks = marks.unionByName(found.select("id", "line_no", F.lit(kind).alias("kind"), "seen", "repair"))
+    marks = marks.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("line_no", "kind", "seen", "repair"))).alias("marks"))
+    pieces = pages.join(marks, "id", "left").mapInPandas(filled(_pieces), "id long, src long, name string, ci long, n int, text string, item boolean, open boolean, glue boolean, seen string, repair string")
+    order = Window.partitionBy("src").orderBy("ci", "id", "n")
+    goes_on = (F.col("n") == 0) & ~F.col("item") & F.lag("open").over(order) & (F.lag("ci").over(order) == F.col("ci") - 1)
+    # the text stays out of the window: a source is one task there
+    numbered = checkpointed(pieces)
+    starts = numbered.select("id", "src", "ci", "n", "item", "open").withColumn("start", F.when(goes_on, 0).otherwise(1))
+    starts = starts.withColumn("paragraph", F.sum("start").over(order.rowsBetween(Window.unboundedPreceding, 0))).select("id", "n", "paragraph")
+    part = F.struct("ci", "id", "n", "text", "glue", "seen", "repair")
+    whole_ones = numbered.join(starts, ["id", "n"]).groupBy(F.col("name").alias("source"), "paragraph").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    whole_ones = whole_ones.withColumn("ids", F.array_distinct(F.transform("parts", lambda p: p["id"])))
+    return whole_ones.mapInPandas(filled(_paragraphs), "source string, paragraph long, ids array<long>, text string")

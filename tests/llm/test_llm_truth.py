@@ -15,7 +15,7 @@ from lodestrata.llm.kernel_language import LABELS, document_languages
 from lodestrata.llm.packing import load_tokenizer
 from lodestrata.llm.pairs import classify
 from lodestrata.llm.repeated_lines import Folder, fold_token, variant_of
-from lodestrata.llm.scans import confusion_cost, misread_number, page_number_form, scan_defects, word_of
+from lodestrata.llm.scans import confusion_cost, misread_number, page_number_form, repaired_paragraphs, scan_defects, word_of
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\W_]+")
@@ -176,3 +176,21 @@ def test_scanned_page(spark):
     assert {(101, 5, "page_number"), (102, 4, "page_number"), (103, 4, "page_number")} <= got
     assert {(101, 2, "hyphen"), (101, 4, "hyphen"), (101, 4, "char")} <= got
     assert not any(i < 100 for i, _, _ in got)
+
+
+def test_scanned_pages_become_paragraphs(spark):
+    clean = "The pressure sensor stands beside the valve and the operator may open it slowly whenever the lamp is green."
+    filler = [(i, f"{clean} {clean}", "clean.pdf", i) for i in range(1, 30)]
+    first = "Acme Works 12\nThe pres-\nsure sensor stands beside the va1ve\nand the operat0r may open it slowly when-\n- 1 -"
+    pages = [
+        (101, first, "scan.pdf", 0), (104, first, "dir/SCAN.pdf", 0),
+        (102, "Acme Works 12\never the lamp is green.\n\n0perator and valve stand beside the\n- 2 -", "scan.pdf", 1),
+        (103, "Acme Works 12\nlamp.\nThe lamp is green and the operator\nmay open it 4l7 times.\n- 3 -", "scan.pdf", 2),
+    ]
+    df = spark.createDataFrame(filler + pages, "row_id long, documents string, source string, chunk_index int")
+    got = sorted(map(tuple, repaired_paragraphs(df, "row_id", "documents", "source", "chunk_index").collect()))
+    assert got == [
+        ("scan.pdf", 1, [101, 102], clean),
+        ("scan.pdf", 2, [102, 103], "Operator and valve stand beside the lamp."),
+        ("scan.pdf", 3, [103], "The lamp is green and the operator may open it 417 times."),
+    ]
