@@ -47,6 +47,20 @@ def term_stats(posts: DataFrame, corpus: DataFrame, params: Bm25Params = Bm25Par
     return with_raw.crossJoin(F.broadcast(mean)).select("term", "df", floor.alias("idf"))
 
 
+def _sums(own: pd.Series, vocabulary: dict[str, int], weights: np.ndarray) -> np.ndarray:
+    """Text by query: the sum of the weights of a text's tokens."""
+    counts = np.array([len(t) for t in own])
+    terms = np.array([vocabulary[t] for tokens in own for t in tokens], dtype=np.int64)
+    start = np.r_[0, np.cumsum(counts)]
+    scores = np.zeros((len(own), weights.shape[1]))
+    for a in range(0, len(own), 500):
+        some = a + np.flatnonzero(counts[a : a + 500])
+        if len(some):
+            lo, hi = start[a], start[min(a + 500, len(own))]
+            scores[some] = np.add.reduceat(weights[terms[lo:hi]], start[some] - lo, axis=0)
+    return scores
+
+
 def _score(vocabulary: dict[str, int], weights: np.ndarray, query_ids: np.ndarray, k: int, digits: int):
     """Best k texts of a batch for each query; weights is a row of idf by query for each term of the vocabulary."""
 
@@ -54,15 +68,7 @@ def _score(vocabulary: dict[str, int], weights: np.ndarray, query_ids: np.ndarra
         for pdf in batches:
             if not len(pdf):
                 continue
-            counts = np.array([len(t) for t in pdf["tokens"]])
-            terms = np.array([vocabulary[t] for own in pdf["tokens"] for t in own], dtype=np.int64)
-            start = np.r_[0, np.cumsum(counts)]
-            scores = np.zeros((len(pdf), len(query_ids)))
-            for a in range(0, len(pdf), 500):
-                own = a + np.flatnonzero(counts[a : a + 500])
-                if len(own):
-                    lo, hi = start[a], start[min(a + 500, len(pdf))]
-                    scores[own] = np.add.reduceat(weights[terms[lo:hi]], start[own] - lo, axis=0)
+            scores = _sums(pdf["tokens"], vocabulary, weights)
             scores = np.round(scores * pdf["norm"].to_numpy()[:, None], digits).T
             ids = pdf["doc_id"].to_numpy()
             n = min(k, len(ids))
@@ -125,6 +131,90 @@ def index_topk(
     return ranked.select("query_id", "doc_id", "score", (F.col("rn") - 1).alias("rank"))
 
 
+def within_stats(tokens: DataFrame, filters: DataFrame, params: Bm25Params = Bm25Params()) -> DataFrame:
+    """(source_filter, avgdl, term, idf) over the texts of tokens(doc_id, tokens, src) whose src contains the filter."""
+    pairs = filters.join(tokens.select("src").distinct(), F.col("src").contains(F.col("source_filter")))
+    sizes = tokens.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("tokens")).alias("dl"))
+    corpus = pairs.join(sizes, "src").groupBy("source_filter").agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("avgdl"))
+    df = tokens.select("src", F.explode("tokens").alias("term")).groupBy("src", "term").agg(F.count(F.lit(1)).alias("df"))
+    df = pairs.join(df, "src").groupBy("source_filter", "term").agg(F.sum("df").alias("df"))
+    raw = df.join(corpus, "source_filter").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.groupBy("source_filter").agg(F.avg("raw").alias("mean_idf"))
+    floor = F.when(F.col("raw") < 0, params.epsilon * F.col("mean_idf")).otherwise(F.col("raw"))
+    return raw.join(mean, "source_filter").select("source_filter", "avgdl", "term", floor.alias("idf"))
+
+
+def _score_within(vocabulary: dict[str, int], weights: np.ndarray, query_ids: np.ndarray, filters: list[str], averages: np.ndarray, k: int, params: Bm25Params, digits: int):
+    """_score in which a query sees only the texts whose src contains its filter; averages holds avgdl by query."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        allowed = Allowed(filters)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            dl = pdf["dl"].to_numpy(dtype=np.float64)[:, None]
+            norm = np.where(dl > 0, (params.k1 + 1) / (1 + params.k1 * (1 - params.b + params.b * dl / averages)), 0.0)
+            scores = np.round(_sums(pdf["tokens"], vocabulary, weights) * norm, digits)
+            scores = np.where(allowed.of(pdf["src"]), scores, -np.inf).T
+            ids = pdf["doc_id"].to_numpy()
+            n = min(k, len(ids))
+            order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :n]
+            best = np.take_along_axis(scores, order, 1).ravel()
+            out = pd.DataFrame({"query_id": np.repeat(query_ids, n), "doc_id": ids[order].ravel(), "score": best})
+            yield out[np.isfinite(best)]
+
+    return run
+
+
+class Allowed:
+    """Which queries may see a source: those whose filter it contains."""
+
+    def __init__(self, filters: list[str]) -> None:
+        self.names, self.which = np.unique(np.array(filters, dtype=object).astype(str), return_inverse=True)
+        self.known: dict[str, np.ndarray] = {}
+
+    def of(self, sources: pd.Series) -> np.ndarray:
+        """Source by query."""
+        for s in sources.unique():
+            if s not in self.known:
+                self.known[s] = np.array([n in s for n in self.names], dtype=bool)
+        return np.array([self.known[s] for s in sources], dtype=bool).reshape(len(sources), -1)[:, self.which]
+
+
+def bm25_within(
+    chunks: DataFrame, id_col: str, text_col: str, source_col: str, queries: DataFrame, query_id: str, query_col: str, filter_col: str, k: int = 15, params: Bm25Params = Bm25Params(), digits: int = 9, queries_at_once: int = 1000
+) -> DataFrame:
+    """bm25_topk of each query over the texts, with their own statistics, whose lower-cased source contains its filter.
+
+    All filters are answered together: each batch of texts is scored against at most `queries_at_once` queries a pass.
+    """
+    own = chunks.filter(F.col(source_col).isNotNull())
+    tokens = checkpointed(own.select(F.col(id_col).alias("doc_id"), technical_tokens(F.col(text_col)).alias("tokens"), F.lower(source_col).alias("src")))
+    asked = queries.select(F.col(query_id).cast("long").alias("query_id"), technical_tokens(F.col(query_col)).alias("terms"), F.col(filter_col).alias("source_filter")).filter("query_id is not null and source_filter is not null")
+    stats = checkpointed(within_stats(tokens, asked.select("source_filter").distinct(), params))
+    passes = max(1, math.ceil(asked.count() / queries_at_once))
+    texts = tokens.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.size("tokens").alias("dl"), "tokens", "src")
+    out = None
+    for p in range(passes):
+        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)
+        rows = part.collect()
+        wanted = part.select("source_filter", F.explode("terms").alias("term")).distinct()
+        idf = {(r.source_filter, r.term): r.idf for r in stats.join(F.broadcast(wanted), ["source_filter", "term"], "left_semi").collect()}
+        average = {r.source_filter: r.avgdl for r in stats.join(F.broadcast(part.select("source_filter").distinct()), "source_filter", "left_semi").select("source_filter", "avgdl").distinct().collect()}
+        vocabulary = {t: i for i, t in enumerate(sorted({t for _, t in idf}))}
+        weights = np.zeros((max(1, len(vocabulary)), len(rows)))
+        for j, r in enumerate(rows):
+            for t in r.terms:
+                if (r.source_filter, t) in idf:
+                    weights[vocabulary[t], j] = idf[r.source_filter, t]
+        score = _score_within(vocabulary, weights, np.array([r.query_id for r in rows], dtype=np.int64), [r.source_filter for r in rows], np.array([average.get(r.source_filter, 1.0) for r in rows]), k, params, digits)
+        near = texts.withColumn("tokens", _only(F.col("tokens"), list(vocabulary))).mapInPandas(score, "query_id long, doc_id long, score double")
+        out = near if out is None else out.unionByName(near)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    ranked = out.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k)
+    return ranked.select("query_id", "doc_id", "score", (F.col("rn") - 1).alias("rank"))
+
+
 def _only(tokens: Column, vocabulary: list[str]) -> Column:
     return F.filter(tokens, lambda t: t.isin(vocabulary)) if vocabulary else F.array().cast("array<string>")
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.bm25 import Allowed
+
 
 def l2_norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -29,8 +31,9 @@ def usable(v: Column, dim: int) -> Column:
     return v.isNotNull() & (F.size(v) == dim) & F.coalesce(l2_norm(v) > 0, F.lit(False))
 
 
-def _scan(ids: np.ndarray, matrix: np.ndarray, k: int, digits: int):
+def _scan(ids: np.ndarray, matrix: np.ndarray, k: int, digits: int, filters: list[str] | None = None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        allowed = None if filters is None else Allowed(filters)
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -38,31 +41,38 @@ def _scan(ids: np.ndarray, matrix: np.ndarray, k: int, digits: int):
             m /= np.sqrt((m * m).sum(axis=1, keepdims=True))
             base = pdf["id"].to_numpy()
             dist = np.round(1 - matrix @ m.T, digits) + 0.0  # no negative zero
+            if allowed is not None:
+                dist = np.where(allowed.of(pdf["src"]).T, dist, np.inf)
             n = min(k, len(base))
             order = np.lexsort((np.broadcast_to(base, dist.shape), dist), axis=1)[:, :n]
-            yield pd.DataFrame({"query_id": np.repeat(ids, n), "id": base[order].ravel(), "distance": np.take_along_axis(dist, order, 1).ravel()})
+            out = pd.DataFrame({"query_id": np.repeat(ids, n), "id": base[order].ravel(), "distance": np.take_along_axis(dist, order, 1).ravel()})
+            yield out if allowed is None else out[np.isfinite(out["distance"])]
 
     return run
 
 
 def knn_topk(
-    base: DataFrame, id_col: str, vector_col: str, queries: DataFrame, query_id: str, query_vector: str, k: int = 15, dim: int = 64, digits: int = 6, queries_at_once: int = 20_000
+    base: DataFrame, id_col: str, vector_col: str, queries: DataFrame, query_id: str, query_vector: str, k: int = 15, dim: int = 64, digits: int = 6, queries_at_once: int = 20_000, source_col: str | None = None, filter_col: str | None = None
 ) -> DataFrame:
     """(query_id, id, distance, rank): the k nearest by cosine distance, ties to the smaller id, rank from 0.
 
     Every task keeps the k best of its rows for each query, so that the shuffle holds k rows for a query and batch. At
     most `queries_at_once` queries go to the executors at a time: more are taken in several passes over the base.
-    Vectors that are null, all zero or not of length `dim` neither ask nor answer.
+    Vectors that are null, all zero or not of length `dim` neither ask nor answer. With `source_col` and `filter_col` a
+    query sees only the vectors whose lower-cased source contains its filter; one without a filter sees none.
     """
-    wanted = queries.filter(usable(F.col(query_vector), dim)).select(F.col(query_id).cast("long").alias("q"), F.col(query_vector).alias("v"))
+    within = filter_col is not None
+    wanted = queries.filter(usable(F.col(query_vector), dim)).select(F.col(query_id).cast("long").alias("q"), F.col(query_vector).alias("v"), *([F.col(filter_col).alias("f")] if within else []))
+    if within:
+        wanted, base = wanted.filter("f is not null"), base.filter(F.col(source_col).isNotNull())
     passes = max(1, math.ceil(wanted.count() / queries_at_once))
-    stored = base.filter(usable(F.col(vector_col), dim)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    stored = base.filter(usable(F.col(vector_col), dim)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), *([F.lower(source_col).alias("src")] if within else []))
     out = None
     for p in range(passes):
         part = wanted.filter(F.pmod(F.xxhash64("q"), F.lit(passes)) == p).toPandas()
         m = np.array(part["v"].tolist(), dtype=np.float64).reshape(-1, dim)
         m /= np.sqrt((m * m).sum(axis=1, keepdims=True))
-        near = stored.mapInPandas(_scan(part["q"].to_numpy(), m, k, digits), "query_id long, id long, distance double")
+        near = stored.mapInPandas(_scan(part["q"].to_numpy(), m, k, digits, part["f"].tolist() if within else None), "query_id long, id long, distance double")
         out = near if out is None else out.unionByName(near)
     best = Window.partitionBy("query_id").orderBy("distance", "id")
     ranked = out.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k)

@@ -89,11 +89,7 @@ def answered(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, embed:
     q = prepared(questions, chunks.select(base_name(F.col("source")).alias("source")).filter("source is not null"), model, p)
     ask = checkpointed(embed(q.filter("route = 'SEARCH'").select("query_id", F.col("standalone").alias("query"), "source_filter")))
     free = retrieval.retrieve(chunks, vectors, ask.filter("source_filter is null").drop("source_filter"), p.retrieval)
-    found = free
-    for name in [r[0] for r in ask.select("source_filter").filter("source_filter is not null").distinct().limit(1000).collect()]:
-        own = chunks.filter(F.lower("source").contains(name))
-        mine = vectors.join(own.select("row_id"), "row_id", "left_semi")
-        found = found.unionByName(retrieval.retrieve(own, mine, ask.filter(F.col("source_filter") == name).drop("source_filter"), p.retrieval))
+    found = free.unionByName(retrieval.retrieve(chunks, vectors, ask.filter("source_filter is not null"), p.retrieval, within=True))
     limits = q.select("query_id", context_limit(F.col("template_type")).alias("_limit"))
     made = checkpointed(retrieval.contexts(found.join(limits, "query_id"), F.col("_limit")))
     rows = q.join(made, "query_id", "left")

@@ -23,10 +23,11 @@ class RetrievalParams:
     dim: int = 64
 
 
-def vector_hits(vectors: DataFrame, queries: DataFrame, p: RetrievalParams) -> DataFrame:
+def vector_hits(vectors: DataFrame, queries: DataFrame, p: RetrievalParams, sources: tuple[str, str] | None = None) -> DataFrame:
     """(query_id, doc_id, distance, rank): the nearest vectors of vectors(vec_id, row_id, embedding), a text counted at
-    its nearest vector."""
-    near = knn.knn_topk(vectors, "vec_id", "embedding", queries, "query_id", "embedding", p.candidates, p.dim)
+    its nearest vector. `sources` names the columns of the vectors' source and of the queries' filter on it."""
+    source, wanted = sources or (None, None)
+    near = knn.knn_topk(vectors, "vec_id", "embedding", queries, "query_id", "embedding", p.candidates, p.dim, source_col=source, filter_col=wanted)
     rows = near.join(vectors.select(F.col("vec_id").alias("id"), F.col("row_id").alias("doc_id")), "id").filter("doc_id is not null")
     return rows.groupBy("query_id", "doc_id").agg(F.min("distance").alias("distance"), F.min("rank").alias("rank"))
 
@@ -37,12 +38,20 @@ def candidates(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, p: Ret
     return fusion.fuse(vector_hits(vectors, queries, p), text, p.rrf_constant, p.fused)
 
 
-def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, p: RetrievalParams = RetrievalParams()) -> DataFrame:
+def candidates_within(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, p: RetrievalParams = RetrievalParams()) -> DataFrame:
+    """candidates of queries(query_id, query, embedding, source_filter), each over the sources that contain its filter."""
+    text = bm25.bm25_within(chunks, "row_id", "documents", "source", queries, "query_id", "query", "source_filter", p.candidates)
+    placed = vectors.join(chunks.select("row_id", "source"), "row_id")
+    return fusion.fuse(vector_hits(placed, queries, p, ("source", "source_filter")), text, p.rrf_constant, p.fused)
+
+
+def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, p: RetrievalParams = RetrievalParams(), within: bool = False) -> DataFrame:
     """Accepted candidates of each query with text, citation fields, rerank_score and final_rank.
 
-    Texts are joined only after the cut to the fused candidates; blank ones are dropped before the rerank.
+    Texts are joined only after the cut to the fused candidates; blank ones are dropped before the rerank. With
+    `within` each query searches only the sources that contain its source_filter.
     """
-    found = candidates(chunks, vectors, queries, p)
+    found = (candidates_within if within else candidates)(chunks, vectors, queries, p)
     text = chunks.select(F.col("row_id").alias("doc_id"), F.col("documents").alias("text"), "source", "page", "parent_context", "has_visual", "image_path")
     full = found.join(text, "doc_id").filter(F.trim("text") != "").join(queries.select("query_id", "query"), "query_id")
     scored = full.withColumn("rerank_score", fusion.lexical_overlap(technical_tokens(F.col("query")), technical_tokens(F.col("text"))))

@@ -407,3 +407,30 @@ def test_retrieval_end_to_end(spark):
 
     found = hybrid_retrieval(spark, "/root/testdata/sf0.001").collect()
     assert found and all(r.final_rank <= retrieval.RetrievalParams().context for r in found)
+
+
+def test_every_source_filter_is_searched(spark):
+    n = 1100
+    chunk = "row_id long, documents string, source string, page int, parent_context string, has_visual string, image_path string"
+    chunks = spark.createDataFrame([(i, f"The pump X{i} runs at {i % 48}V.", f"d/S{i:04d}.pdf", 1, "", "False", "") for i in range(n)], chunk)
+    vectors = models.embedded(chunks.select("row_id", (F.col("row_id") + n).alias("vec_id"), "documents"), "documents").select("vec_id", "row_id", "embedding")
+    questions = spark.createDataFrame([(i, f"/s{i:04d}.pdf the pump", None, "Safety", False, None) for i in range(n)], "query_id long, query string, history string, template_type string, strict_mode boolean, last_context string")
+    model = lambda d: models.completed(d, "prompt", lambda: lambda prompt: "<answer>A pump.</answer>")
+    out = answer.answered(questions, chunks, vectors, lambda d: models.embedded(d, "query"), model, answer.AnswerParams(verify=False)).collect()
+    assert len(out) == n and all(f"X{r.query_id} " in r.context for r in out)
+
+
+def test_filtered_retrieval_equals_retrieval_in_the_filtered_sources(spark):
+    data = "/root/testdata/sf0.001"
+    chunks, vectors = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("bm25_cache", "chunk_vectors"))
+    names = [r[0] for r in chunks.select(F.lower(F.regexp_extract("source", r"([a-z0-9]+)_", 1)).alias("s")).filter("s <> ''").distinct().orderBy("s").limit(2).collect()] + ["pdf"]
+    asked = [(i, q, names[i % 3]) for i, q in enumerate(["the pump pressure", "Ventil und Pumpe", "", "error code", "sensor"])]
+    queries = models.embedded(spark.createDataFrame(asked, "query_id long, query string, source_filter string"), "query")
+    key = lambda r: (r.query_id, r.doc_id, r.vector_rank, r.bm25_rank, r.bm25_score, r.rrf_score)
+    got = {key(r) for r in retrieval.candidates_within(chunks, vectors, queries).collect()}
+    want = set()
+    for name in names:
+        own = chunks.filter(F.lower("source").contains(name))
+        mine = vectors.join(own.select("row_id"), "row_id", "left_semi")
+        want |= {key(r) for r in retrieval.candidates(own, mine, queries.filter(F.col("source_filter") == name)).collect()}
+    assert got == want and want
