@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.llm import queries as Q
 from lodestrata.llm.automaton import Matcher
@@ -194,3 +195,15 @@ def test_scanned_pages_become_paragraphs(spark):
         ("scan.pdf", 2, [102, 103], "Operator and valve stand beside the lamp."),
         ("scan.pdf", 3, [103], "The lamp is green and the operator may open it 417 times."),
     ]
+
+
+def test_many_equal_vectors_list_the_smallest_ids(spark):
+    rng = np.random.default_rng(3)
+    other = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(4000)]
+    df = spark.createDataFrame(other + [(i, [2.0] * 8) for i in range(10_000, 18_000)], "i long, v array<float>")
+    near = defaultdict(list)
+    for r in nearest_vectors(df, "i", "v", dim=8, axes=4).orderBy("id", "rank").collect():
+        near[r.id].append(r.neighbour)
+    assert len(near) == 12_000
+    for i in range(10_000, 18_000):
+        assert near[i] == [x for x in range(10_000, 10_011) if x != i][:10]
