@@ -207,3 +207,20 @@ def test_many_equal_vectors_list_the_smallest_ids(spark):
     assert len(near) == 12_000
     for i in range(10_000, 18_000):
         assert near[i] == [x for x in range(10_000, 10_011) if x != i][:10]
+
+
+def test_recall_of_neighbours_on_a_larger_table(spark):
+    base = spark.read.parquet("/root/testdata/check_l/chunk_vectors.parquet")
+    vs = [(i, np.asarray(v, dtype=np.float32)) for i, v in base.select("vec_id", "embedding").toLocalIterator() if v is not None and len(v) == 64 and any(v)]
+    ids = np.array([i for i, _ in vs])
+    m = np.array([v / np.linalg.norm(v) for _, v in vs])
+    asked = [k for k, i in enumerate(ids) if i % 50 == 0][::8]
+    near = defaultdict(set)
+    for r in nearest_vectors(base, "vec_id", "embedding").filter(F.col("id").isin([int(ids[k]) for k in asked])).collect():
+        near[r.id].add(r.neighbour)
+    hits = 0
+    for k in asked:
+        s = m @ m[k]
+        s[k] = -2
+        hits += len(near[ids[k]] & set(ids[np.lexsort((ids, -s))[:10]]))
+    assert hits >= 0.9 * 10 * len(asked)
