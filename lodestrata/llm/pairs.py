@@ -58,6 +58,10 @@ Debo rechazar esta solicitud.
 Mi dispiace, non posso aiutarla.
 Non sono autorizzato a rispondere a questa domanda.
 Devo rifiutare questa richiesta.
+Il m'est impossible de donner des consignes sur *.
+Me es imposible dar indicaciones sobre *.
+Lamento no poder tratar este tema.
+Bu soruyu yanıtlamam uygun değil.
 """.strip().split("\n")
 # Answers that say nothing was found.
 NOT_FOUND = """
@@ -76,6 +80,10 @@ L'informazione non è presente nei documenti.
 # Words of a speaker, and of a denial, in the six languages.
 SPEAKER = re.compile(r"\b(i|i'm|i'd|i'll|my|me|we|ich|mir|wir|je|me|mon|nous|yo|mi|io|noi|bana|benim)\b|\b(puedo|podemos|debo|estoy|posso|devo|possiamo|olamam|veremem|edemem|yapamam|reddetmek)\b", re.I)
 DENIAL = re.compile(r"\b(sorry|apolog\w+|regret\w*|refuse|decline\w*|unable|cannot|can't|won't|not able|not allowed|not permitted|prefer not|rather not|blocked|guidelines|against my|outside what|leider|ablehn\w+|darf|nicht helfen|keine auskunft|désolé\w*|décliner|autorisé\w*|ne peux|lo siento|no puedo|autorizado|rechaz\w+|dispiace|non posso|rifiut\w+|üzgünüm|maalesef|yardımcı olamam|olamam|veremem)\b", re.I)
+# Sentences that only thank, or only send the reader elsewhere, in the six languages.
+COURTESY = re.compile(r"^\W*(thank you|thanks|danke|vielen dank|merci|gracias|grazie|teşekkür\w*|sorunuz için)\b", re.I)
+REFERRAL = re.compile(r"^\W*((please|kindly|instead|bitte|veuillez|por favor|per favore|lütfen)[, ]+)?(you (may|can|should) )?(ask|contact|consult|call|turn to|talk to|speak (to|with)|refer to|wenden sie sich|fragen sie|kontaktieren sie|contactez|consultez|adressez|contacter|consulter|vous adresser|contacte|consulte|diríjase|póngase en contacto|pregunte|contatti|contattare|consulti|si rivolga|rivolgersi|chieda|\w+ (danışın\w*|başvurun\w*))\b", re.I)
+AGENT = re.compile(r"(?i)\b(service|dealer|technician|maker|manufacturer|support|help ?desk|hotline|supplier|specialist|expert|kundendienst|händler|hersteller|fach\w+|revendeur|technicien|fabricant|assistance|fournisseur|servicio|técnico|fabricante|distribuidor|assistenza|tecnico|rivenditore|produttore|servis\w*|bayi\w*|yetkili\w*|üretici\w*|teknisyen\w*)\b")
 LEAD_INS = re.compile(r"^\s*(you asked|question|query|the question was|gefragt wurde|frage|usted pregunta|pregunta|vous demandez|question posée|hai chiesto|domanda|sorulan|soru)\s*[:\-–—]\s*", re.I)
 TAGS = re.compile(r"(?is)<(think|thinking|reasoning|analysis)>.*?(</\1>|\Z)|</?[a-z_]+>")
 HEADING = re.compile(r"(?m)^\s*(#{1,6}\s.*|\*\*[^*\n]{1,60}\*\*:?|(answer|final answer|antwort|réponse|respuesta|risposta|cevap|yanıt)\s*:?)\s*$", re.I)
@@ -149,19 +157,44 @@ def is_copy(query: str, answer: str) -> bool:
     return contained >= 0.7 or lcs(q * times, a) >= 0.8 * len(q) * times
 
 
-def refused(answer: str) -> tuple[bool, bool]:
-    """(declines, says that nothing was found), if that is all the answer does."""
-    declined = missing = False
+def _refers(sentence: str, words: list[str]) -> bool:
+    """Whether a sentence only thanks, or sends the reader elsewhere (or "bitte ... danışın", with the verb at the end)."""
+    if len(words) > 15 or any(c.isdigit() for w in words for c in w) and not COURTESY.match(sentence):
+        return False
+    verb_last = words[-1].startswith(("danışın", "başvurun"))
+    return bool(COURTESY.match(sentence) or (verb_last or REFERRAL.match(sentence)) and AGENT.search(sentence))
+
+
+def _tells(words: list[str], query: str) -> bool:
+    """Whether words give content: a number, or a longer word of the query; without a query anything may."""
+    asked = {w for w in _words(query) if len(w) >= 4}
+    return not asked or any(w in asked or any(c.isdigit() for c in w) for w in words)
+
+
+def refused(answer: str, query: str = "") -> tuple[bool, bool]:
+    """(declines, says that nothing was found), if that is all the answer does.
+
+    Thanks and referrals count for nothing beside it. Beside a refusal of the list, neither do a few more words, unless
+    they give content about the query.
+    """
+    declined = missing = listed = False
+    rest: list[str] = []
     for s in filter(None, (x.strip() for x in SENTENCE.split(answer))):
         words = _words(s)
         if not words or CITATION.fullmatch(s):
             continue
         if aligned(words, _NOT_FOUND):
             missing = True
-        elif aligned(words, _REFUSALS) or (len(words) <= 30 and SPEAKER.search(s) and DENIAL.search(s)):
+        elif aligned(words, _REFUSALS):
+            declined = listed = True
+        elif len(words) <= 30 and SPEAKER.search(s) and DENIAL.search(s):
             declined = True
-        else:
-            return False, False
+        elif not _refers(s, words):
+            rest += words
+            if len(rest) > 12:
+                return False, False
+    if rest and not (listed and guess(answer, 0.5, 1.2) in (None, guess(query, 0.5, 1.2)) and not _tells(rest, query)):
+        return False, False
     return declined, missing
 
 
@@ -199,7 +232,7 @@ def classify(query: str | None, text: str | None, expected_not_found: bool | Non
     answer = visible(text)
     if NOTHING.match(answer):
         return "empty", None
-    declined, missing = refused(answer)
+    declined, missing = refused(answer, query or "")
     if declined:
         return "refusal", None
     if missing:

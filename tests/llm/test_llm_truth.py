@@ -224,3 +224,19 @@ def test_recall_of_neighbours_on_a_larger_table(spark):
         s[k] = -2
         hits += len(near[ids[k]] & set(ids[np.lexsort((ids, -s))[:10]]))
     assert hits >= 0.9 * 10 * len(asked)
+
+
+def test_a_refusal_with_a_courtesy_or_referral():
+    q = "Where is the feed pump fitted?"
+    for text in (
+        "I cannot provide this information. Please ask your service partner.", "Please ask your service partner. I cannot provide this information.",
+        "Thank you for asking about the feed pump. It is a topic I have to leave to your dealer.", "I cannot provide this information. Have a nice day.",
+        "Dazu darf ich keine Auskunft geben. Bitte wenden Sie sich an den Kundendienst.", "Lo siento, no puedo ayudarle con eso. Me es imposible dar indicaciones sobre HB7068.",
+        "The sources at hand say nothing about it. Please ask your service partner.",
+    ):
+        assert classify(q, text, False)[0] == "refusal", text
+    for text in (
+        "I cannot provide this information. The feed pump stands near the door.", "I cannot provide this information. Torque is 12 Nm.", "Please ask your service partner for the feed pump.",
+        "Open the cover first. Please ask your service partner.", "You cannot skip this step.",
+    ):
+        assert classify(q, text, False)[0] is None, text
