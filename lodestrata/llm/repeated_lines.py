@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -149,8 +150,60 @@ def _counted(counts: dict[int, Counter[str]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["src", "word", "n"])
 
 
+#: Between the key of a line and its words, which follow it where one longer word is masked.
+WHOLE = "\t"
+
+
+def _folded(text: str) -> str:
+    t = text.translate(CONFUSED)
+    for pair, one in MERGED:
+        t = t.replace(pair, one)
+    return t.translate(SAME)
+
+
+@lru_cache(maxsize=1)
+def folded_confusions() -> list[tuple[str, str, float]]:
+    """(seen, meant, cost): what scanners confuse and folding leaves apart, as folded words show it."""
+    from lodestrata.llm.scans import CHEAP, CONFUSIONS
+
+    pairs = {(_folded(a), _folded(b)): 0.5 if (a, b) in CHEAP else 0.3 for a, b in CONFUSIONS}
+    pairs["ru", "nl"] = 0.3  # rii for ni, of which ii is folded
+    return [(a, b, c) for (a, b), c in pairs.items() if a != b and a.isalpha() and b.isalpha()]
+
+
+def folded_cost(seen: str, word: str, limit: float = 1.0) -> float:
+    """Weighted edit distance of two folded words, of which every edit is a confusion; above `limit` infinite."""
+    inf = float("inf")
+    if abs(len(seen) - len(word)) > 4:
+        return inf
+    rows = [[inf] * (len(word) + 1) for _ in range(len(seen) + 1)]
+    rows[0][0] = 0.0
+    for i in range(len(seen) + 1):
+        for j in range(len(word) + 1):
+            at = rows[i][j]
+            if at > limit:
+                continue
+            if i < len(seen) and j < len(word) and seen[i] == word[j]:
+                rows[i + 1][j + 1] = min(rows[i + 1][j + 1], at)
+            for a, b, cost in folded_confusions():
+                if seen.startswith(a, i) and word.startswith(b, j):
+                    rows[i + len(a)][j + len(b)] = min(rows[i + len(a)][j + len(b)], at + cost)
+    return rows[-1][-1] if rows[-1][-1] <= limit else inf
+
+
+def misread_of(words: list[str], seeds: list[tuple[str, list[str]]]) -> int:
+    """Position of the first seed that the words equal but for one word, which confusions explain; -1 if there is none."""
+    for i, (_, parts) in enumerate(seeds):
+        if len(parts) == len(words):
+            other = [(a, b) for a, b in zip(words, parts) if a != b]
+            if len(other) == 1 and CODE_SIGN not in (other[0][0][0], other[0][1][0]) and folded_cost(*other[0]) <= 1.0:
+                return i
+    return -1
+
+
 class Masker:
-    """The key of a folded line: its words without those that are rare in its source; null if too little is left."""
+    """The key of a folded line: its words without those that are rare in its source; null if too little is left. Where
+    a single masked word has a good part of the letters, the whole line follows the key, which may be empty."""
 
     def __init__(self, kept_share: float, many_slots_share: float):
         self.shares = kept_share, many_slots_share
@@ -163,7 +216,7 @@ class Masker:
         words = line.split(" ")
         if len(words) > 1:  # single letters tell nothing
             words = [w for w in words if len(w) > 1] or words
-        kept, slots, inside = [], 0, False
+        kept, slots, inside, letters = [], 0, False, sum(map(len, words))
         for w in words:
             h = hashes.get(w)
             if h is None:
@@ -176,9 +229,11 @@ class Masker:
             inside = masked
         key = " ".join(kept)
         share = self.shares[slots > 1]
-        if key and len(key) - len(kept) >= share * (sum(map(len, words)) - 1) and any(w[0] != CODE_SIGN for w in kept):
-            return key
-        return None
+        left = len(key) - len(kept)
+        whole = len(kept) == len(words) - 1 and kept and left < 0.7 * letters
+        if key and left >= share * (letters - 1) and any(w[0] != CODE_SIGN for w in kept):
+            return f"{key}{WHOLE}{' '.join(words)}" if whole else key
+        return f"{WHOLE}{' '.join(words)}" if whole else None
 
 
 def _keys(masker: Masker):
@@ -238,7 +293,10 @@ def _matches(kept_share: float, lost_share: float):
                     if key:
                         i = known.get(key)
                         if i is None:
-                            i = variant_of(key, seeds, kept_share, lost_share)
+                            short, _, whole = key.partition(WHOLE)
+                            i = known.get(short, -1) if short in known else variant_of(short, seeds, kept_share, lost_share) if short else -1
+                            if i < 0 and whole:
+                                i = misread_of(whole.split(" "), seeds)
                             if len(known) < 100_000:
                                 known[key] = i
                         if i >= 0:
@@ -282,7 +340,7 @@ def repeated_lines(
     masker = Masker(kept_share, many_slots_share)
     keys = rows.join(bounded(common, "common"), "src").select("id", "src", "text", "common").mapInPandas(filled(_keys(masker)), "id long, src long, keys string")
     keys = checkpointed(keys)
-    each = keys.select("src", F.explode(F.array_distinct(F.split("keys", "\n"))).alias("key")).filter("key <> ''")
+    each = keys.select("src", F.explode(F.array_distinct(F.split(F.regexp_replace("keys", f"{WHOLE}[^\n]*", ""), "\n"))).alias("key")).filter("key <> ''")
     counts = each.groupBy("src", "key").agg(F.count("*").alias("n")).join(totals, "src")
     seeds = counts.filter((F.col("n") >= least_rows / 2) & (F.col("n") >= F.col("rows") * least_share / 2))
     # again at most the lines of a mean row / (least_share / 2); the most frequent first

@@ -9,7 +9,7 @@ from lodestrata.llm.curves import nearest_vectors
 from lodestrata.llm.kernel_language import document_languages, fit
 from lodestrata.llm.packing import pack
 from lodestrata.llm.pairs import defective_pairs
-from lodestrata.llm.repeated_lines import remove_lines, repeated_lines
+from lodestrata.llm.repeated_lines import fold_token, folded_cost, remove_lines, repeated_lines
 from lodestrata.llm.scans import scan_defects
 
 CLASH = ["id", "text", "src", "key", "rep", "a", "b", "n", "doc_id", "container", "lang", "label_lang", "defect", "tail", "fp", "sketch", "rank"]
@@ -101,3 +101,12 @@ def test_lines_are_cut_and_others_kept(spark):
     left = remove_lines(df, "row_no", "body", doomed)
     assert left.columns == df.columns
     assert sorted(r.body for r in left.collect()) == sorted(f"{WORDS[i]} rises\n{WORDS[i + 10]}" for i in range(10))
+
+
+def test_a_misread_word_in_a_short_title_is_the_same_line(spark):
+    assert folded_cost(fold_token("Aritriebe"), fold_token("Antriebe")) <= 1 and folded_cost(fold_token("Manteriimiento"), fold_token("Mantenimiento")) <= 1
+    assert folded_cost(fold_token("house"), fold_token("ground")) > 1
+    titles = ["Karvelt Antriebe"] * 18 + ["Karvelt Aritriebe", "Karvelt Getriebe"]
+    rows = [(i, f"{t}\n{WORDS[i]} rises", "s.pdf") for i, t in enumerate(titles)]
+    out = repeated_lines(spark.createDataFrame(rows, "i long, t string, s string"), "i", "t", "s")
+    assert sorted(map(tuple, out.collect())) == [(i, 1) for i in range(19)]
