@@ -316,17 +316,21 @@ def _evidence(known: set[str]):
     return run
 
 
-def _bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        counts: Counter[tuple[str, str]] = Counter()
-        for text in pdf["text"]:
-            before = None
-            for _, token, at, rest in _tokens(text.split("\n")):
-                w = word_of(token + rest)
-                if w and before:
-                    counts[before, w] += 1
-                before = w
-        yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["before", "word", "k"])
+def _bigrams(wanted: set[str] | None):
+    """Pairs of words in a row; only those whose second word is among `wanted`, if it is given."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            counts: Counter[tuple[str, str]] = Counter()
+            for text, scan in zip(pdf["text"], pdf["scan"], strict=True):
+                tokens = [t + rest for _, t, _, rest in _tokens(text.split("\n"))] if scan else MARKER.sub("", text).split()
+                for first, second in zip(tokens, tokens[1:]):
+                    w = word_of(second)
+                    if w and (wanted is None or w in wanted) and (before := word_of(first)):
+                        counts[before, w] += 1
+            yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["before", "word", "k"])
+
+    return run
 
 
 def _joins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -408,9 +412,12 @@ def _analysed(
     # misread words: the repair that the word before it makes likeliest, then the cheapest, then the most frequent
     words = evidence.filter("kind = 'word'").select("id", "line_no", F.col("a").alias("seen"), "before")
     options = words.join(candidates, "seen")
+    misread_at = options.select("id", "line_no")
     unsure = words.join(candidates.groupBy("seen").count().filter("count > 1").select("seen"), "seen", "left_semi").join(candidates, "seen")
     need = unsure.filter("before is not null").select(F.xxhash64("before", "word").alias("gram")).distinct()
-    grams = pages.select("text").mapInPandas(filled(_bigrams), "before string, word string, k long").select(F.xxhash64("before", "word").alias("gram"), "k")
+    second = unsure.select("word").distinct().limit(known_words + 1).collect()
+    wanted = {r.word for r in second} if len(second) <= known_words else None
+    grams = rows.select("text", "scan").mapInPandas(filled(_bigrams(wanted)), "before string, word string, k long").select(F.xxhash64("before", "word").alias("gram"), "k")
     grams = grams.join(need, "gram", "left_semi").groupBy("gram").agg(F.sum("k").alias("k"))
     options = options.withColumn("gram", F.xxhash64("before", "word")).join(grams, "gram", "left").fillna(0, ["k"])
     pick = Window.partitionBy("id", "line_no", "seen").orderBy(F.desc("k"), "cost", F.desc("n"), "word")
@@ -419,7 +426,8 @@ def _analysed(
     here = split.filter(~F.col("best.word").startswith(F.col("a"))).select("id", "line_no", F.col("whole").alias("seen"), F.col("best.word").alias("repair"))
     there = split.filter(~F.col("best.word").endswith(F.col("b")) & F.col("at").isNotNull()).select("id", F.col("at").alias("line_no"), F.col("whole").alias("seen"), F.col("best.word").alias("repair"))
     repairs = repairs.unionByName(here).unionByName(there)
-    chars = repairs.select("id", "line_no", F.lit("char").alias("defect"))
+    found = misread_at.unionByName(here.select("id", "line_no")).unionByName(there.select("id", "line_no"))
+    chars = found.select("id", "line_no", F.lit("char").alias("defect"))  # whichever repair is chosen
     whole = split.select("id", "line_no", F.col("whole").alias("seen"), F.col("best.word").alias("repair"))
     return certain.unionByName(hyphens).unionByName(chars).distinct(), repairs, printed, whole
 
@@ -443,7 +451,8 @@ def scan_defects(
     `scan_share` of its rows no line is longer than `widest`; such a row is a page. `order_col` orders the pages of a
     source; a page whose order is null has no next page. Rows with a null id, source or text hold no case; rows loaded
     twice are each reported; an empty table gives no rows; other columns are ignored. Words and statistics come from
-    all rows; the list of scanned sources is broadcast only up to `broadcast_sources`; `known_words` only bounds a list of frequent good words that need no lookup.
+    all rows; the list of scanned sources is broadcast only up to `broadcast_sources`; `known_words` only bounds lists that
+    spare lookups.
     """
     return _analysed(df, id_col, text_col, source_col, order_col, widest, scan_share, ratio, known_words, broadcast_sources)[:2]
 

@@ -240,3 +240,12 @@ def test_a_refusal_with_a_courtesy_or_referral():
         "Open the cover first. Please ask your service partner.", "You cannot skip this step.",
     ):
         assert classify(q, text, False)[0] is None, text
+
+
+def test_the_words_of_all_rows_choose_the_repair(spark):
+    # "1amp" may be lamp or the commoner iamp; only the clean rows have a pair with "green"
+    clean = [(i, "the green lamp stands by the blue iamp and a red iamp and an old iamp " + "and so this line is longer than any page of a scanned book", "clean.pdf", i) for i in range(30)]
+    pages = [(100 + i, "The work\nstarts with the green\nnew parts", "scan.pdf", i) for i in range(3)] + [(200, "one and the green 1amp\nis here", "scan.pdf", 4)]
+    df = spark.createDataFrame(clean + pages, "row_id long, documents string, source string, chunk_index int")
+    got = [tuple(r) for r in scan_defects(df, "row_id", "documents", "source", "chunk_index")[1].collect()]
+    assert (200, 1, "1amp", "lamp") in got
