@@ -86,10 +86,11 @@ def test_pairs_of_copies(spark):
     assert sorted(map(tuple, OPERATORS["p4"](frame(spark, rows)).collect())) == [(1, 5), (1, 9), (5, 9)]
 
 
-def test_hot_buckets_are_split(spark):
+@pytest.mark.parametrize("limits", [{"bucket_limit": 5}, {"bucket_limit": 5, "block": 7}, {"heavy_least": 3, "block": 7}, {"part_entries": 100}, {"filter_bits": 64}])
+def test_hot_buckets_are_split(spark, limits):
     base = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(base[:50] + [f"u{i}"] + base[50:]), None, None, None, None, None) for i in range(40)]
-    links, members = near_duplicates(frame(spark, rows), "row_no", "body", threshold=0.8, shingle=3, bucket_limit=5)
+    links, members = near_duplicates(frame(spark, rows), "row_no", "body", threshold=0.8, shingle=3, **limits)
     assert similar_pairs(links, members).count() == 40 * 39 // 2
 
 
