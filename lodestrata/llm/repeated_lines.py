@@ -2,9 +2,15 @@
 
 Every line is reduced to its letters, folded so that spelling, spacing, numbers and characters that scanners confuse
 do not matter. In each source the words that few of its rows hold are masked, so that a name, user or date filled into
-a fixed wording drops out. For each source and masked line the rows that hold it are kept as a compressed bitmap: only
-its non-zero 64-bit words are stored, as (bucket, bits) rows, so that unions are bit_or and cardinalities are exact
-sums of bit counts. The bitmaps of variant lines are united before the threshold, and lines are deleted by lookup.
+a fixed wording drops out. What is left is the key of the line.
+
+For each source and key a compressed bitmap of the rows that hold it is stored: only its non-zero 64-bit words, as
+(bucket, bits). Variant keys are mapped to the key they vary, once for each distinct key; the bitmaps of a key and its
+variants are united by bit_or, their cardinalities are exact sums of bit counts, and the thresholds apply to these. A
+line is deleted where the bit of its row stands in a doomed bitmap of its key.
+
+Rows of a source travel in salted shares of it, so that no source has to fit into a task; what a share needs to know
+of its source (common words, wordings, doomed bitmaps) comes before its rows in the same sorted partition.
 """
 
 from __future__ import annotations
@@ -15,13 +21,14 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.frames import filled
-from lodestrata.session import checkpointed
+from lodestrata.session import checkpointed, stored
 
 MARKER = re.compile(r"--- SOURCE:.*---\s*")
 TOKEN = re.compile(r"[^\s|]+")
@@ -126,18 +133,23 @@ def _word(word: str) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
+def _folded_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    folder = Folder()
+    for pdf in batches:
+        yield pdf.assign(lines=["\n".join(folder.lines(t)) for t in pdf["text"]])[["id", "src", "salt", "lines"]]
+
+
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows that hold each word, by source, added up over what the task sees."""
-    folder = Folder()
     counts: dict[int, Counter[str]] = {}
     held = 0
     for pdf in batches:
-        for src, text in zip(pdf["src"].tolist(), pdf["text"], strict=True):
+        for src, lines in zip(pdf["src"].tolist(), pdf["lines"], strict=True):
             own = counts.get(src)
             if own is None:
                 own = counts[src] = Counter()
             before = len(own)
-            own.update({w for line in folder.lines(text) for w in line.split(" ") if w and w[0] != CODE_SIGN})
+            own.update(set(lines.split()))
             held += len(own) - before
         if held > 400_000:
             yield _counted(counts)
@@ -146,7 +158,7 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _counted(counts: dict[int, Counter[str]]) -> pd.DataFrame:
-    rows = [(src, _word(w), n) for src, c in counts.items() for w, n in c.items()]
+    rows = [(src, _word(w), n) for src, c in counts.items() for w, n in c.items() if w[0] != CODE_SIGN]
     return pd.DataFrame(rows, columns=["src", "word", "n"])
 
 
@@ -236,19 +248,106 @@ class Masker:
         return f"{WHOLE}{' '.join(words)}" if whole else None
 
 
+#: Kinds of rows in one partition: what a share of a source needs to know, and the share itself; or, as a result, the
+#: bitmaps of its keys, the places of its lines, and the wordings that are frequent in it.
+FACTS, SHARE = 0, 1
+BITMAP, PLACES, WORDING = 0, 1, 2
+KEYED = "kind int, src long, salt int, num long, txt string, blob binary"
+PLACE = np.dtype([("line_no", "<i4"), ("key", "<i8")])
+WORD_BITS = np.dtype([("bucket", "<i8"), ("bits", "<i8")])
+#: Keys of a share that are held before their bitmaps are given out.
+HELD = 300_000
+
+
+def _key_hash(src: int, key: str) -> int:
+    return xxhash.xxh64_intdigest(key, seed=src & (1 << 64) - 1) - (1 << 63)
+
+
+def _bitmap(ids: list[int]) -> bytes:
+    """The bitmap of ascending or repeated ids."""
+    at = np.unique(np.array(ids, dtype=np.int64))
+    bucket, first = np.unique(at >> 6, return_index=True)
+    bits = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)), first).view(np.int64)
+    out = np.empty(len(bucket), WORD_BITS)
+    out["bucket"], out["bits"] = bucket, bits
+    return out.tobytes()
+
+
+class _Share:
+    """The keys of one share of a source with the rows that hold them."""
+
+    def __init__(self, src: int, salt: int, common: set[int], frequent: float):
+        self.src, self.salt, self.common, self.frequent = src, salt, common, frequent
+        self.seen = 0
+        self.known: dict[str, tuple[str, int]] = {}
+        self.ids: dict[str, list[int]] = {}
+
+    def key(self, line: str, masker: Masker) -> tuple[str, int]:
+        e = self.known.get(line)
+        if e is None:
+            k = masker.key(line, self.common) or ""
+            e = self.known[line] = (k, _key_hash(self.src, k) if k else 0)
+        return e
+
+    def places(self, ident: int, lines: str, masker: Masker) -> bytes:
+        out = []
+        self.seen += 1
+        for n, line in enumerate(lines.split("\n"), 1):
+            if line:
+                k, h = self.key(line, masker)
+                if k:
+                    out.append((n, h))
+                    own = self.ids.get(k)
+                    if own is None:
+                        self.ids[k] = [ident]
+                    elif own[-1] != ident:
+                        own.append(ident)
+        return np.array(out, PLACE).tobytes() if out else b""
+
+    def rows(self) -> Iterator[tuple]:
+        """Bitmaps of the keys, and wordings (keys without the whole line) that at least the share `frequent` of the rows
+        hold. What is that frequent in the source is so in one of its parts."""
+        least = self.frequent * self.seen * (1 - 1e-9)
+        short: dict[str, list[list[int]]] = {}
+        for k, ids in self.ids.items():
+            yield BITMAP, self.src, self.salt, _key_hash(self.src, k), k, _bitmap(ids)
+            if wording := k.partition(WHOLE)[0]:
+                short.setdefault(wording, []).append(ids)
+        for wording, lists in short.items():
+            if sum(map(len, lists)) >= least and (n := len(set().union(*lists)) if len(lists) > 1 else len(lists[0])) >= least:
+                yield WORDING, self.src, self.salt, n, wording, None
+        self.known, self.ids, self.seen = {}, {}, 0
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["kind", "src", "salt", "num", "txt", "blob"]).astype({"kind": "int32", "salt": "int32", "num": "int64"})
+
+
 def _keys(masker: Masker):
-    """The key of each line of each row, one on a line."""
+    """Rows arrive by (src, salt, kind): the common words of a source as blob, with the share of the rows that makes a
+    wording frequent as text; then ids with their folded lines. Yields bitmaps, places and wordings."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        folder = Folder()
-        last, common = None, set()
+        share, common, frequent, of = None, set(), 0.0, None
         for pdf in batches:
-            out = []
-            for src, text, packed in zip(pdf["src"].tolist(), pdf["text"], pdf["common"], strict=True):
-                if src != last:
-                    common, last = set(packed.tolist()), src
-                out.append("\n".join([line and masker.key(line, common) or "" for line in folder.lines(text)]))
-            yield pd.DataFrame({"id": pdf["id"], "src": pdf["src"], "keys": out})
+            out: list[tuple] = []
+            for kind, src, salt, num, txt, blob in zip(pdf["kind"].tolist(), pdf["src"].tolist(), pdf["salt"].tolist(), pdf["num"].tolist(), pdf["txt"], pdf["blob"], strict=True):
+                if of != (src, salt):
+                    if share is not None:
+                        out += share.rows()
+                    share, common, frequent, of = None, set(), 0.0, (src, salt)
+                if kind == FACTS:
+                    common, frequent = set(np.frombuffer(blob, "<i8").tolist()), float(txt)
+                    continue
+                if share is None:
+                    share = _Share(src, salt, common, frequent)
+                if places := share.places(num, txt, masker):
+                    out.append((PLACES, src, salt, num, None, places))
+                if len(share.known) > HELD:
+                    out += share.rows()
+            yield _frame(out)
+        if share is not None:
+            yield _frame(list(share.rows()))
 
     return run
 
@@ -259,6 +358,57 @@ def lacks_only(words: list[str], parts: list[str]) -> bool:
     return all(w in left for w in words)
 
 
+class Wordings:
+    """The wordings of a source, most frequent first, with an index by their words."""
+
+    def __init__(self, seeds: list[str], kept_share: float, lost_share: float):
+        self.seeds = [(k, k.split(" ")) for k in seeds]
+        self.shares = kept_share, lost_share
+        self.first: dict[str, list[int]] = {}
+        self.any: dict[str, list[int]] = {}
+        self.place: dict[str, int] = {}
+        for i, (k, parts) in enumerate(self.seeds):
+            self.place.setdefault(k, i)
+            self.first.setdefault(parts[0], []).append(i)
+            for w in set(parts):
+                self.any.setdefault(w, []).append(i)
+        self.known: dict[str, int] = {}
+        self.root = [self.variant(k) for k in seeds]
+        for i, j in enumerate(self.root):  # a wording varies one before it, or itself
+            self.root[i] = i if j == i else self.root[j]
+
+    def variant(self, key: str) -> int:
+        """Position of the first wording that the key equals or varies, -1 if there is none."""
+        words = key.split(" ")
+        near = set(self.any.get(words[0], ()))  # those that hold all its words
+        for w in set(words):
+            near.update(self.first.get(w, ()))  # those of which it holds all words
+        near = sorted(near)
+        i = variant_of(key, [self.seeds[j] for j in near], *self.shares)
+        return near[i] if i >= 0 else -1
+
+    def misread(self, words: list[str]) -> int:
+        near = sorted({j for w in words[:2] for j in self.any.get(w, ())})
+        i = misread_of(words, [self.seeds[j] for j in near])
+        return near[i] if i >= 0 else -1
+
+    def of(self, key: str) -> int:
+        """The root of a key, -1 if it varies no wording."""
+        short, _, whole = key.partition(WHOLE)
+        i = -1
+        if short in self.place:
+            i = self.place[short]
+        elif short:
+            if short not in self.known:
+                if len(self.known) > 100_000:
+                    self.known.clear()
+                self.known[short] = self.variant(short)
+            i = self.known[short]
+        if i < 0 and whole:
+            i = self.misread(whole.split(" "))
+        return self.root[i] if i >= 0 else -1
+
+
 def variant_of(key: str, seeds: list[tuple[str, list[str]]], kept_share: float, lost_share: float) -> int:
     """Position of the first of the seeds, most frequent first, that the key equals, that it becomes without one or
     two words in a row (a filled-in name that is itself common), or of which it lacks only words with at most `lost_share` of the
@@ -279,33 +429,54 @@ def variant_of(key: str, seeds: list[tuple[str, list[str]]], kept_share: float,
     return -1
 
 
-def _matches(kept_share: float, lost_share: float):
+def _roots(kept_share: float, lost_share: float):
+    """Rows arrive by (src, salt, kind): the wordings of a source, one on a line; then keys with their bitmaps. Yields the
+    keys that have a root, with it."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, seeds, known = None, [], {}
+        of, wordings = None, None
         for pdf in batches:
-            ids, srcs, at, which = [], [], [], []
-            for ident, src, keys, own in zip(pdf["id"].tolist(), pdf["src"].tolist(), pdf["keys"], pdf["seeds"], strict=True):
-                if src != last:
-                    last = src
-                    seeds = [(k, k.split(" ")) for k in own]
-                    known = {k: variant_of(k, seeds, kept_share, lost_share) for k in own}  # a seed may be a variant itself
-                for n, key in enumerate(keys.split("\n"), 1):
-                    if key:
-                        i = known.get(key)
-                        if i is None:
-                            short, _, whole = key.partition(WHOLE)
-                            i = known.get(short, -1) if short in known else variant_of(short, seeds, kept_share, lost_share) if short else -1
-                            if i < 0 and whole:
-                                i = misread_of(whole.split(" "), seeds)
-                            if len(known) < 100_000:
-                                known[key] = i
-                        if i >= 0:
-                            ids.append(ident), srcs.append(src), at.append(n), which.append(i)
-            yield pd.DataFrame({"id": ids, "src": srcs, "line_no": at, "seed": which}).astype({"id": "int64", "src": "int64", "line_no": "int32", "seed": "int32"})
+            out: list[tuple] = []
+            for kind, src, salt, num, txt, blob in zip(pdf["kind"].tolist(), pdf["src"].tolist(), pdf["salt"].tolist(), pdf["num"].tolist(), pdf["txt"], pdf["blob"], strict=True):
+                if kind == FACTS:
+                    if of != src:
+                        wordings, of = Wordings(txt.split("\n"), kept_share, lost_share), src
+                elif of == src and (root := wordings.of(txt)) >= 0:
+                    bitmap = np.frombuffer(blob, WORD_BITS)
+                    out.append((src, salt, root, num, bitmap["bucket"], bitmap["bits"]))
+            yield pd.DataFrame(out, columns=["src", "salt", "root", "key", "buckets", "bits"]).astype({"salt": "int32", "root": "int32"})
 
     return run
 
 
+def _deleted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows arrive by (src, salt, kind): the doomed bitmaps of the share, one row for each key; then the places of the
+    lines of its rows. Yields the places whose row stands in the bitmap of their key."""
+    of, doomed = None, {}
+    for pdf in batches:
+        ids, at = [], []
+        for kind, src, salt, num, blob in zip(pdf["kind"].tolist(), pdf["src"].tolist(), pdf["salt"].tolist(), pdf["num"].tolist(), pdf["blob"], strict=True):
+            if of != (src, salt):
+                of, doomed = (src, salt), {}
+            if kind == FACTS:
+                bitmap = np.frombuffer(blob, WORD_BITS)
+                own = doomed.setdefault(num, {})
+                for b, w in zip(bitmap["bucket"].tolist(), bitmap["bits"].tolist()):
+                    own[b] = own.get(b, 0) | w
+            elif doomed:
+                for n, key in np.frombuffer(blob, PLACE).tolist():
+                    bits = doomed.get(key)
+                    if bits and bits.get(num >> 6, 0) >> (num & 63) & 1:
+                        ids.append(num), at.append(n)
+        yield pd.DataFrame({"id": ids, "line_no": at}).astype({"id": "int64", "line_no": "int32"})
+
+
+def _alongside(facts: DataFrame, rows: DataFrame, shares: int) -> DataFrame:
+    """facts and rows of the same (src, salt) in one partition, facts first."""
+    both = facts.select("kind", "src", "salt", "num", "txt", "blob").unionByName(rows.select("kind", "src", "salt", "num", "txt", "blob"))
+    return both.repartition(shares, "src", "salt").sortWithinPartitions("src", "salt", "kind")
+
+
 def repeated_lines(
     df: DataFrame,
     id_col: str,
@@ -316,43 +487,78 @@ def repeated_lines(
     kept_share: float = 0.45,
     many_slots_share: float = 0.7,
     lost_share: float = 0.4,
-    broadcast_words: int = 4_000_000,
+    wording_share: float = 0.4,
+    share_rows: int = 20_000,
+    most_large: int = 1_000_000,
 ) -> DataFrame:
     """(id, line_no): every line to be removed, line_no counted from 1 over the text split at newlines.
 
-    A line counts if it, or a variant of it, stands in at least `least_rows` rows of its source and in at least
-    `least_share` of them. Rows count by id, also those loaded twice; repeats within a row count once, but each is a
-    case. Words and wordings of the sources go to the executors by broadcast only if they are at most `broadcast_words`,
-    else by a join. Lines without letters and marker lines never count. Rows with a null id, source or text hold no lines, but a
-    row with a source and a null text counts as a row of it. An empty table gives no rows; other columns are ignored.
+    A line counts if it and its variants stand together in at least `least_rows` rows of its source and in at least
+    `least_share` of them. Variants are united if one of their forms reaches `wording_share` of that. Rows count by id, also
+    those loaded twice; repeats within a row count once, but each is a case. Lines without letters and marker lines
+    never count. Rows with a null id, source or text hold no lines, but a row with a source and a null text counts as a
+    row of it. An empty table gives no rows; other columns are ignored.
+
+    Sources with more than `share_rows` rows are divided into shares; at most `most_large` of them are told to the
+    executors, as the shares grow with the table beyond that.
     """
-    named = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(source_key(F.col(source_col))).alias("src"), F.col(source_col).isNotNull().alias("ok")).filter("ok and id is not null")
-    totals = named.groupBy("src").agg(F.count("*").alias("rows"))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(source_key(F.col(source_col))).alias("src"), F.col(text_col).alias("text"))
-    rows = rows.filter("id is not null and text is not null").filter(F.col("src") != F.xxhash64(F.lit(None).cast("string")))
-
-    # words of at least half the required rows of their source; half, as variants are united only afterwards
-    common = rows.select("src", "text").mapInPandas(filled(_word_counts), "src long, word long, n long").groupBy("src", "word").agg(F.sum("n").alias("n"))
-    common = common.join(totals, "src").filter((F.col("n") >= least_rows / 2) & (F.col("n") >= F.col("rows") * least_share / 2))
+    src = F.xxhash64(source_key(F.col(source_col)))
+    named = df.filter(F.col(id_col).isNotNull() & F.col(source_col).isNotNull()).select(src.alias("src"))
+    totals = checkpointed(named.groupBy("src").agg(F.count("*").alias("rows")))
+    table = totals.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    share_rows = max(share_rows, -(-table // most_large))
+    totals = totals.withColumn("salts", F.ceil(F.col("rows") / share_rows).cast("int")).withColumn("need", F.greatest(F.lit(float(least_rows)), F.col("rows") * least_share))
+    large = F.broadcast(totals.filter("salts > 1").select("src", "salts"))  # at most table / share_rows
+    rows = df.select(F.col(id_col).cast("long").alias("id"), src.alias("src"), F.col(source_col).isNotNull().alias("ok"), F.col(text_col).alias("text"))
+    rows = rows.filter("id is not null and ok and text is not null").join(large, "src", "left")
+    # the 64 ids of a bitmap's word are in one share
+    salt = F.coalesce(F.pmod(F.xxhash64(F.shiftright("id", 6)), F.col("salts")), F.lit(0)).cast("int")
+    rows = rows.select("id", "src", salt.alias("salt"), "text")
+    folded = stored(rows.mapInPandas(filled(_folded_lines), "id long, src long, salt int, lines string"))
+    shares = max(1, -(-table // share_rows), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    # words of at least half the required rows of their source
+    common = folded.select("src", "lines").mapInPandas(filled(_word_counts), "src long, word long, n long").groupBy("src", "word").agg(F.sum("n").alias("n"))
+    common = common.join(totals, "src").filter(F.col("n") >= F.col("need") / 2)
     # at most the words of a mean row / (least_share / 2) for each source
-    common = checkpointed(common.groupBy("src").agg(F.collect_list("word").alias("common")))
-    bounded = lambda d, column: F.broadcast(d) if (d.agg(F.sum(F.size(column))).first()[0] or 0) <= broadcast_words else d
-    masker = Masker(kept_share, many_slots_share)
-    keys = rows.join(bounded(common, "common"), "src").select("id", "src", "text", "common").mapInPandas(filled(_keys(masker)), "id long, src long, keys string")
-    keys = checkpointed(keys)
-    each = keys.select("src", F.explode(F.array_distinct(F.split(F.regexp_replace("keys", f"{WHOLE}[^\n]*", ""), "\n"))).alias("key")).filter("key <> ''")
-    counts = each.groupBy("src", "key").agg(F.count("*").alias("n")).join(totals, "src")
-    seeds = counts.filter((F.col("n") >= least_rows / 2) & (F.col("n") >= F.col("rows") * least_share / 2))
-    # again at most the lines of a mean row / (least_share / 2); the most frequent first
-    seeds = seeds.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "key"))), lambda x: x["key"]).alias("seeds"))
-    seeds = checkpointed(seeds)
-    found = keys.join(bounded(seeds, "seeds"), "src").select("id", "src", "keys", "seeds")
-    found = checkpointed(found.mapInPandas(filled(_matches(kept_share, lost_share)), "id long, src long, line_no int, seed int"))
-    bucket, bit = F.shiftright("id", 6), F.expr("shiftleft(1L, cast(id & 63 as int))")
-    bitmaps = found.groupBy("src", "seed", bucket.alias("bucket")).agg(F.bit_or(bit).alias("bits"))
-    united = bitmaps.groupBy("src", "seed").agg(F.sum(F.bit_count("bits")).alias("n")).join(totals, "src")
-    hot = united.filter((F.col("n") >= least_rows) & (F.col("n") >= F.col("rows") * least_share)).select("src", "seed")
-    return found.join(hot, ["src", "seed"]).select("id", "line_no")
+    common = common.groupBy("src").agg(F.collect_list("word").alias("words"))
+    each_share = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    frequent = (F.col("need") * wording_share / F.col("rows")).cast("string")
+    known = totals.join(common, "src", "left").select("src", each_share, frequent.alias("txt"), F.coalesce("words", F.array().cast("array<bigint>")).alias("words"))
+    known = known.mapInPandas(filled(_packed_words), "kind int, src long, salt int, num long, txt string, blob binary")
+    lines = folded.select(F.lit(SHARE).alias("kind"), "src", "salt", F.col("id").alias("num"), F.col("lines").alias("txt"), F.lit(None).cast("binary").alias("blob"))
+    keyed = stored(_alongside(known, lines, shares).mapInPandas(filled(_keys(Masker(kept_share, many_slots_share))), KEYED))
+
+    # wordings, the most frequent first: at most the lines of a mean row / (least_share * wording_share) for each source
+    seeds = keyed.filter(F.col("kind") == WORDING).groupBy("src", F.col("txt").alias("key")).agg(F.sum("num").alias("n")).join(totals, "src")
+    seeds = seeds.filter(F.col("n") >= F.col("need") * wording_share).groupBy("src", "salts").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "key"))).alias("keys"))
+    seeds = checkpointed(seeds.select("src", "salts", F.array_join(F.transform("keys", lambda x: x["key"]), "\n").alias("txt")))
+    facts = seeds.select(F.lit(FACTS).alias("kind"), "src", each_share, F.lit(0).cast("long").alias("num"), "txt", F.lit(None).cast("binary").alias("blob"))
+    keys = keyed.filter(F.col("kind") == BITMAP).withColumn("kind", F.lit(SHARE))
+    rooted = _alongside(facts, keys, shares).mapInPandas(filled(_roots(kept_share, lost_share)), "src long, salt int, root int, key long, buckets array<long>, bits array<long>")
+    rooted = checkpointed(rooted)
+    words = rooted.select("src", "root", F.explode(F.arrays_zip("buckets", "bits")).alias("w"))
+    united = words.groupBy("src", "root", F.col("w.buckets").alias("bucket")).agg(F.bit_or("w.bits").alias("bits"))
+    united = united.groupBy("src", "root").agg(F.sum(F.bit_count("bits")).alias("n")).join(totals, "src")
+    hot = united.filter(F.col("n") >= F.col("need")).select("src", "root")
+    doomed = rooted.join(hot, ["src", "root"]).mapInPandas(filled(_packed_bitmaps), "kind int, src long, salt int, num long, txt string, blob binary")
+    places = keyed.filter(F.col("kind") == PLACES).withColumn("kind", F.lit(SHARE))
+    return _alongside(doomed, places, shares).select("kind", "src", "salt", "num", "blob").mapInPandas(filled(_deleted), "id long, line_no int")
+
+
+def _packed_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.assign(kind=FACTS, num=0, blob=[np.asarray(w, dtype="<i8").tobytes() for w in pdf["words"]]).drop(columns="words")
+
+
+def _packed_bitmaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        blobs = []
+        for buckets, bits in zip(pdf["buckets"], pdf["bits"], strict=True):
+            out = np.empty(len(buckets), WORD_BITS)
+            out["bucket"], out["bits"] = buckets, bits
+            blobs.append(out.tobytes())
+        yield pd.DataFrame({"kind": FACTS, "src": pdf["src"], "salt": pdf["salt"], "num": pdf["key"], "txt": None, "blob": blobs})
 
 
 def remove_lines(df: DataFrame, id_col: str, text_col: str, doomed: DataFrame) -> DataFrame:

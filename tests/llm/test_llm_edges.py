@@ -111,3 +111,16 @@ def test_a_misread_word_in_a_short_title_is_the_same_line(spark):
     rows = [(i, f"{t}\n{WORDS[i]} rises", "s.pdf") for i, t in enumerate(titles)]
     out = repeated_lines(spark.createDataFrame(rows, "i long, t string, s string"), "i", "t", "s")
     assert sorted(map(tuple, out.collect())) == [(i, 1) for i in range(19)]
+
+
+@pytest.mark.parametrize("share_rows", [20_000, 7])
+def test_variants_count_together_and_sources_are_divided(spark, share_rows):
+    # 45 rows need 9; the line stands in three forms, two of them with a name that is common in the source, 4 rows each
+    names = ["Karvelt", "Orlane", "Miraridole"]
+    forms = ["Read the service notes every month", "Read the Karvelt service notes every month", "Read the Orlane service notes every month"]
+    body = lambda i: f"{WORDS[i % 20]} of {names[i % 3]} number {WORDS[(i * 7 + 3) % 20]}"
+    rows = [(i, body(i) + (f"\n{forms[i % 3]}" if i < 12 else ""), "s.pdf") for i in range(45)]
+    df = spark.createDataFrame(rows, "i long, t string, s string")
+    out = repeated_lines(df, "i", "t", "s", share_rows=share_rows)
+    assert sorted(map(tuple, out.filter("line_no = 2").collect())) == [(i, 2) for i in range(12)]
+    assert repeated_lines(df.filter("i > 3"), "i", "t", "s", share_rows=share_rows).filter("line_no = 2").isEmpty()  # 8 of 41

@@ -15,7 +15,7 @@ from lodestrata.llm.curves import hilbert_keys, nearest_vectors
 from lodestrata.llm.kernel_language import LABELS, document_languages
 from lodestrata.llm.packing import load_tokenizer
 from lodestrata.llm.pairs import classify
-from lodestrata.llm.repeated_lines import Folder, fold_token, variant_of
+from lodestrata.llm.repeated_lines import Folder, Wordings, fold_token, variant_of
 from lodestrata.llm.scans import confusion_cost, misread_number, page_number_form, repaired_paragraphs, scan_defects, word_of
 
 DATA = "/root/testdata/sf0.001"
@@ -152,7 +152,9 @@ def test_folding():
 
 def test_variants():
     seeds = [(k, k.split(" ")) for k in ("share this topic", "read the booklet before you work")]
+    known = Wordings([k for k, _ in seeds], 0.45, 0.4)
     find = lambda k: variant_of(k, seeds, 0.45, 0.4)
+    assert all(known.of(k) == find(k) for k in ("share this topic", "share this orlane topic", "read the booklet you work", "before you work", "share the booklet"))
     assert [find(k) for k in ("share this topic", "share this orlane topic", "read the booklet you work", "before you work", "share the booklet")] == [0, 0, 1, -1, -1]
 
 
