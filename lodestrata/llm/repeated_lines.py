@@ -529,9 +529,9 @@ def repeated_lines(
     lines = folded.select(F.lit(SHARE).alias("kind"), "src", "salt", F.col("id").alias("num"), F.col("lines").alias("txt"), F.lit(None).cast("binary").alias("blob"))
     keyed = stored(_alongside(known, lines, shares).mapInPandas(filled(_keys(Masker(kept_share, many_slots_share))), KEYED))
 
-    # wordings, the most frequent first: at most the lines of a mean row / (least_share * wording_share) for each source
+    # wordings, the most frequent first, then the shortest: at most the lines of a mean row / (least_share * wording_share) for each source
     seeds = keyed.filter(F.col("kind") == WORDING).groupBy("src", F.col("txt").alias("key")).agg(F.sum("num").alias("n")).join(totals, "src")
-    seeds = seeds.filter(F.col("n") >= F.col("need") * wording_share).groupBy("src", "salts").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "key"))).alias("keys"))
+    seeds = seeds.filter(F.col("n") >= F.col("need") * wording_share).groupBy("src", "salts").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.length("key").alias("size"), "key"))).alias("keys"))
     seeds = checkpointed(seeds.select("src", "salts", F.array_join(F.transform("keys", lambda x: x["key"]), "\n").alias("txt")))
     facts = seeds.select(F.lit(FACTS).alias("kind"), "src", each_share, F.lit(0).cast("long").alias("num"), "txt", F.lit(None).cast("binary").alias("blob"))
     keys = keyed.filter(F.col("kind") == BITMAP).withColumn("kind", F.lit(SHARE))
