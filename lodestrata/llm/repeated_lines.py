@@ -213,37 +213,44 @@ def misread_of(words: list[str], seeds: list[tuple[str, list[str]]]) -> int:
     return -1
 
 
+@lru_cache(maxsize=300_000)
+def _cached_word(word: str) -> int:
+    return _word(word)
+
+
+class Rare(dict):
+    """Whether a word is rare in a source, by the hashes of its common words; codes are never rare."""
+
+    def __init__(self, common: set[int]):
+        super().__init__()
+        self.common = common
+
+    def __missing__(self, word: str) -> bool:
+        out = self[word] = word[0] != CODE_SIGN and _cached_word(word) not in self.common
+        return out
+
+
 class Masker:
     """The key of a folded line: its words without those that are rare in its source; null if too little is left. Where
     a single masked word has a good part of the letters, the whole line follows the key, which may be empty."""
 
     def __init__(self, kept_share: float, many_slots_share: float):
         self.shares = kept_share, many_slots_share
-        self.hashes: dict[str, int] = {}
 
-    def key(self, line: str, common: set[int]) -> str | None:
-        hashes = self.hashes
-        if len(hashes) > 300_000:
-            hashes.clear()
+    def key(self, line: str, rare: Rare) -> str | None:
         words = line.split(" ")
         if len(words) > 1:  # single letters tell nothing
             words = [w for w in words if len(w) > 1] or words
-        kept, slots, inside, letters = [], 0, False, sum(map(len, words))
-        for w in words:
-            h = hashes.get(w)
-            if h is None:
-                h = hashes[w] = _word(w)
-            masked = h not in common and w[0] != CODE_SIGN
-            if not masked:
-                kept.append(w)
-            elif not inside:
-                slots += 1
-            inside = masked
-        key = " ".join(kept)
-        share = self.shares[slots > 1]
-        left = len(key) - len(kept)
-        whole = len(kept) == len(words) - 1 and kept and left < 0.7 * letters
-        if key and left >= share * (letters - 1) and any(w[0] != CODE_SIGN for w in kept):
+        kept = [w for w in words if not rare[w]]
+        if not kept:
+            return None
+        masked = len(words) - len(kept)
+        letters = len(line) if masked == 0 else sum(map(len, words))
+        left = sum(map(len, kept)) - 1
+        many = masked > 1 and sum(rare[w] and not rare[v] for v, w in zip(words, words[1:])) + rare[words[0]] > 1
+        whole = masked == 1 and left < 0.7 * letters
+        if (masked == 0 or left >= self.shares[many] * (letters - 1)) and any(w[0] != CODE_SIGN for w in kept):
+            key = " ".join(kept)
             return f"{key}{WHOLE}{' '.join(words)}" if whole else key
         return f"{WHOLE}{' '.join(words)}" if whole else None
 
@@ -263,64 +270,84 @@ def _key_hash(src: int, key: str) -> int:
     return xxhash.xxh64_intdigest(key, seed=src & (1 << 64) - 1) - (1 << 63)
 
 
-def _bitmap(ids: list[int]) -> bytes:
-    """The bitmap of ascending or repeated ids."""
-    at = np.unique(np.array(ids, dtype=np.int64))
-    bucket, first = np.unique(at >> 6, return_index=True)
-    bits = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)), first).view(np.int64)
-    out = np.empty(len(bucket), WORD_BITS)
-    out["bucket"], out["bits"] = bucket, bits
-    return out.tobytes()
-
-
 class _Share:
     """The keys of one share of a source with the rows that hold them."""
 
     def __init__(self, src: int, salt: int, common: set[int], frequent: float):
-        self.src, self.salt, self.common, self.frequent = src, salt, common, frequent
-        self.seen = 0
-        self.known: dict[str, tuple[str, int]] = {}
-        self.ids: dict[str, list[int]] = {}
+        self.src, self.salt, self.rare, self.frequent = src, salt, Rare(common), frequent
+        self._clear()
 
-    def key(self, line: str, masker: Masker) -> tuple[str, int]:
-        e = self.known.get(line)
-        if e is None:
-            k = masker.key(line, self.common) or ""
-            e = self.known[line] = (k, _key_hash(self.src, k) if k else 0)
-        return e
+    def _clear(self) -> None:
+        self.seen = 0
+        self.known: dict[str, int] = {}  # line to position of its key, -1 for none
+        self.at: dict[str, int] = {}  # key to position
+        self.hashes: list[int] = []
+        self.held: list[int] = []  # positions of the keys of all lines, and below the rows of these lines
+        self.rows: list[int] = []
+
+    def _position(self, key: str | None) -> int:
+        if not key:
+            return -1
+        i = self.at.get(key)
+        if i is None:
+            i = self.at[key] = len(self.hashes)
+            self.hashes.append(_key_hash(self.src, key))
+        return i
 
     def places(self, ident: int, lines: str, masker: Masker) -> bytes:
-        out = []
+        numbers, positions = [], []
+        known = self.known
         self.seen += 1
         for n, line in enumerate(lines.split("\n"), 1):
             if line:
-                k, h = self.key(line, masker)
-                if k:
-                    out.append((n, h))
-                    own = self.ids.get(k)
-                    if own is None:
-                        self.ids[k] = [ident]
-                    elif own[-1] != ident:
-                        own.append(ident)
-        return np.array(out, PLACE).tobytes() if out else b""
-
-    def rows(self) -> Iterator[tuple]:
+                i = known.get(line)
+                if i is None:
+                    i = known[line] = self._position(masker.key(line, self.rare))
+                if i >= 0:
+                    numbers.append(n)
+                    positions.append(i)
+        if not numbers:
+            return b""
+        self.held += positions
+        self.rows += [ident] * len(numbers)
+        out = np.empty(len(numbers), PLACE)
+        out["line_no"], out["key"] = numbers, [self.hashes[i] for i in positions]
+        return out.tobytes()
+
+    def results(self) -> Iterator[pd.DataFrame]:
         """Bitmaps of the keys, and wordings (keys without the whole line) that at least the share `frequent` of the rows
         hold. What is that frequent in the source is so in one of its parts."""
         least = self.frequent * self.seen * (1 - 1e-9)
-        short: dict[str, list[list[int]]] = {}
-        for k, ids in self.ids.items():
-            yield BITMAP, self.src, self.salt, _key_hash(self.src, k), k, _bitmap(ids)
-            if wording := k.partition(WHOLE)[0]:
-                short.setdefault(wording, []).append(ids)
-        for wording, lists in short.items():
-            if sum(map(len, lists)) >= least and (n := len(set().union(*lists)) if len(lists) > 1 else len(lists[0])) >= least:
-                yield WORDING, self.src, self.salt, n, wording, None
-        self.known, self.ids, self.seen = {}, {}, 0
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["kind", "src", "salt", "num", "txt", "blob"]).astype({"kind": "int32", "salt": "int32", "num": "int64"})
+        keys = list(self.at)
+        key, row = np.array(self.held, dtype=np.int64), np.array(self.rows, dtype=np.int64)
+        if len(key):
+            order = np.lexsort((row, key))
+            key, row = key[order], row[order]
+            fresh = np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])]
+            key, row = key[fresh], row[fresh]
+            bucket = row >> 6
+            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])])
+            words = np.empty(len(first), WORD_BITS)
+            words["bucket"] = bucket[first]
+            words["bits"] = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (row & 63).astype(np.uint64)), first).view(np.int64)
+            cuts = (np.searchsorted(key[first], np.arange(len(keys) + 1)) * WORD_BITS.itemsize).tolist()
+            packed = words.tobytes()
+            blobs = [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+            yield _frame(BITMAP, self.src, self.salt, self.hashes, keys, blobs)
+            wordings: dict[str, int] = {}
+            of = np.array([wordings.setdefault(k.partition(WHOLE)[0], len(wordings)) for k in keys])[key]
+            order = np.lexsort((row, of))
+            of, row = of[order], row[order]
+            n = np.bincount(of[np.r_[True, (of[1:] != of[:-1]) | (row[1:] != row[:-1])]], minlength=len(wordings))
+            some = [(w, int(n[i])) for w, i in wordings.items() if w and n[i] >= least]
+            if some:
+                yield _frame(WORDING, self.src, self.salt, [x for _, x in some], [w for w, _ in some], None)
+        self._clear()
+
+
+def _frame(kind: int, src: int | list, salt: int | list, num: list, txt: list | None, blob: list | None) -> pd.DataFrame:
+    out = pd.DataFrame({"kind": kind, "src": src, "salt": salt, "num": num, "txt": txt, "blob": blob})
+    return out.astype({"kind": "int32", "src": "int64", "salt": "int32", "num": "int64"})
 
 
 def _keys(masker: Masker):
@@ -330,11 +357,11 @@ def _keys(masker: Masker):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         share, common, frequent, of = None, set(), 0.0, None
         for pdf in batches:
-            out: list[tuple] = []
+            srcs, salts, ids, blobs = [], [], [], []
             for kind, src, salt, num, txt, blob in zip(pdf["kind"].tolist(), pdf["src"].tolist(), pdf["salt"].tolist(), pdf["num"].tolist(), pdf["txt"], pdf["blob"], strict=True):
                 if of != (src, salt):
                     if share is not None:
-                        out += share.rows()
+                        yield from share.results()
                     share, common, frequent, of = None, set(), 0.0, (src, salt)
                 if kind == FACTS:
                     common, frequent = set(np.frombuffer(blob, "<i8").tolist()), float(txt)
@@ -342,12 +369,12 @@ def _keys(masker: Masker):
                 if share is None:
                     share = _Share(src, salt, common, frequent)
                 if places := share.places(num, txt, masker):
-                    out.append((PLACES, src, salt, num, None, places))
+                    srcs.append(src), salts.append(salt), ids.append(num), blobs.append(places)
                 if len(share.known) > HELD:
-                    out += share.rows()
-            yield _frame(out)
+                    yield from share.results()
+            yield _frame(PLACES, srcs, salts, ids, None, blobs)
         if share is not None:
-            yield _frame(list(share.rows()))
+            yield from share.results()
 
     return run
 
