@@ -1,4 +1,9 @@
-"""Broken prompt and response pairs: empty, refused, copied, truncated or in another language."""
+"""Broken prompt and response pairs: empty, refused, copied, truncated or in another language.
+
+Copies are found by shingle containment and longest common subsequence, refusals by alignment with templates, other
+languages by the string kernel of kernel_language, fitted on texts of the table whose function words tell their language,
+and truncation by the words that end the closed sentences of the table.
+"""
 
 from __future__ import annotations
 
@@ -6,80 +11,18 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.frames import filled
+from lodestrata.llm.kernel_language import LANGUAGES, _alphabet, _sums, fit, spectra, unquoted
 from lodestrata.llm.langwords import guess, named_languages, scores
+from lodestrata.llm.refusals import lcs, statement
 from lodestrata.session import checkpointed
 
-# Refusals; * stands for any few words.
-REFUSALS = """
-I'm sorry, but I can't help with this request.
-I cannot help with that.
-I won't be able to assist you with that.
-I am unable to comment.
-I am unable to answer this question.
-Before going further with *, talk to the maker; I am unable to comment.
-As an assistant, I have no way to judge that, so I must decline.
-As a language model, I cannot answer that.
-I have to refuse, because the topic could be dangerous.
-Sorry, no answer can be given to that question here.
-Your request is declined.
-I must decline this request.
-Please contact a qualified technician; I do not answer questions about this product.
-My apologies, that lies outside what I may discuss.
-Unfortunately it is against my guidelines to describe this.
-It is a topic I have to leave to your dealer.
-This is something I would rather not answer.
-I cannot provide this information.
-I am not able to give instructions of that kind.
-I'd prefer not to walk you through work on *.
-Questions on * are blocked for me, so there is no answer I could offer.
-Regrettably, nothing about * may be shared by me.
-I am not allowed to answer this question.
-Üzgünüm, bu konuda yardımcı olamam.
-Bu soruya cevap veremem.
-Bu isteği reddetmek zorundayım.
-Dazu darf ich keine Auskunft geben.
-Diese Frage beantworte ich nicht, bitte wenden Sie sich an den Kundendienst.
-Es tut mir leid, dabei kann ich nicht helfen.
-Bei Arbeiten dieser Art kann ich Sie nicht anleiten.
-Leider muss ich diese Anfrage ablehnen.
-Désolé, ce sujet dépasse ce que je peux traiter.
-Je dois décliner cette demande.
-Je ne suis pas autorisé à répondre à cette question.
-Je suis désolé, je ne peux pas vous aider.
-No estoy autorizado a responder a esta pregunta.
-Lo siento, no puedo ayudarle con eso.
-Debo rechazar esta solicitud.
-Mi dispiace, non posso aiutarla.
-Non sono autorizzato a rispondere a questa domanda.
-Devo rifiutare questa richiesta.
-Il m'est impossible de donner des consignes sur *.
-Me es imposible dar indicaciones sobre *.
-Lamento no poder tratar este tema.
-Bu soruyu yanıtlamam uygun değil.
-""".strip().split("\n")
-# Answers that say nothing was found.
-NOT_FOUND = """
-This detail does not appear in the indexed files.
-The answer was not found in the supplied manuals.
-No information on this is available in the documents.
-The sources at hand say nothing about it.
-Information not found in provided documents.
-L'information ne figure pas dans les documents.
-La información no figura en los documentos.
-Dazu steht nichts in den Dokumenten.
-Die Angabe wurde in den Unterlagen nicht gefunden.
-Bu bilgi belgelerde bulunmuyor.
-L'informazione non è presente nei documenti.
-""".strip().split("\n")
-# Words of a speaker, and of a denial, in the six languages.
-SPEAKER = re.compile(r"\b(i|i'm|i'd|i'll|my|me|we|ich|mir|wir|je|me|mon|nous|yo|mi|io|noi|bana|benim)\b|\b(puedo|podemos|debo|estoy|posso|devo|possiamo|olamam|veremem|edemem|yapamam|reddetmek)\b", re.I)
-DENIAL = re.compile(r"\b(sorry|apolog\w+|regret\w*|refuse|decline\w*|unable|cannot|can't|won't|not able|not allowed|not permitted|prefer not|rather not|blocked|guidelines|against my|outside what|leider|ablehn\w+|darf|nicht helfen|keine auskunft|désolé\w*|décliner|autorisé\w*|ne peux|lo siento|no puedo|autorizado|rechaz\w+|dispiace|non posso|rifiut\w+|üzgünüm|maalesef|yardımcı olamam|olamam|veremem)\b", re.I)
 # Sentences that only thank, or only send the reader elsewhere, in the six languages.
 COURTESY = re.compile(r"^\W*(thank you|thanks|danke|vielen dank|merci|gracias|grazie|teşekkür\w*|sorunuz için)\b", re.I)
 REFERRAL = re.compile(r"^\W*((please|kindly|instead|bitte|veuillez|por favor|per favore|lütfen)[, ]+)?(you (may|can|should) )?(ask|contact|consult|call|turn to|talk to|speak (to|with)|refer to|wenden sie sich|fragen sie|kontaktieren sie|contactez|consultez|adressez|contacter|consulter|vous adresser|contacte|consulte|diríjase|póngase en contacto|pregunte|contatti|contattare|consulti|si rivolga|rivolgersi|chieda|\w+ (danışın\w*|başvurun\w*))\b", re.I)
@@ -99,40 +42,10 @@ PLAIN_VALUE = re.compile(r"^[<>≤≥±~]?\s*[-+]?\d[\d.,]*\s*[^\s\d]{0,6}(/[^\s
 CODE = re.compile(r"^(?=.*\d)[A-Z][A-Z0-9]*(?:[-/][A-Z0-9]+)*$")
 
 
-def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
-
-
 def _words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def _template(text: str) -> list[list[str]]:
-    return [_words(x) for x in text.split("*")]
-
-
-_REFUSALS = [(t, sum(map(len, t))) for t in map(_template, REFUSALS)]
-_NOT_FOUND = [(t, sum(map(len, t))) for t in map(_template, NOT_FOUND)]
-
-
-def aligned(words: list[str], templates: list, least: float = 0.8) -> bool:
-    """Whether the words follow one of the templates, up to a slot of a few words and small changes."""
-    for parts, n in templates:
-        slot = 8 * (len(parts) - 1)
-        if not n * least <= len(words) <= n / least + slot:
-            continue
-        common = lcs(words, [w for p in parts for w in p])
-        if common >= least * n and common >= least * (len(words) - slot):
-            return True
-    return False
-
-
 def visible(text: str | None) -> str:
     """The answer without reasoning, tags, headings and labels."""
     if not text:
@@ -174,26 +87,25 @@ def _tells(words: list[str], query: str) -> bool:
 def refused(answer: str, query: str = "") -> tuple[bool, bool]:
     """(declines, says that nothing was found), if that is all the answer does.
 
-    Thanks and referrals count for nothing beside it. Beside a refusal of the list, neither do a few more words, unless
-    they give content about the query.
+    Thanks and referrals count for nothing beside it, and neither do a few more words beside a refusal, unless they give
+    content about the query.
     """
-    declined = missing = listed = False
+    declined = missing = False
     rest: list[str] = []
     for s in filter(None, (x.strip() for x in SENTENCE.split(answer))):
         words = _words(s)
         if not words or CITATION.fullmatch(s):
             continue
-        if aligned(words, _NOT_FOUND):
+        found = statement(s)
+        if found == "missing":
             missing = True
-        elif aligned(words, _REFUSALS):
-            declined = listed = True
-        elif len(words) <= 30 and SPEAKER.search(s) and DENIAL.search(s):
+        elif found:
             declined = True
         elif not _refers(s, words):
             rest += words
             if len(rest) > 12:
                 return False, False
-    if rest and not (listed and guess(answer, 0.5, 1.2) in (None, guess(query, 0.5, 1.2)) and not _tells(rest, query)):
+    if rest and not (declined and guess(answer, 0.5, 1.2) in (None, guess(query, 0.5, 1.2)) and not _tells(rest, query)):
         return False, False
     return declined, missing
 
@@ -227,8 +139,72 @@ def _masked(sentence: str) -> list[str]:
     return ["0" if any(c.isdigit() for c in w) else w for w in _words(sentence)]
 
 
-def classify(query: str | None, text: str | None, expected_not_found: bool | None) -> tuple[str | None, list[int] | None]:
-    """(defect, None), or (None, hashes of the last one to five words) if only statistics tell whether it broke off."""
+def prose_of(answer: str) -> str:
+    """The visible answer without table rows."""
+    return "\n".join(x for x in answer.split("\n") if not x.lstrip().startswith("|"))
+
+
+def foreign_by_words(query: str, prose: str) -> bool:
+    """Whether a prose is in another language than the query and than those that it names, by function words."""
+    asked, s = guess(query, 0.5, 1.2), scores(prose)
+    top = max(s, key=s.__getitem__)
+    return bool(asked) and s[top] >= 1 and s[top] >= 2 * s[asked] and not any(s[x] >= 0.8 * s[top] for x in named_languages(query))
+
+
+class Languages:
+    """The languages of short texts, by weights of the string kernel; without weights by function words."""
+
+    def __init__(self, weights: np.ndarray | None, sure: float = 0.25, lead: float = 0.35, least: float = 0.2, letters: int = 12):
+        self.weights, self.sure, self.lead, self.least, self.letters = weights, sure, lead, least, letters
+        self.table = _alphabet()
+
+    def scored(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(regression value of each text and language, its letters)."""
+        s = spectra([unquoted(t).replace("\n", " ") for t in texts], self.table)
+        size = np.sqrt(np.maximum(np.diff(s.bounds), 1)).astype(np.float32)
+        return _sums(self.weights[:-1], s) / size[:, None] + self.weights[-1], s.letters
+
+    def foreign(self, queries: list[str], proses: list[str]) -> list[bool]:
+        """For each pair whether the prose is in another language than the query and than those that it names: the query's
+        best value leads by `sure`, that of the prose leads over the query's language by `lead`, and both have `letters`
+        letters. Where the prose's value is below `least`, function words must name the same language: lists of a few
+        terms that the sample does not know tell none."""
+        if self.weights is None:
+            return [foreign_by_words(q, t) for q, t in zip(queries, proses, strict=True)]
+        if not queries:
+            return []
+        q, n = self.scored(queries)
+        t, m = self.scored(proses)
+        asked, at = q.argmax(axis=1), np.arange(len(q))
+        order = np.sort(q, axis=1)
+        clear = (order[:, -1] - order[:, -2] >= self.sure) & (n >= self.letters) & (m >= self.letters)
+        top = t.argmax(axis=1)
+        odd = np.flatnonzero(clear & (t[at, top] - t[at, asked] >= self.lead))
+        out = [False] * len(queries)
+        for i in odd.tolist():
+            lang = LANGUAGES[top[i]]
+            out[i] = lang not in named_languages(queries[i]) and (t[i, top[i]] >= self.least or guess(proses[i], 0.5, 1.2) == lang)
+        return out
+
+
+def self_labelled(texts: list[str], per_language: int = 400) -> tuple[list[str], list[str]]:
+    """Texts whose function words leave no doubt about their language, with it, at most `per_language` of each."""
+    strings, labels = [], []
+    count: Counter[str] = Counter()
+    for t in texts:
+        lang = guess(t, 2.0, 2.0)
+        if lang and count[lang] < per_language:
+            count[lang] += 1
+            strings.append(t)
+            labels.append(lang)
+    return strings, labels
+
+
+def classify(query: str | None, text: str | None, expected_not_found: bool | None, foreign: bool | None = None) -> tuple[str | None, list[int] | None]:
+    """(defect, None), or (None, hashes of the last one to five words) if only statistics tell whether it broke off.
+
+    `foreign` says whether the answer is in another language; if it is None, function words tell.
+    """
     answer = visible(text)
     if NOTHING.match(answer):
         return "empty", None
@@ -240,13 +216,9 @@ def classify(query: str | None, text: str | None, expected_not_found: bool | Non
     q = (query or "").strip()
     if q and is_copy(q, answer):
         return "copy", None
-    prose = "\n".join(x for x in answer.split("\n") if not x.lstrip().startswith("|"))
-    if q and len(PROSE_WORD.findall(prose)) >= 3:
-        wanted = named_languages(q)
-        asked, s = guess(q, 0.5, 1.2), scores(prose)
-        top = max(s, key=s.__getitem__)
-        if asked and s[top] >= 1 and s[top] >= 2 * s[asked] and not any(s[x] >= 0.8 * s[top] for x in wanted):
-            return "wrong_language", None
+    prose = prose_of(answer)
+    if q and foreign is not False and len(PROSE_WORD.findall(prose)) >= 3 and (foreign or foreign_by_words(q, prose)):
+        return "wrong_language", None
     state = stop_state(answer)
     if state == "cut":
         return "truncated", None
@@ -258,38 +230,46 @@ def classify(query: str | None, text: str | None, expected_not_found: bool | Non
     return None, None
 
 
-def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = [classify(q, t, None if e is None or e is pd.NA or e != e else bool(e)) for q, t, e in zip(pdf["query"], pdf["answer"], pdf["nf"], strict=True)]
-        yield pd.DataFrame({"id": pdf["id"], "defect": [x[0] for x in out], "tail": [x[1] for x in out]})
+def _first_pass(languages: Languages):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            queries = [q or "" for q in pdf["query"]]
+            foreign = languages.foreign(queries, [prose_of(visible(t)) for t in pdf["answer"]])
+            flags = [None if e is None or e is pd.NA or e != e else bool(e) for e in pdf["nf"]]
+            out = [classify(*x) for x in zip(queries, pdf["answer"], flags, foreign, strict=True)]
+            yield pd.DataFrame({"id": pdf["id"], "defect": [x[0] for x in out], "tail": [x[1] for x in out]})
+
+    return run
 
 
-def _endings(last_words: set[int] | None):
+#: Last words are told to the executors as a set of so many slots, whatever their number.
+SLOTS = 1 << 20
+
+
+def _endings(asked: np.ndarray):
     """For each sequence of one to five words, how often it stands at the end of a closed sentence and anywhere in one;
-    only for those whose last word is among `last_words`, if these are given."""
+    only for those whose last word has a slot of `asked`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted: dict[str, bool] = {}
         for pdf in batches:
             ends: Counter[str] = Counter()
             all_: Counter[str] = Counter()
-            for text in pdf["answer"]:
-                for s in SENTENCE.split(visible(text)):
-                    if s.rstrip()[-1:] in (".", "!", "?"):
-                        w = _masked(s)
-                        for i in range(1, len(w) + 1):
-                            if last_words is not None:
-                                ask = wanted.get(w[i - 1])
-                                if ask is None:
-                                    ask = wanted[w[i - 1]] = _gram([w[i - 1]]) in last_words
-                                if not ask:
-                                    continue
-                            for k in ORDERS:
-                                if k <= i:
-                                    g = " ".join(w[i - k : i])
-                                    all_[g] += 1
-                                    if i == len(w):
-                                        ends[g] += 1
+            closed = Counter(s for text in pdf["answer"] for s in SENTENCE.split(visible(text)) if s.rstrip()[-1:] in (".", "!", "?"))
+            for s, times in closed.items():
+                w = _masked(s)
+                last = len(w) - 1
+                for i, x in enumerate(w):
+                    ask = wanted.get(x)
+                    if ask is None:
+                        ask = wanted[x] = bool(asked[_gram([x]) % SLOTS])
+                    if ask:
+                        for k in ORDERS:
+                            if k <= i + 1:
+                                g = " ".join(w[i + 1 - k : i + 1])
+                                all_[g] += times
+                                if i == last:
+                                    ends[g] += times
             grams = list(all_)
             yield pd.DataFrame({"gram": [_gram([g]) for g in grams], "ends": [ends[g] for g in grams], "seen": [all_[g] for g in grams]})
             if len(wanted) > 300_000:
@@ -299,13 +279,14 @@ def _endings(last_words: set[int] | None):
 
 
 def defective_pairs(
-    df: DataFrame, id_col: str, query_col: str, answer_col: str, not_found_col: str | None = None, end_share: float = 0.3, least_seen: int = 3, most_last_words: int = 200_000
+    df: DataFrame, id_col: str, query_col: str, answer_col: str, not_found_col: str | None = None, end_share: float = 0.3, least_seen: int = 3, sample_rows: int = 5000
 ) -> DataFrame:
     """(id, defect): the pairs that are no usable answer, each with one of empty, refusal, copy, wrong_language, truncated.
 
-    The first of these that holds is given. Null and blank answers are empty; a null query is compared with nothing;
-    `most_last_words` only bounds a
-    list that spares lookups; a null flag takes an answer that nothing was found for right. An answer without final stop is truncated if its last
+    The first of these that holds is given. Null and blank answers are empty; a null query is compared with nothing; a
+    null flag takes an answer that nothing was found for right. The classifier of languages is fitted on those of `sample_rows`
+    rows (the smallest hashes of their ids) whose function words tell their language; if these are in fewer than two
+    languages, function words judge all. An answer without final stop is truncated if its last
     words, the longest of five to one of them seen at least `least_seen` times in closed sentences of the table, end a
     sentence in less than `end_share` of their cases, or if its last word is never seen in one. Repeated rows are each
     classified; rows with a null id are kept with their null; an empty table gives no rows; other columns are ignored.
@@ -315,17 +296,25 @@ def defective_pairs(
         (F.col(not_found_col) if not_found_col else F.lit(None).cast("boolean")).alias("nf"),
     )
     kind = df.schema[id_col].dataType.simpleString()
-    first = checkpointed(rows.mapInPandas(filled(_first_pass), f"id {kind}, defect string, tail array<long>"))
+    languages = Languages(_weights(rows, sample_rows))
+    first = checkpointed(rows.mapInPandas(filled(_first_pass(languages)), f"id {kind}, defect string, tail array<long>"))
     known = first.filter(F.col("defect").isNotNull()).select("id", "defect")
     open_ = first.filter(F.col("tail").isNotNull() & F.col("defect").isNull()).withColumn("uid", F.monotonically_increasing_id())
     grams = open_.select("uid", "id", F.posexplode("tail").alias("k", "gram"))
     need = grams.select("gram").distinct()
-    lasts = open_.select(F.col("tail")[0].alias("gram")).distinct()
-    last_words = {r.gram for r in lasts.collect()} if lasts.count() <= most_last_words else None
-    stats = rows.select("answer").filter(F.col("answer").isNotNull()).mapInPandas(filled(_endings(last_words)), "gram long, ends long, seen long")
+    slots = [r.slot for r in open_.select(F.pmod(F.col("tail")[0], F.lit(SLOTS)).cast("int").alias("slot")).distinct().collect()]  # at most SLOTS
+    asked = np.zeros(SLOTS, dtype=bool)
+    asked[slots] = True
+    stats = rows.select("answer").filter(F.col("answer").isNotNull()).mapInPandas(filled(_endings(asked)), "gram long, ends long, seen long")
     stats = stats.join(need, "gram", "left_semi").groupBy("gram").agg(F.sum("ends").alias("ends"), F.sum("seen").alias("seen"))
     judged = grams.join(stats, "gram", "left").fillna(0, ["ends", "seen"])
     share = F.when(F.col("seen") >= least_seen, F.col("ends") / F.col("seen"))
     judged = judged.groupBy("uid", "id").agg(F.max_by(share, F.when(share.isNotNull(), F.col("k"))).alias("share"))
     cut = judged.filter(F.coalesce("share", F.lit(0.0)) < end_share).select("id", F.lit("truncated").alias("defect"))
     return known.unionByName(cut)
+
+
+def _weights(rows: DataFrame, sample_rows: int) -> np.ndarray | None:
+    sample = rows.select("id", "query", "answer").orderBy(F.xxhash64("id"), "id", "query", "answer").limit(sample_rows).collect()
+    strings, labels = self_labelled([t for r in sample for t in (r.query or "", prose_of(visible(r.answer))) if t])
+    return fit(strings, labels) if len(set(labels)) > 1 else None

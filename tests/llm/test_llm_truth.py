@@ -14,7 +14,7 @@ from lodestrata.llm.covering import BLOCKS, POSITIONS, RADIUS
 from lodestrata.llm.curves import hilbert_keys, nearest_vectors
 from lodestrata.llm.kernel_language import LABELS, document_languages
 from lodestrata.llm.packing import load_tokenizer
-from lodestrata.llm.pairs import classify
+from lodestrata.llm.pairs import classify, defective_pairs
 from lodestrata.llm.repeated_lines import Folder, Wordings, fold_token, variant_of
 from lodestrata.llm.scans import confusion_cost, misread_number, page_number_form, repaired_paragraphs, scan_defects, word_of
 
@@ -251,3 +251,28 @@ def test_the_words_of_all_rows_choose_the_repair(spark):
     df = spark.createDataFrame(clean + pages, "row_id long, documents string, source string, chunk_index int")
     got = [tuple(r) for r in scan_defects(df, "row_id", "documents", "source", "chunk_index")[1].collect()]
     assert (200, 1, "1amp", "lamp") in got
+
+
+def test_refusals_are_recognised_by_classes_of_words():
+    q = "Where is the feed pump fitted?"
+    for text in (
+        "I have no permission to discuss that subject.", "This assistant will not respond to such prompts.", "We are unable to share details about the gearbox.", "Ich darf zu diesem Thema leider keine Auskunft geben.",
+        "Nous ne pouvons pas répondre à cette demande.", "Non possiamo fornire informazioni su questo argomento.", "Lo siento, no podemos responder a esta solicitud.", "Maalesef bu konuda bilgi veremem.", "That request has been declined.",
+    ):
+        assert classify(q, text, False)[0] == "refusal", text
+    for text in (
+        "I cannot open the valve without the special key; use tool 4.", "We regret that the valve cannot be opened by hand.", "The pump cannot be started without oil.", "Do not answer the alarm before the lamp is off.",
+        "Die Pumpe darf nicht ohne Öl gestartet werden.", "No se puede abrir la válvula sin la llave.",
+    ):
+        assert classify(q, text, False)[0] != "refusal", text
+
+
+def test_languages_of_answers_by_the_kernel(spark):
+    rows = [(1_000_000 + i, q, t, False) for i, (q, t) in enumerate([
+        ("Where is the feed pump of the second press fitted?", "Pression élevée, débit faible, moteur chaud"), ("Which voltage does the pump need when it starts?", "Voltage 24 V, current 3 A, power low"),
+        ("Which voltage does the pump need when it starts? Answer in French, please.", "Pression élevée, débit faible, moteur chaud"),
+    ])]
+    base = spark.read.parquet("/root/testdata/sf0.01/faithfulness_results.parquet").select("result_id", "query", "final_text", "expected_not_found")
+    df = base.unionByName(spark.createDataFrame(rows, base.schema))
+    got = {r.id: r.defect for r in defective_pairs(df, "result_id", "query", "final_text", "expected_not_found").filter("id >= 1000000").collect()}
+    assert got.get(1_000_000) == "wrong_language" and got.get(1_000_001) != "wrong_language" and got.get(1_000_002) != "wrong_language"
