@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import technical_tokens
-from lodestrata.session import checkpointed
+from lodestrata.session import checkpointed, spread
 
 
 @dataclass(frozen=True)
@@ -24,7 +24,8 @@ class Bm25Params:
 
 def tokenised(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, tokens): the distinct tokens of each text, materialised, as every statistic reads them."""
-    return checkpointed(chunks.select(F.col(id_col).alias("doc_id"), technical_tokens(F.col(text_col)).alias("tokens")))
+    texts = spread(chunks.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    return checkpointed(texts.select("doc_id", technical_tokens(F.col("text")).alias("tokens")))
 
 
 def postings(tokens: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import hashing, text
 from lodestrata.operators import answers, bm25, chunking, evaluation, fusion, knn, querying
 from lodestrata.plans import retrieval
+from lodestrata.session import spread
 from lodestrata.sources import store
 from lodestrata.streaming.ingest import event_windows
 
@@ -33,6 +34,11 @@ def _t(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _wide(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """These columns of a table over all cores, for work that costs more than a shuffle of them."""
+    return spread(_t(spark, folder, name).select(*columns))
+
+
 # --- fragments of SQL that several oracles share ---------------------------------------------------------------------
 
 SQL_BASE = r"lower(trim(regexp_extract({0}, '[^/\\]*$')))"
@@ -63,7 +69,7 @@ def sql_markers(c: str, markers: list[str], labels: list[tuple[str, str]]) -> st
 
 @query(f"with src as (select row_id as id, documents as t from bm25_cache), {SQL_TOKENS} select id as row_id, len(tokens) as n_tokens, array_to_string(list_sort(tokens), ' ') as tokens from tok")
 def tokenize_chunks(spark: SparkSession, d: str) -> DataFrame:
-    tokens = _t(spark, d, "bm25_cache").select("row_id", text.technical_tokens(F.col("documents")).alias("t"))
+    tokens = _wide(spark, d, "bm25_cache", "row_id", "documents").select("row_id", text.technical_tokens(F.col("documents")).alias("t"))
     return tokens.select("row_id", F.size("t").cast("long").alias("n_tokens"), F.array_join(F.array_sort("t"), " ").alias("tokens"))
 
 
@@ -249,7 +255,7 @@ b as (select *, len(list_filter(s, lambda x: {SQL_WORDS.format("x")} > case when
 def style_audit(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("int")
     a = answers.style_audit(F.col("final_text"), F.col("template_type"), none, none, F.lit(True))
-    rows = _t(spark, d, "faithfulness_results").select("result_id", a.alias("a"))
+    rows = _wide(spark, d, "faithfulness_results", "result_id", "final_text", "template_type").select("result_id", a.alias("a"))
     return rows.select(
         "result_id", "a.passed", F.size("a.long_sentences").cast("long").alias("n_long"), F.col("a.instruction_lines").cast("long").alias("instruction_lines"), F.col("a.instruction_ok").alias("lines_ok"),
         F.col("a.risk_word_ok").alias("risk_ok"), F.array_join("a.markers", ";").alias("markers"), F.size("a.feedback").alias("n_feedback"),
@@ -258,7 +264,7 @@ def style_audit(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select result_id, array_to_string({sql_markers('final_text', answers.EVAL_MARKERS, [(r'^\s*tags\.\s*$', 'tags.'), (r'^\s*plan\s*:\s*$', 'plan:')])}, ';') as markers from faithfulness_results")
 def output_markers(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "faithfulness_results").select("result_id", F.array_join(answers.eval_markers(F.col("final_text")), ";").alias("markers"))
+    return _wide(spark, d, "faithfulness_results", "result_id", "final_text").select("result_id", F.array_join(answers.eval_markers(F.col("final_text")), ";").alias("markers"))
 
 
 def _sql_any(c: str, markers: list[str]) -> str:
@@ -282,7 +288,7 @@ select result_id, case when {_sql_any("t", answers.LEAK_MARKERS)} then '' else t
 
 @query(SQL_CLEAN)
 def cleaned_answers(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "faithfulness_results").select("result_id", answers.cleaned_output(F.col("final_text")).alias("answer"))
+    return _wide(spark, d, "faithfulness_results", "result_id", "final_text").select("result_id", answers.cleaned_output(F.col("final_text")).alias("answer"))
 
 
 @query("select result_id, " + " or ".join(f"contains(lower(coalesce(final_text, '')), '{m}')" for m in text.NOT_FOUND) + " as not_found from faithfulness_results")
@@ -529,7 +535,7 @@ t as (select row_id, unnest(ws) as x, generate_subscripts(ws, 1) as i from w), h
 select row_id, string_agg(m, ' ' order by i) as messages from h group by 1""")
 def lexicon_audit(spark: SparkSession, d: str) -> DataFrame:
     rules = spark.createDataFrame(LEXICON, "keyword string, pos string, is_approved boolean, alternatives array<string>")
-    found = answers.lexicon_audit(_t(spark, d, "bm25_cache").filter("documents is not null"), "row_id", "documents", rules)
+    found = answers.lexicon_audit(_wide(spark, d, "bm25_cache", "row_id", "documents").filter("documents is not null"), "row_id", "documents", rules)
     return found.select(F.col("id").alias("row_id"), F.array_join("messages", " ").alias("messages"))
 
 

@@ -62,6 +62,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer tasks than there are; otherwise as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the workers this package, once for a context, unless their PYTHONPATH already has it."""
     root, sc = Path(__file__).resolve().parents[1], spark.sparkContext
