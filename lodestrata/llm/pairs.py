@@ -242,19 +242,20 @@ def _first_pass(languages: Languages):
     return run
 
 
-#: Last words are told to the executors as a set of so many slots, whatever their number.
-SLOTS = 1 << 20
+#: What is looked up is told to the executors as a set of so many slots, whatever its number.
+SLOTS = 1 << 22
 
 
-def _endings(asked: np.ndarray):
+def _endings(slots: bytes):
     """For each sequence of one to five words, how often it stands at the end of a closed sentence and anywhere in one;
-    only for those whose last word has a slot of `asked`."""
+    only for those with a slot of their own. One that is looked up has all its endings looked up too."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked = np.unpackbits(np.frombuffer(slots, np.uint8)).astype(bool)
         wanted: dict[str, bool] = {}
         for pdf in batches:
-            ends: Counter[str] = Counter()
-            all_: Counter[str] = Counter()
+            ends: Counter[int] = Counter()
+            all_: Counter[int] = Counter()
             closed = Counter(s for text in pdf["answer"] for s in SENTENCE.split(visible(text)) if s.rstrip()[-1:] in (".", "!", "?"))
             for s, times in closed.items():
                 w = _masked(s)
@@ -265,13 +266,12 @@ def _endings(asked: np.ndarray):
                         ask = wanted[x] = bool(asked[_gram([x]) % SLOTS])
                     if ask:
                         for k in ORDERS:
-                            if k <= i + 1:
-                                g = " ".join(w[i + 1 - k : i + 1])
-                                all_[g] += times
-                                if i == last:
-                                    ends[g] += times
-            grams = list(all_)
-            yield pd.DataFrame({"gram": [_gram([g]) for g in grams], "ends": [ends[g] for g in grams], "seen": [all_[g] for g in grams]})
+                            if k > i + 1 or not asked[(g := _gram(w[i + 1 - k : i + 1])) % SLOTS]:
+                                break
+                            all_[g] += times
+                            if i == last:
+                                ends[g] += times
+            yield pd.DataFrame({"gram": list(all_), "ends": [ends[g] for g in all_], "seen": list(all_.values())})
             if len(wanted) > 300_000:
                 wanted.clear()
 
@@ -302,10 +302,9 @@ def defective_pairs(
     open_ = first.filter(F.col("tail").isNotNull() & F.col("defect").isNull()).withColumn("uid", F.monotonically_increasing_id())
     grams = open_.select("uid", "id", F.posexplode("tail").alias("k", "gram"))
     need = grams.select("gram").distinct()
-    slots = [r.slot for r in open_.select(F.pmod(F.col("tail")[0], F.lit(SLOTS)).cast("int").alias("slot")).distinct().collect()]  # at most SLOTS
     asked = np.zeros(SLOTS, dtype=bool)
-    asked[slots] = True
-    stats = rows.select("answer").filter(F.col("answer").isNotNull()).mapInPandas(filled(_endings(asked)), "gram long, ends long, seen long")
+    asked[[r.slot for r in need.select(F.pmod("gram", F.lit(SLOTS)).cast("int").alias("slot")).distinct().collect()]] = True  # at most SLOTS
+    stats = rows.select("answer").filter(F.col("answer").isNotNull()).mapInPandas(filled(_endings(np.packbits(asked).tobytes())), "gram long, ends long, seen long")
     stats = stats.join(need, "gram", "left_semi").groupBy("gram").agg(F.sum("ends").alias("ends"), F.sum("seen").alias("seen"))
     judged = grams.join(stats, "gram", "left").fillna(0, ["ends", "seen"])
     share = F.when(F.col("seen") >= least_seen, F.col("ends") / F.col("seen"))
