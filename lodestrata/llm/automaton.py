@@ -8,16 +8,20 @@ reaches the required length, the state's items are those that hold it.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.frames import filled
+from lodestrata.session import spread
 
 WORD = re.compile(r"[^\W_]+")
+LEAKS = "array<struct<item_id: long, spans: array<struct<from_word: int, to_word: int>>, words: int>>"
 
 
 class SuffixAutomaton:
@@ -140,6 +144,37 @@ def _cleaned(text: str, spans: list[tuple[int, int]], most_cover: float) -> str
     return "".join([*parts, text[done:]])
 
 
+#: The automaton that this worker used last, with the name of the broadcast items it was built from.
+_built: dict[str, Matcher] = {}
+
+
+def _found(name: str, shared: Broadcast, least: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if name not in _built:  # once for a worker, not for each of its tasks
+            _built.clear()
+            _built[name] = Matcher(shared.value, least)
+        matcher = _built[name]
+        for pdf in batches:
+            out = []
+            for ident, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                found = matcher.spans(WORD.findall(text.lower()))
+                if found:
+                    each = [{"item_id": k, "spans": [{"from_word": a, "to_word": b} for a, b in v], "words": sum(b - a for a, b in v)} for k, v in sorted(found.items())]
+                    out.append((ident, text, each))
+            yield pd.DataFrame(out, columns=["doc_id", "text", "leaks"]).astype({"doc_id": "Int64"})
+
+    return run
+
+
+def _texts_cleaned(most_cover: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            clean = [_cleaned(t, [(x["from_word"], x["to_word"]) for leak in ls for x in leak["spans"]], most_cover) for t, ls in zip(pdf["text"], pdf["leaks"], strict=True)]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "leaks": pdf["leaks"], "clean_text": clean})
+
+    return run
+
+
 def leaks(
     docs: DataFrame,
     id_col: str,
@@ -150,34 +185,30 @@ def leaks(
     least: int = 12,
     most_cover: float = 0.5,
     with_text: bool = True,
-    most_item_chars: int = 200_000_000,
+    automaton_chars: int = 2_000_000,
 ) -> DataFrame:
     """One row for each document that holds at least `least` consecutive words of an item.
 
     Columns: doc_id; leaks array<struct<item_id, spans array<struct<from_word, to_word>>, words>>, by item id; and with
     `with_text` clean_text, the text without the matched spans, null if they cover more than `most_cover` of its words.
     Words are runs of letters and digits in lower case. Items shorter than `least` words, null items, null and empty
-    texts match nothing; equal items are each reported. Rows with a null id are kept with their null. The items are the
-    held-out material: their size is checked against `most_item_chars` before the automaton goes to the executors.
+    texts match nothing; equal items are each reported. Rows with a null id are kept with their null; rows repeated with
+    id and text come out once.
+
+    Items of any size are taken: they are divided into automata of about `automaton_chars` characters, which bounds what
+    a worker holds, and each reads the documents once; what is shuffled are only the documents with leaks.
     """
     held = items.select(F.col(item_col).cast("long").alias("i"), F.col(passage_col).alias("p")).filter(F.col("i").isNotNull() & F.col("p").isNotNull())
-    size = held.agg(F.sum(F.length("p"))).first()[0] or 0
-    if size > most_item_chars:
-        raise ValueError(f"the items hold {size} characters; at most {most_item_chars} are broadcast: split them into several calls")
-    shared = docs.sparkSession.sparkContext.broadcast([(r.i, r.p) for r in held.collect()])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(shared.value, least)
-        for pdf in batches:
-            out = []
-            for ident, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                found = matcher.spans(WORD.findall(text.lower()))
-                if found:
-                    each = [{"item_id": k, "spans": [{"from_word": a, "to_word": b} for a, b in v], "words": sum(b - a for a, b in v)} for k, v in sorted(found.items())]
-                    clean = _cleaned(text, [x for v in found.values() for x in v], most_cover) if with_text else None
-                    out.append((ident, each, clean))
-            yield pd.DataFrame(out, columns=["doc_id", "leaks", "clean_text"]).astype({"doc_id": "Int64"})
-
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    schema = "doc_id long, leaks array<struct<item_id: long, spans: array<struct<from_word: int, to_word: int>>, words: int>>, clean_text string"
-    return texts.mapInPandas(filled(run), schema)
+    parts = max(1, -(-(held.agg(F.sum(F.length("p"))).first()[0] or 0) // automaton_chars))
+    texts = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull()))
+    found = None
+    for k in range(parts):
+        own = [(r.i, r.p) for r in held.filter(F.pmod(F.xxhash64("i", "p"), F.lit(parts)) == k).collect()]
+        run = _found(uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(own), least)
+        one = texts.mapInPandas(filled(run), f"doc_id long, text string, leaks {LEAKS}")
+        found = one if found is None else found.unionByName(one)
+    all_ = F.array_sort(F.array_distinct(F.flatten(F.collect_list("leaks")))).alias("leaks")
+    found = found.groupBy("doc_id", F.xxhash64("text").alias("h"), *(["text"] if with_text else [])).agg(all_).drop("h")
+    if not with_text:
+        return found.withColumn("clean_text", F.lit(None).cast("string"))
+    return found.mapInPandas(filled(_texts_cleaned(most_cover)), f"doc_id long, leaks {LEAKS}, clean_text string")

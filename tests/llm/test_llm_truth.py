@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.llm import queries as Q
-from lodestrata.llm.automaton import Matcher
+from lodestrata.llm.automaton import Matcher, leaks
 from lodestrata.llm.covering import BLOCKS, POSITIONS, RADIUS
 from lodestrata.llm.curves import hilbert_keys, nearest_vectors
 from lodestrata.llm.kernel_language import LABELS, document_languages
@@ -78,6 +78,10 @@ def test_leaks_against_all_windows(spark):
         w = WORD.findall((t or "").lower())
         truth |= {(d, i) for k in range(len(w) - 11) for i in held.get(tuple(w[k : k + 12]), ())}
     assert {tuple(r) for r in Q.p7_found(spark, DATA).collect()} == truth
+    docs, items = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/eval_items.parquet")
+    size = items.agg(F.sum(F.length("passage"))).first()[0]
+    three = leaks(docs, "doc_id", "text", items, "item_id", "passage", automaton_chars=size // 3 + 1)
+    assert {tuple(r) for r in three.select("doc_id", F.explode("leaks.item_id")).collect()} == truth
 
 
 def test_automaton_on_overlapping_items():
@@ -276,3 +280,11 @@ def test_languages_of_answers_by_the_kernel(spark):
     df = base.unionByName(spark.createDataFrame(rows, base.schema))
     got = {r.id: r.defect for r in defective_pairs(df, "result_id", "query", "final_text", "expected_not_found").filter("id >= 1000000").collect()}
     assert got.get(1_000_000) == "wrong_language" and got.get(1_000_001) != "wrong_language" and got.get(1_000_002) != "wrong_language"
+
+
+def test_leaked_spans_are_cut(spark):
+    items = spark.createDataFrame([(1, "one two three four"), (2, "six seven eight nine"), (3, "one two three four")], "i long, p string")
+    docs = spark.createDataFrame([(1, "a b c d e f, One two THREE four! six g h"), (2, "x: six seven eight nine."), (3, "y one two three four six seven eight nine w v u t s r q p"), (3, "y one two three four six seven eight nine w v u t s r q p"), (4, "five")], "d long, t string")
+    for size in (1_000, 20):
+        got = {r.doc_id: (r.clean_text, [x.item_id for x in r.leaks], [x.words for x in r.leaks]) for r in leaks(docs, "d", "t", items, "i", "p", least=4, automaton_chars=size).collect()}
+        assert got == {1: ("a b c d e f, ! six g h", [1, 3], [4, 4]), 2: (None, [2], [4]), 3: ("y  w v u t s r q p", [1, 2, 3], [4, 4, 4])}
