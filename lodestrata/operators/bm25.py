@@ -62,6 +62,18 @@ def _sums(own: pd.Series, vocabulary: dict[str, int], weights: np.ndarray) -> np
     return scores
 
 
+def first_of(values: np.ndarray, n: int) -> np.ndarray:
+    """Positions of the n smallest values of each row in ascending order, equal ones by position."""
+    if n < values.shape[1]:
+        edge = np.partition(values, n - 1, axis=1)[:, n - 1 : n]
+        below = values < edge
+        tied = (values == edge) & ((values == edge).cumsum(axis=1) <= n - below.sum(axis=1, keepdims=True))
+        at = np.nonzero(below | tied)[1].reshape(len(values), n)
+    else:
+        at = np.broadcast_to(np.arange(n), values.shape)
+    return np.take_along_axis(at, np.argsort(np.take_along_axis(values, at, 1), axis=1, kind="stable"), 1)
+
+
 def _score(vocabulary: dict[str, int], weights: np.ndarray, query_ids: np.ndarray, k: int, digits: int):
     """Best k texts of a batch for each query; weights is a row of idf by query for each term of the vocabulary."""
 
@@ -69,11 +81,12 @@ def _score(vocabulary: dict[str, int], weights: np.ndarray, query_ids: np.ndarra
         for pdf in batches:
             if not len(pdf):
                 continue
+            pdf = pdf.sort_values("doc_id")
             scores = _sums(pdf["tokens"], vocabulary, weights)
             scores = np.round(scores * pdf["norm"].to_numpy()[:, None], digits).T
             ids = pdf["doc_id"].to_numpy()
             n = min(k, len(ids))
-            order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :n]
+            order = first_of(-scores, n)
             yield pd.DataFrame({"query_id": np.repeat(query_ids, n), "doc_id": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
 
     return run
@@ -89,7 +102,7 @@ def bm25_topk(
     k: int = 15,
     params: Bm25Params = Bm25Params(),
     digits: int = 9,
-    queries_at_once: int = 2000,
+    queries_at_once: int = 500,
 ) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best texts of each query by (score down, doc_id up), rank from 0.
 
@@ -105,7 +118,7 @@ def bm25_topk(
 
 
 def index_topk(
-    tokens: DataFrame, corpus: DataFrame, stats: DataFrame, queries: DataFrame, query_id: str, query_col: str, k: int = 15, params: Bm25Params = Bm25Params(), digits: int = 9, queries_at_once: int = 2000
+    tokens: DataFrame, corpus: DataFrame, stats: DataFrame, queries: DataFrame, query_id: str, query_col: str, k: int = 15, params: Bm25Params = Bm25Params(), digits: int = 9, queries_at_once: int = 500
 ) -> DataFrame:
     """bm25_topk over the tables of an index: tokens(doc_id, tokens), corpus(n, avgdl) and stats(term, df, idf)."""
     asked = queries.select(F.col(query_id).cast("long").alias("query_id"), technical_tokens(F.col(query_col)).alias("terms")).filter("query_id is not null")
@@ -153,13 +166,14 @@ def _score_within(vocabulary: dict[str, int], weights: np.ndarray, query_ids: np
         for pdf in batches:
             if not len(pdf):
                 continue
+            pdf = pdf.sort_values("doc_id")
             dl = pdf["dl"].to_numpy(dtype=np.float64)[:, None]
             norm = np.where(dl > 0, (params.k1 + 1) / (1 + params.k1 * (1 - params.b + params.b * dl / averages)), 0.0)
             scores = np.round(_sums(pdf["tokens"], vocabulary, weights) * norm, digits)
             scores = np.where(allowed.of(pdf["src"]), scores, -np.inf).T
             ids = pdf["doc_id"].to_numpy()
             n = min(k, len(ids))
-            order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :n]
+            order = first_of(-scores, n)
             best = np.take_along_axis(scores, order, 1).ravel()
             out = pd.DataFrame({"query_id": np.repeat(query_ids, n), "doc_id": ids[order].ravel(), "score": best})
             yield out[np.isfinite(best)]
@@ -183,7 +197,7 @@ class Allowed:
 
 
 def bm25_within(
-    chunks: DataFrame, id_col: str, text_col: str, source_col: str, queries: DataFrame, query_id: str, query_col: str, filter_col: str, k: int = 15, params: Bm25Params = Bm25Params(), digits: int = 9, queries_at_once: int = 1000
+    chunks: DataFrame, id_col: str, text_col: str, source_col: str, queries: DataFrame, query_id: str, query_col: str, filter_col: str, k: int = 15, params: Bm25Params = Bm25Params(), digits: int = 9, queries_at_once: int = 500
 ) -> DataFrame:
     """bm25_topk of each query over the texts, with their own statistics, whose lower-cased source contains its filter.
 

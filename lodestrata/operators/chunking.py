@@ -72,18 +72,35 @@ def pack_items(items: list[tuple], most: int, overlap: int) -> Iterator[tuple[st
         yield done, heading, page
 
 
-def chunk_documents(items: DataFrame, most: int = 1500, overlap: int = 200) -> DataFrame:
-    """Chunks (source, chunk_index, parent_context, page, text) of items(source, item_idx, item_type, headings, page,
-    text). Packing is sequential within a document, so that a document is one group."""
+def _packed(most: int, overlap: int):
+    """Rows arrive by (source, item_idx): the items of a document in a row."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item_idx", kind="stable")
-        pages = [None if pd.isna(p) else int(p) for p in pdf["page"]]
-        rows = list(pack_items(list(zip(pdf["item_type"], pdf["headings"], pages, pdf["text"], strict=True)), most, overlap))
-        return pd.DataFrame([(key[0], i, h, p, t) for i, (t, h, p) in enumerate(rows)], columns=["source", "chunk_index", "parent_context", "page", "text"])
+    def chunks(source: str, items: list[tuple]) -> list[tuple]:
+        return [(source, i, h, p, t) for i, (t, h, p) in enumerate(pack_items(items, most, overlap))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, items = None, []
+        for pdf in batches:
+            out: list[tuple] = []
+            pages = [None if pd.isna(p) else int(p) for p in pdf["page"]]
+            for s, *item in zip(pdf["source"], pdf["item_type"], pdf["headings"], pages, pdf["text"], strict=True):
+                if s != source:
+                    out += chunks(source, items)
+                    source, items = s, []
+                items.append(tuple(item))
+            yield pd.DataFrame(out, columns=["source", "chunk_index", "parent_context", "page", "text"])
+        yield pd.DataFrame(chunks(source, items), columns=["source", "chunk_index", "parent_context", "page", "text"])
 
-    kept = items.filter(F.col("item_type").isin(*TEXT_TYPES, TABLE_TYPE)).select("source", "item_idx", "item_type", "headings", "page", "text")
-    return kept.groupBy("source").applyInPandas(run, "source string, chunk_index int, parent_context string, page int, text string")
+    return run
+
+
+def chunk_documents(items: DataFrame, most: int = 1500, overlap: int = 200) -> DataFrame:
+    """Chunks (source, chunk_index, parent_context, page, text) of items(source, item_idx, item_type, headings, page,
+    text). Packing is sequential within a document, which is never divided; documents stream through a task one after
+    the other. Items without a source belong to no document."""
+    kept = items.filter(F.col("item_type").isin(*TEXT_TYPES, TABLE_TYPE) & F.col("source").isNotNull()).select("source", "item_idx", "item_type", "headings", "page", "text")
+    ordered = kept.repartition("source").sortWithinPartitions("source", "item_idx")
+    return ordered.mapInPandas(_packed(most, overlap), "source string, chunk_index int, parent_context string, page int, text string")
 
 
 def line_items(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -123,7 +140,9 @@ def large_images(images: DataFrame, width: str, height: str, least: int = 80) ->
 
 # What marks a line of a page as running matter.
 RUNNING = ["SIMPLIFIED TECHNICAL ENGLISH", "ASD-STE100", "WORD APPROVED MEANING/", "(PART OF SPEECH)", "ALTERNATIVES", "APPROVED EXAMPLE", "NOT APPROVED", "BLANK PAGE"]
-POS = r"\((?:v|n|adj|adv|prep|pron|conj|art|TN|TV)\)"
+# The parts of speech that a dictionary marks.
+POS_TAGS = ["v", "n", "adj", "adv", "prep", "conj", "pron", "art", "pn"]
+POS = rf"\((?:{'|'.join(POS_TAGS)})\)"
 
 
 def unwanted_line(text: Column) -> Column:
@@ -153,8 +172,12 @@ def lexicon_entries(lines: DataFrame) -> DataFrame:
     """Entries (page, entry, c1, c2) of lines(page, line, c1, c2): a line with a part of speech in c1 opens an entry and
     the following ones continue it, also over page ends."""
     opens = F.coalesce(F.col("c1"), F.lit("")).rlike(POS).cast("int")
-    w = Window.orderBy("page", "line").rowsBetween(Window.unboundedPreceding, 0)  # one dictionary: some hundred pages
-    kept = lines.filter(~unwanted_line(F.concat_ws(" ", "c1", "c2"))).withColumn("entry", F.sum(opens).over(w)).filter("entry > 0")
+    kept = lines.filter(~unwanted_line(F.concat_ws(" ", "c1", "c2"))).withColumn("_opens", opens)
+    # numbered within each page, pages by the entries before them: only one row for each page passes through one task
+    before = Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = kept.groupBy("page").agg(F.sum("_opens").alias("n")).select("page", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("page").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    kept = kept.join(offsets, "page").withColumn("entry", F.col("_before") + F.sum("_opens").over(within)).filter("entry > 0")
     joined = lambda c: F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line", F.coalesce(c, F.lit("")).alias("t")))), lambda x: x["t"]), " "))
     return kept.groupBy("entry").agg(F.min("page").alias("page"), joined("c1").alias("c1"), joined("c2").alias("c2"))
 

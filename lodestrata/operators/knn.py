@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.operators.bm25 import Allowed
+from lodestrata.operators.bm25 import Allowed, first_of
 
 
 def l2_norm(v: Column) -> Column:
@@ -37,6 +37,7 @@ def _scan(ids: np.ndarray, matrix: np.ndarray, k: int, digits: int, filters: lis
         for pdf in batches:
             if not len(pdf):
                 continue
+            pdf = pdf.sort_values("id")
             m = np.array(pdf["v"].tolist(), dtype=np.float64)
             m /= np.sqrt((m * m).sum(axis=1, keepdims=True))
             base = pdf["id"].to_numpy()
@@ -44,7 +45,7 @@ def _scan(ids: np.ndarray, matrix: np.ndarray, k: int, digits: int, filters: lis
             if allowed is not None:
                 dist = np.where(allowed.of(pdf["src"]).T, dist, np.inf)
             n = min(k, len(base))
-            order = np.lexsort((np.broadcast_to(base, dist.shape), dist), axis=1)[:, :n]
+            order = first_of(dist, n)
             out = pd.DataFrame({"query_id": np.repeat(ids, n), "id": base[order].ravel(), "distance": np.take_along_axis(dist, order, 1).ravel()})
             yield out if allowed is None else out[np.isfinite(out["distance"])]
 

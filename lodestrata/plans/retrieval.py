@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.text import base_name, technical_tokens
 from lodestrata.operators import bm25, fusion, knn
+from lodestrata.session import small_side
 
 
 @dataclass(frozen=True)
@@ -28,7 +29,7 @@ def vector_hits(vectors: DataFrame, queries: DataFrame, p: RetrievalParams, sour
     its nearest vector. `sources` names the columns of the vectors' source and of the queries' filter on it."""
     source, wanted = sources or (None, None)
     near = knn.knn_topk(vectors, "vec_id", "embedding", queries, "query_id", "embedding", p.candidates, p.dim, source_col=source, filter_col=wanted)
-    rows = near.join(vectors.select(F.col("vec_id").alias("id"), F.col("row_id").alias("doc_id")), "id").filter("doc_id is not null")
+    rows = vectors.select(F.col("vec_id").alias("id"), F.col("row_id").alias("doc_id")).filter("doc_id is not null").join(small_side(near), "id")
     return rows.groupBy("query_id", "doc_id").agg(F.min("distance").alias("distance"), F.min("rank").alias("rank"))
 
 
@@ -48,12 +49,13 @@ def candidates_within(chunks: DataFrame, vectors: DataFrame, queries: DataFrame,
 def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, p: RetrievalParams = RetrievalParams(), within: bool = False) -> DataFrame:
     """Accepted candidates of each query with text, citation fields, rerank_score and final_rank.
 
-    Texts are joined only after the cut to the fused candidates; blank ones are dropped before the rerank. With
+    Texts are joined only after the cut to the fused candidates, which are the broadcast side as long as they are few,
+    so that the texts are never shuffled; blank ones are dropped before the rerank. With
     `within` each query searches only the sources that contain its source_filter.
     """
     found = (candidates_within if within else candidates)(chunks, vectors, queries, p)
     text = chunks.select(F.col("row_id").alias("doc_id"), F.col("documents").alias("text"), "source", "page", "parent_context", "has_visual", "image_path")
-    full = found.join(text, "doc_id").filter(F.trim("text") != "").join(queries.select("query_id", "query"), "query_id")
+    full = text.filter(F.trim("text") != "").join(small_side(found), "doc_id").join(queries.select("query_id", "query"), "query_id")
     scored = full.withColumn("rerank_score", fusion.lexical_overlap(technical_tokens(F.col("query")), technical_tokens(F.col("text"))))
     return fusion.rerank_decision(scored, p.min_score, p.rrf_floor, p.fallback, p.context)
 

@@ -10,6 +10,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "lodestrata", cpus: int | str = 8, memory: str = "8g") -> SparkSession:
@@ -62,6 +63,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """df materialised, for a join: broadcast if it has at most `most_rows` rows, by a shuffle beyond."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its files give fewer tasks than there are; otherwise as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism

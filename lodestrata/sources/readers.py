@@ -60,10 +60,13 @@ def page_words(files: DataFrame, extract: Callable[[bytes, int, int], list[dict]
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Rows of a JSON-lines file; blank lines are skipped, any other bad line fails with its text."""
-    raw = spark.read.text(path).filter(F.trim("value") != "")
-    parsed = raw.select("value", F.from_json("value", schema).alias("r"), F.try_parse_json("value").isNotNull().alias("ok"))
-    checked = F.when(F.col("ok"), F.col("r")).otherwise(F.raise_error(F.concat(F.lit("not a JSON line: "), F.left("value", F.lit(200)))))
+    """Rows of JSON-lines files; blank lines are skipped, any other bad line fails with its number and text.
+
+    Lines are numbered within their file, which is therefore read as a whole: these are sets of cases, not corpora."""
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
+    raw = whole.filter(F.trim("value") != "")
+    parsed = raw.select("at", "value", F.from_json("value", schema).alias("r"), F.try_parse_json("value").isNotNull().alias("ok"))
+    checked = F.when(F.col("ok"), F.col("r")).otherwise(F.raise_error(F.concat(F.lit("line "), (F.col("at") + 1).cast("string"), F.lit(": not a JSON line: "), F.left("value", F.lit(200)))))
     return parsed.select(checked.alias("r")).select("r.*")
 
 

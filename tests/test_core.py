@@ -298,8 +298,8 @@ def test_readers(spark, tmp_path):
     assert [tuple(r) for r in readers.parsed_items(files, parse).collect()] == [("a.PDF", 0, "TextItem", ["H"], 1, "good")]
     (tmp_path / "x.jsonl").write_text('{"q": "a"}\n\n{"q": "b"}\n')
     assert [r.q for r in readers.json_lines(spark, str(tmp_path / "x.jsonl"), "q string").collect()] == ["a", "b"]
-    (tmp_path / "y.jsonl").write_text("{bad\n")
-    with pytest.raises(Exception, match="not a JSON line"):
+    (tmp_path / "y.jsonl").write_text('{"q": "a"}\n\n{bad\n')
+    with pytest.raises(Exception, match="line 3: not a JSON line"):
         readers.json_lines(spark, str(tmp_path / "y.jsonl"), "q string").collect()
     (tmp_path / "r.json").write_text('{"rules": [{"a": 1}, 2], "core": ["x", 3]}')
     assert readers.rule_rows(spark, str(tmp_path / "r.json")).count() == 2
