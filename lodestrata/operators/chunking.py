@@ -201,10 +201,10 @@ def parsed_entries(entries: DataFrame) -> DataFrame:
 
 
 def lexicon(rows: DataFrame) -> DataFrame:
-    """(keyword, forms, notes): the forms of each keyword in order, its notes joined by spaces."""
+    """(keyword, forms, notes): the forms of each keyword in order of their entries, its notes joined by spaces."""
     ordered = F.array_sort(F.collect_list(F.struct("entry", "word_form", "pos", "is_approved", "alternatives", "meaning")))
     notes = rows.filter("note is not null").select("keyword", "entry", "note").distinct().groupBy("keyword").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry", "note"))), lambda x: x["note"]), " ").alias("notes"))
-    return rows.groupBy("keyword").agg(F.transform(ordered, lambda x: x.dropFields("entry")).alias("forms")).join(notes, "keyword", "left")
+    return rows.groupBy("keyword").agg(ordered.alias("forms")).join(notes, "keyword", "left")
 
 
 def font_sections(spans: DataFrame, size: float = 11, shortest: int = 20, default: str = "General") -> DataFrame:

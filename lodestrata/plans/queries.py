@@ -390,12 +390,13 @@ def grounding_check(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("result_id", F.size(answers.claim_tokens(claim)).cast("long").alias("n_tokens"), F.size(answers.evidence_units(context)).cast("long").alias("n_units"), answers.grounded(claim, context).alias("grounded"))
 
 
-@query("""with a as (select result_id, 'Here: {"verdict": "' || case when was_corrected then ' unsupported ' else 'Supported' end || '", "unsupported_claims": ' || case when len(feedback_report) > 1 then '["a", "b"]' when len(feedback_report) = 1 then '"one"' else '3' end || '} end' as raw, was_corrected, len(feedback_report) as n from faithfulness_results where was_corrected is not null)
-select result_id, case when was_corrected then 'UNSUPPORTED' else 'SUPPORTED' end as verdict, case when n > 1 then 'a|b' when n = 1 then 'one' else '3' end as claims from a where n is not null""")
+@query("""select result_id, case when was_corrected then 'UNSUPPORTED' when not was_corrected then 'SUPPORTED' else '' end as verdict,
+case when len(feedback_report) > 1 then 'a|b' when len(feedback_report) = 1 then 'one' else '3' end as claims from faithfulness_results""")
 def verdict_parsing(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "faithfulness_results").filter("was_corrected is not null and feedback_report is not null")
+    rows = _t(spark, d, "faithfulness_results")
     claims = F.when(F.size("feedback_report") > 1, '["a", "b"]').when(F.size("feedback_report") == 1, '"one"').otherwise("3")
-    raw = F.concat(F.lit('Here: {"verdict": "'), F.when(F.col("was_corrected"), " unsupported ").otherwise("Supported"), F.lit('", "unsupported_claims": '), claims, F.lit("} end"))
+    said = F.when(F.col("was_corrected"), " unsupported ").when(~F.col("was_corrected"), "Supported").otherwise("")
+    raw = F.concat(F.lit('Here: {"verdict": "'), said, F.lit('", "unsupported_claims": '), claims, F.lit("} end"))
     verdict, found = querying.verdict_of(text.json_in(raw))
     return rows.select("result_id", verdict.alias("verdict"), F.array_join(found, "|").alias("claims"))
 
@@ -443,14 +444,15 @@ def manifest_latest(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {SQL_MANIFEST}, inc as (select distinct {SQL_BASE.format("source")} as filename, ingestion_signature as signature from bm25_cache where source is not null and ingestion_signature is not null),
-done as (select distinct filename, ingestion_signature as signature from manifest where manifest_id % 2 = 0)
+done as (select distinct filename, ingestion_signature as signature from manifest where chunk_count is not null)
 select inc.filename, inc.signature, case when ml.ingestion_signature is null then 'new' when ml.ingestion_signature <> inc.signature then 'changed' when done.signature is not null then 'unchanged' else 'resume' end as action
 from inc left join ml on ml.filename = inc.filename left join done on done.filename = inc.filename and done.signature = inc.signature""")
 def ingest_actions(spark: SparkSession, d: str) -> DataFrame:
     manifest = _t(spark, d, "manifest")
     chunks = _t(spark, d, "bm25_cache").filter("source is not null and ingestion_signature is not null")
     incoming = chunks.select(text.base_name(F.col("source")).alias("filename"), F.col("ingestion_signature").alias("signature")).distinct()
-    done = manifest.filter("manifest_id % 2 = 0").select("filename", F.col("ingestion_signature").alias("signature")).distinct()
+    # a record without a number of chunks is of an ingestion that did not end
+    done = manifest.filter("chunk_count is not null").select("filename", F.col("ingestion_signature").alias("signature")).distinct()
     return store.ingest_actions(incoming, store.latest_manifest(manifest), done).select("filename", "signature", "action")
 
 
@@ -479,11 +481,15 @@ def checkpoint_set(spark: SparkSession, d: str) -> DataFrame:
     return store.without_file(store.checkpoint_keys(done), "velmora_service_handbook.pdf")
 
 
-@query("with i as (select distinct trim(unnest(string_split(image_path, ','))) as p from bm25_cache where image_path is not null) select md5(p) as img_hash, case when md5(p)[1] < '8' then 'cached ' || p else 'fresh ' || md5(p) end as caption from i where p <> ''")
+@query("""with i as (select distinct trim(unnest(string_split(image_path, ','))) as p from bm25_cache where image_path is not null), c as (select distinct trim(string_split(image_path, ',')[1]) as p from bm25_cache)
+select md5(p) as img_hash, case when p in (select p from c where p is not null) then 'cached ' || p else 'fresh ' || md5(p) end as caption from i where p <> ''""")
 def caption_cache(spark: SparkSession, d: str) -> DataFrame:
-    paths = _t(spark, d, "bm25_cache").select(F.explode(F.split("image_path", ",")).alias("p")).select(F.trim("p").alias("p")).filter("p <> ''").distinct()
-    images = paths.select(F.md5(F.col("p").cast("binary")).alias("img_hash"), F.col("p").cast("binary").alias("content"))
-    cache = images.filter("left(img_hash, 1) < '8'").select("img_hash", F.concat(F.lit("cached "), F.col("content").cast("string")).alias("caption"))
+    """Captions are known of the pictures that stand first in some row."""
+    paths = F.filter(F.transform(F.split("image_path", ","), lambda p: F.trim(p)), lambda p: p != "")
+    first = F.trim(F.split("image_path", ",")[0])
+    each = _t(spark, d, "bm25_cache").select(F.explode(paths).alias("p")).distinct()
+    images = each.select(F.md5(F.col("p").cast("binary")).alias("img_hash"), F.col("p").cast("binary").alias("content"))
+    cache = _t(spark, d, "bm25_cache").select(first.alias("p")).filter("p <> ''").distinct().select(F.md5(F.col("p").cast("binary")).alias("img_hash"), F.concat(F.lit("cached "), "p").alias("caption"))
     fresh = lambda df: df.select("img_hash", F.concat(F.lit("fresh "), F.col("img_hash")).alias("caption"))
     return store.with_captions(images, cache, fresh).select("img_hash", "caption")
 
@@ -496,22 +502,34 @@ def heading_sections(spark: SparkSession, d: str) -> DataFrame:
     return chunking.section_ids(rows, "source", "row_id", F.col("h")).groupBy("source", "section").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"))
 
 
-@query()
+@query(rf"""with recursive ln as (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as n from documents where text is not null),
+li as (select doc_id, n, l, {SQL_STRIP.format("l")} as v, starts_with(l, '|') as tab from ln where trim(l) <> ''), it as materialized (select doc_id, row_number() over (partition by doc_id order by n) as i, l, v, tab from li where tab or v <> ''),
+st(doc_id, i, cur, size, full_one, table_one) as (select distinct doc_id, 0::bigint, null::varchar, 0::bigint, null::varchar, null::varchar from it union all
+  select s.doc_id, it.i, case when tab then null when cur is null then v when size + length(v) > 1500 then '... ' || right(cur, 200) || chr(10) || v else cur || chr(10) || v end,
+    case when tab then 0 when cur is not null and size + length(v) > 1500 then 4 + least(200, length(cur)) + length(v) else size + length(v) end, case when tab or size + length(v) > 1500 then cur end, case when tab then l end
+  from st s join it on it.doc_id = s.doc_id and it.i = s.i + 1),
+ch as (select doc_id, i, 1 as k, full_one as t from st union all select doc_id, i, 2, table_one from st union all select doc_id, max(i), 3, max_by(coalesce(cur, chr(0)), i) from st group by 1)
+select doc_id, (row_number() over (partition by doc_id order by i, k) - 1)::int as chunk_index, length(t) as chars, sha256(t) as text_hash from ch where t is not null and t <> chr(0)""")
 def packed_chunks(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents").filter("text is not null")
     made = chunking.chunk_documents(chunking.line_items(docs, "doc_id", "text"))
     return made.select(F.col("source").cast("long").alias("doc_id"), "chunk_index", F.length("text").alias("chars"), F.sha2("text", 256).alias("text_hash"))
 
 
-@query(f"""with c as (select {SQL_BASE.format("source")} as source, page, row_id as chunk_index, coalesce(documents, '') as text from bm25_cache where source is not null and page is not null),
-im as (select source, page, chunk_index as img_idx, coalesce(nullif(text[80:110], ''), '') as anchor from c where chunk_index % 7 = 0),
-p as (select im.source, im.img_idx, c.chunk_index, (im.anchor <> '' and contains(c.text, im.anchor)) as hit from im join c using (source, page)),
-r as (select *, row_number() over (partition by source, img_idx order by hit desc, chunk_index) as n from p), g as (select * from r where n = 1)
-select chunk_index as row_id, count(*) as n_images, string_agg(img_idx::varchar, ',' order by (not hit)::int, img_idx) as images from g group by 1""")
+@query(f"""with c as (select {SQL_BASE.format("source")} as source, coalesce(page, 0) as page, row_id, coalesce(documents, '') as text, coalesce(image_path, '') as image_path from bm25_cache where source is not null),
+im as (select source, page, row_id * 100 + i as img_idx, trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' and not starts_with(x, '--- SOURCE:'))[1]) as anchor, trim(p) as path
+  from (select *, unnest(string_split(image_path, ',')) as p, generate_subscripts(string_split(image_path, ','), 1) - 1 as i from c) where trim(p) <> ''),
+p as (select im.source, im.img_idx, im.path, c.row_id, coalesce(im.anchor <> '' and contains(c.text, im.anchor), false) as hit from im join c using (source, page)),
+r as (select *, row_number() over (partition by source, img_idx order by hit desc, row_id) as n from p), g as (select * from r where n = 1)
+select row_id, count(*) as n_images, string_agg(path, ',' order by (not hit)::int, img_idx) as images from g group by 1""")
 def image_injection(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "bm25_cache").filter("source is not null and page is not null")
-    chunks = rows.select(text.base_name(F.col("source")).alias("source"), "page", F.col("row_id").alias("chunk_index"), F.coalesce("documents", F.lit("")).alias("text"), F.lit("").alias("image_path"))
-    images = chunks.filter("chunk_index % 7 = 0").select("source", "page", F.col("chunk_index").alias("img_idx"), F.substring("text", 80, 31).alias("anchor_text"), F.lit("").alias("summary"), F.col("chunk_index").cast("string").alias("image_path"))
+    """The pictures of every row, anchored by its first line of text, go back to the chunks of their page."""
+    rows = _t(spark, d, "bm25_cache").filter("source is not null")
+    page = rows.select(text.base_name(F.col("source")).alias("source"), F.coalesce("page", F.lit(0)).alias("page"), "row_id", F.coalesce("documents", F.lit("")).alias("text"), "image_path")
+    lines = F.filter(F.split("text", "\n"), lambda x: (F.trim(x) != "") & ~x.startswith("--- SOURCE:"))
+    images = page.select("source", "page", "row_id", F.trim(F.get(lines, F.lit(0))).alias("anchor_text"), F.posexplode(F.split("image_path", ",")).alias("i", "p")).filter(F.trim("p") != "")
+    images = images.select("source", "page", (F.col("row_id") * 100 + F.col("i")).alias("img_idx"), "anchor_text", F.lit("").alias("summary"), F.trim("p").alias("image_path"))
+    chunks = page.select("source", "page", F.col("row_id").alias("chunk_index"), "text", F.lit("").alias("image_path"))
     out = chunking.attach_images(chunks, images).filter("image_path <> ''")
     return out.select(F.col("chunk_index").alias("row_id"), F.size(F.split("image_path", ",")).cast("long").alias("n_images"), F.col("image_path").alias("images"))
 
@@ -584,10 +602,14 @@ def line_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from lodestrata.plans import page_queries  # noqa: F401 - registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from lodestrata.plans import page_queries  # noqa: F401
+
     return dict(ORACLE)
 
 
