@@ -234,6 +234,8 @@ def _only(tokens: Column, vocabulary: list[str]) -> Column:
     return F.filter(tokens, lambda t: t.isin(vocabulary)) if vocabulary else F.array().cast("array<string>")
 
 
-def source_lists(chunks: DataFrame, id_col: str, source: Column) -> DataFrame:
-    """(source, ids, rows): the rows of each source in ascending order."""
-    return chunks.groupBy(source.alias("source")).agg(F.array_sort(F.collect_list(id_col)).alias("ids"), F.count(F.lit(1)).alias("rows"))
+def source_lists(chunks: DataFrame, id_col: str, source: Column, block: int = 100_000) -> DataFrame:
+    """(source, block, ids, rows): the rows of each source in ascending order, in blocks of `block` ids, so that no list
+    grows with the table; a source's lists in the order of their blocks are its whole list."""
+    placed = chunks.select(source.alias("source"), F.col(id_col).alias("id"), F.floor(F.col(id_col) / block).alias("block"))
+    return placed.groupBy("source", "block").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.count(F.lit(1)).alias("rows"))

@@ -14,12 +14,21 @@ TEXT_TYPES = ("TextItem", "SectionHeaderItem", "ListItem")
 TABLE_TYPE = "TableItem"
 
 
-def section_ids(items: DataFrame, key: str, order: str, heading: Column) -> DataFrame:
-    """items with section: a number that grows wherever the heading path changes."""
-    w = Window.partitionBy(key).orderBy(order)
+def section_ids(items: DataFrame, key: str, order: str, heading: Column, block: int = 100_000) -> DataFrame:
+    """items with section: a number that grows wherever the heading path changes, by the whole-number order of a key.
+
+    Changes are counted in blocks of the order, and only one row for each block is ordered within its key, so that a key
+    with a large part of all rows is not one task's."""
+    marked = items.withColumn("_heading", heading).withColumn("_block", F.floor(F.col(order) / block))
+    w = Window.partitionBy(key, "_block").orderBy(order)
     changed = F.coalesce((F.lag("_heading").over(w) != F.col("_heading")).cast("int"), F.lit(0))
-    marked = items.withColumn("_heading", heading).withColumn("_changed", changed)
-    return marked.withColumn("section", F.sum("_changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_heading", "_changed")
+    marked = marked.withColumn("_changed", changed).withColumn("_within", F.sum("_changed").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = marked.groupBy(key, "_block").agg(F.min_by("_heading", order).alias("first"), F.max_by("_heading", order).alias("last"), F.max("_within").alias("n"))
+    v = Window.partitionBy(key).orderBy("_block")
+    start = F.coalesce((F.lag("last").over(v) != F.col("first")).cast("int"), F.lit(0))
+    before = ends.withColumn("_start", start).withColumn("_before", F.sum(F.col("n") + F.col("_start")).over(v.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    both = marked.join(before.select(F.col(key).alias("_key"), F.col("_block").alias("_at"), "_before"), F.col(key).eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_at")))
+    return both.withColumn("section", F.col("_before") + F.col("_within")).drop("_heading", "_block", "_changed", "_within", "_key", "_at", "_before")
 
 
 class _Buffer:

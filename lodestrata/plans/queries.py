@@ -188,11 +188,11 @@ def hybrid_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("query_id").alias("item_id"), F.col("doc_id").alias("row_id"), "source", "page", "rrf_score", "rerank_score", "accepted_by", "final_rank")
 
 
-@query(f"select {SQL_BASE.format('source')} as source, count(*) as n_rows, array_to_string(list_sort(list(row_id)), ',') as row_ids from bm25_cache where source is not null group by 1")
+@query(f"select {SQL_BASE.format('source')} as source, row_id // 100000 as block, count(*) as n_rows, array_to_string(list_sort(list(row_id)), ',') as row_ids from bm25_cache where source is not null group by 1, 2")
 def source_inverted_list(spark: SparkSession, d: str) -> DataFrame:
     chunks = _t(spark, d, "bm25_cache").filter("source is not null")
     lists = bm25.source_lists(chunks, "row_id", text.base_name(F.col("source")))
-    return lists.select("source", F.col("rows").alias("n_rows"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("row_ids"))
+    return lists.select("source", "block", F.col("rows").alias("n_rows"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("row_ids"))
 
 
 @query("select row_id, lower(has_visual) = 'true' as visual, nullif(trim(string_split(image_path, ',')[1]), '') as first_image, len(list_filter(string_split(coalesce(image_path, ''), ','), lambda p: trim(p) <> '')) as n_images from bm25_cache")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import shutil
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators import bm25
+from lodestrata.session import checkpointed
 
 
 def parsed_time(text: Column) -> Column:
@@ -64,20 +64,47 @@ def with_captions(images: DataFrame, cache: DataFrame, caption) -> DataFrame:
     return images.join(known.unionByName(fresh), "img_hash", "left").withColumn("caption", F.coalesce("caption", F.lit("")))
 
 
-class Collections:
-    """Named collections as Parquet folders, partitioned by source, under one root that the cluster shares."""
+class Files:
+    """What is needed of the file system of a path, whichever of Hadoop's it is."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self.root = self.hadoop.Path(root)
+        self.fs = self.root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def names(self, path: str | None = None) -> list[str]:
+        """Names directly under a path, sorted; none if it does not exist."""
+        at = self.hadoop.Path(path) if path else self.root
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(at)) if self.fs.exists(at) else []
+
+    def exists(self, path: str) -> bool:
+        return self.fs.exists(self.hadoop.Path(path))
+
+    def remove(self, path: str) -> None:
+        self.fs.delete(self.hadoop.Path(path), True)
+
+
+class Collections:
+    """Named collections as Parquet folders under one root that the cluster shares, on any file system that Spark reads.
+
+    A collection is partitioned into `buckets` by the hash of the source, so that a source is in one folder and the
+    number of folders does not grow with the sources.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self.files = Files(spark, self.root)
 
     def _path(self, name: str) -> str:
         if not name or "/" in name or name.startswith("."):
             raise ValueError(f"no collection name: {name!r}")
         return f"{self.root}/collection_name={name}"
 
+    def _bucket(self, source: Column) -> Column:
+        return F.pmod(F.xxhash64(source), F.lit(self.buckets)).cast("int")
+
     def names(self) -> list[str]:
-        root = Path(self.root)
-        return sorted(p.name.split("=", 1)[1] for p in root.glob("collection_name=*")) if root.exists() else []
+        return [n.split("=", 1)[1] for n in self.files.names() if n.startswith("collection_name=")]
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self._path(name))
@@ -87,17 +114,22 @@ class Collections:
         fresh = chunks.dropDuplicates([key])
         if name in self.names():
             fresh = fresh.join(self.read(name).select(key), key, "left_anti")
-        fresh.withColumn("_source", F.col("source")).write.mode("append").partitionBy("_source").parquet(self._path(name))
+        fresh.withColumn("_bucket", self._bucket(F.col("source"))).write.mode("append").partitionBy("_bucket").parquet(self._path(name))
 
     def delete_source(self, name: str, source: str) -> None:
-        """Drop one source: only its partition is touched."""
-        for part in Path(self._path(name)).glob("_source=*"):
-            first = self.spark.read.parquet(str(part)).select("source").first()
-            if first is not None and first[0] == source:
-                shutil.rmtree(part)
+        """Drop one source: one job rewrites its bucket, by a dynamic partition overwrite; other buckets stay untouched."""
+        bucket = self.spark.range(1).select(self._bucket(F.lit(source)).alias("b")).first().b
+        path = self._path(name)
+        if not self.files.exists(f"{path}/_bucket={bucket}"):
+            return
+        left = checkpointed(without_source(self.read(name).filter(F.col("_bucket") == bucket), "source", source))
+        if left.isEmpty():
+            self.files.remove(f"{path}/_bucket={bucket}")
+        else:
+            left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
 
     def delete(self, name: str) -> None:
-        shutil.rmtree(self._path(name), ignore_errors=True)
+        self.files.remove(self._path(name))
 
 
 def write_bm25(chunks: DataFrame, id_col: str, text_col: str, root: str) -> None:
@@ -117,19 +149,18 @@ def read_bm25(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, Dat
     return spark.read.parquet(f"{root}/tokens"), spark.read.parquet(f"{root}/corpus"), spark.read.parquet(f"{root}/terms")
 
 
-def missing_paths(required: list[str]) -> list[str]:
-    """Those of the paths that a start needs and that do not exist."""
-    return [p for p in required if not Path(p).exists()]
+def missing_paths(required: list[str], spark: SparkSession | None = None) -> list[str]:
+    """Those of the paths that a start needs and that do not exist: local ones, or with a session those it can reach."""
+    return [p for p in required if not (Files(spark, p).exists(p) if spark else Path(p).exists())]
 
 
-def reset_index(root: str, keep: tuple[str, ...] = ()) -> list[str]:
+def reset_index(spark: SparkSession, root: str, keep: tuple[str, ...] = ()) -> list[str]:
     """Remove everything under an index root but the kept names; refuses roots that are no index folder."""
-    path = Path(root).resolve()
-    if len(path.parts) < 3 or path == Path.home() or not path.is_dir():
+    files = Files(spark, root)
+    path = files.fs.resolvePath(files.root).toUri().getPath() if files.exists(root) else ""
+    if path.count("/") < 2 or path == str(Path.home()) or not files.fs.getFileStatus(files.root).isDirectory():
         raise ValueError(f"not an index folder: {root}")
-    gone = []
-    for p in sorted(path.iterdir()):
-        if p.name not in keep:
-            shutil.rmtree(p) if p.is_dir() else p.unlink()
-            gone.append(p.name)
+    gone = [n for n in files.names() if n not in keep]
+    for n in gone:
+        files.remove(f"{root.rstrip('/')}/{n}")
     return gone

@@ -197,6 +197,19 @@ def test_packing_loses_nothing(texts, most, overlap):
     assert bool(chunks) == bool(said)
 
 
+def test_sections_by_blocks(spark):
+    rnd = random.Random(5)
+    rows = [(k, i, rnd.choice("ab")) for k in "xy" for i in range(40)]
+    want, last = {}, {}
+    for k, i, h in rows:
+        section = want.get((k, i - 1), 0) + (i > 0 and last[k] != h)
+        want[k, i], last[k] = section, h
+    df = spark.createDataFrame(rows, "k string, i long, h string")
+    for block in (7, 100_000):
+        got = chunking.section_ids(df, "k", "i", F.col("h"), block=block)
+        assert got.columns == ["k", "i", "h", "section"] and {(r.k, r.i): r.section for r in got.collect()} == want
+
+
 def test_packing_rules():
     items = [("TextItem", ["A"], 1, "x" * 90), ("TextItem", ["A"], 2, "y" * 30), ("TableItem", ["A"], 3, "| t |"), ("ListItem", ["A", "B"], None, "z"), ("PictureItem", ["A", "B"], 4, "no")]
     got = list(chunking.pack_items(items, 100, 20))
@@ -269,6 +282,11 @@ def test_store_and_stream(spark, tmp_path):
     assert c.names() == ["one"] and c.read("one").count() == 2
     c.delete_source("one", "a.pdf")
     assert [r.source for r in c.read("one").collect()] == ["b.pdf"]
+    few = store.Collections(spark, str(tmp_path / "few"), buckets=1)
+    few.add("one", chunks)
+    few.delete_source("one", "a.pdf")
+    few.delete_source("one", "none.pdf")
+    assert [r.source for r in few.read("one").collect()] == ["b.pdf"]
     chunks.write.parquet(str(tmp_path / "new"))
     for _ in range(2):
         ingest_stream(spark, str(tmp_path / "new"), chunks.schema, c, "two", str(tmp_path / "cp")).awaitTermination()
@@ -276,9 +294,10 @@ def test_store_and_stream(spark, tmp_path):
     store.write_bm25(c.read("two"), "chunk_hash", "documents", str(tmp_path / "root/index"))
     assert spark.read.parquet(str(tmp_path / "root/index/terms")).count() > 0
     assert store.missing_paths([str(tmp_path), "/no/such"]) == ["/no/such"]
-    assert store.reset_index(str(tmp_path / "root"), keep=("index",)) == ["collection_name=one", "collection_name=two"]
+    assert store.missing_paths([str(tmp_path), "/no/such"], spark) == ["/no/such"]
+    assert store.reset_index(spark, str(tmp_path / "root"), keep=("index",)) == ["collection_name=one", "collection_name=two"]
     with pytest.raises(ValueError):
-        store.reset_index("/")
+        store.reset_index(spark, "/")
     with pytest.raises(ValueError):
         c.read("../x")
 
@@ -354,6 +373,13 @@ def test_plans(spark):
     assert "PushedFilters: [" in p and "EqualTo(page,3)]" in p and "ReadSchema: struct<row_id:bigint,source:string,page:int>" in p
 
 
+def test_retrieval_never_shuffles_the_texts(spark):
+    from lodestrata.plans import queries
+
+    p = plan(retrieval.retrieve(*queries._hybrid_inputs(spark, "/root/testdata/sf0.001")))
+    assert "SortMergeJoin" not in p and "BroadcastHashJoin" in p and "BuildRight" in p
+
+
 def test_index_gives_the_same_hits(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"{w} pump valve {i}") for i, w in enumerate("abcdefgh")], "id long, t string")
     queries = spark.createDataFrame([(1, "c pump"), (2, "valve 5")], "q long, t string")
