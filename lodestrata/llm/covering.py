@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.frames import filled
 from lodestrata.llm.shingles import WordHasher, mix, shingle_sets
-from lodestrata.session import checkpointed
+from lodestrata.session import checkpointed, spread
 
 POSITIONS, RADIUS = 11, 3
 RESIDUES = sorted({x * x % POSITIONS for x in range(1, POSITIONS)})
@@ -317,7 +317,7 @@ def near_duplicates(
     """
     bins = POSITIONS * groups
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = texts.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
+    texts = spread(texts.filter(F.col("id").isNotNull() & F.col("text").isNotNull()))
     rows = checkpointed(texts.mapInPandas(filled(_sketches(shingle, bins)), "id long, fp binary, n int, sketch binary"))
     classes = rows.groupBy("fp").agg(F.min("id").alias("rep"))
     members = rows.select("id", "fp").join(classes, "fp").select("id", "rep").distinct()

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.frames import filled
+from lodestrata.session import spread
 
 LANGUAGES = ("en", "de", "fr", "es", "it", "tr")
 # Ways in which a label names one of the languages, after lower-casing and cutting the country.
@@ -257,7 +258,7 @@ def document_languages(
                 at = to
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label_lang": pdf["label_lang"], "lang": langs, "confidence": pd.array(sure, dtype="Float64"), "segments": parts})
 
-    rows = df.select(F.col(id_col).alias("doc_id"), label_language(F.col(label_col)).alias("label_lang"), F.col(text_col).alias("text"))
+    rows = spread(df.select(F.col(id_col).alias("doc_id"), label_language(F.col(label_col)).alias("label_lang"), F.col(text_col).alias("text")))
     kind = df.schema[id_col].dataType.simpleString()
     return rows.mapInPandas(filled(run), f"doc_id {kind}, label_lang string, lang string, confidence double, segments array<struct<line_no: int, end_line: int, lang: string, confidence: double>>")
 

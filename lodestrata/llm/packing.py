@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.frames import filled
-from lodestrata.session import checkpointed
+from lodestrata.session import checkpointed, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -124,7 +124,7 @@ def pack(
     holds more than `capacity`. Null and empty texts take no room: one row with n_tokens 0 and a null container.
     Repeated ids are separate items, null ids are kept; an empty table gives no rows; other columns are ignored.
     """
-    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = spread(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     placed = checkpointed(texts.mapInPandas(filled(_pack(tokenizer_path, capacity, open_containers)), ROW))
     left = placed.filter("left_open is not null").select("container", F.col("left_open").alias("used"))
     count = left.count()  # open_containers for each partition at most

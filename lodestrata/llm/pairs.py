@@ -21,7 +21,7 @@ from lodestrata.llm.frames import filled
 from lodestrata.llm.kernel_language import LANGUAGES, _alphabet, _sums, fit, spectra, unquoted
 from lodestrata.llm.langwords import guess, named_languages, scores
 from lodestrata.llm.refusals import lcs, statement
-from lodestrata.session import checkpointed
+from lodestrata.session import checkpointed, spread
 
 # Sentences that only thank, or only send the reader elsewhere, in the six languages.
 COURTESY = re.compile(r"^\W*(thank you|thanks|danke|vielen dank|merci|gracias|grazie|teşekkür\w*|sorunuz için)\b", re.I)
@@ -291,10 +291,10 @@ def defective_pairs(
     sentence in less than `end_share` of their cases, or if its last word is never seen in one. Repeated rows are each
     classified; rows with a null id are kept with their null; an empty table gives no rows; other columns are ignored.
     """
-    rows = df.select(
+    rows = spread(df.select(
         F.col(id_col).alias("id"), F.col(query_col).alias("query"), F.col(answer_col).alias("answer"),
         (F.col(not_found_col) if not_found_col else F.lit(None).cast("boolean")).alias("nf"),
-    )
+    ))
     kind = df.schema[id_col].dataType.simpleString()
     languages = Languages(_weights(rows, sample_rows))
     first = checkpointed(rows.mapInPandas(filled(_first_pass(languages)), f"id {kind}, defect string, tail array<long>"))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.frames import filled
-from lodestrata.session import checkpointed, stored
+from lodestrata.session import checkpointed, spread, stored
 
 MARKER = re.compile(r"--- SOURCE:.*---\s*")
 TOKEN = re.compile(r"[^\s|]+")
@@ -537,7 +537,7 @@ def repeated_lines(
     totals = totals.withColumn("salts", F.ceil(F.col("rows") / share_rows).cast("int")).withColumn("need", F.greatest(F.lit(float(least_rows)), F.col("rows") * least_share))
     large = F.broadcast(totals.filter("salts > 1").select("src", "salts"))  # at most table / share_rows
     rows = df.select(F.col(id_col).cast("long").alias("id"), src.alias("src"), F.col(source_col).isNotNull().alias("ok"), F.col(text_col).alias("text"))
-    rows = rows.filter("id is not null and ok and text is not null").join(large, "src", "left")
+    rows = spread(rows).filter("id is not null and ok and text is not null").join(large, "src", "left")
     # the 64 ids of a bitmap's word are in one share
     salt = F.coalesce(F.pmod(F.xxhash64(F.shiftright("id", 6)), F.col("salts")), F.lit(0)).cast("int")
     rows = rows.select("id", "src", salt.alias("salt"), "text")

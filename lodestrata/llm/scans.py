@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.frames import filled
 from lodestrata.llm.repeated_lines import Folder, source_key
-from lodestrata.session import checkpointed
+from lodestrata.session import checkpointed, small_side, spread
 
 MARKER = re.compile(r"--- SOURCE:.*---\s*")
 HYPHENS = "-­‐‑‒–¬"
@@ -32,6 +32,10 @@ CONFUSIONS = [
     ("c", "e"), ("e", "c"), ("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("li", "h"), ("l!", "h"), ("l1", "h"), ("h", "li"), ("ii", "u"), ("u", "ii"), ("vv", "w"), ("w", "vv"), ("ri", "n"), ("n", "ri"), ("rr", "n"), ("nn", "m"), ("in", "m"), ("iii", "m"), ("l", "i"), ("i", "l"), ("l", "t"), ("f", "t"), ("t", "f"), ("o", "a"), ("fi", "h"), ("u", "v"), ("v", "u"), ("ğ", "g"), ("g", "ğ"), ("ı", "i"), ("i", "ı"), ("a", "ä"), ("o", "ö"), ("u", "ü"), ("b", "h"), ("h", "b"), ("q", "g"), ("tl", "d"), ("c1", "d"), ("c!", "d"), ("c|", "d"), ("1i", "h"), ("1!", "h"), ("r!", "n"), ("r1", "n"), ("!i", "u"), ("i!", "u"), ("!!", "u"), ("6", "é"), ("r11", "m"),
 ]
 CHEAP = {("l", "t"), ("f", "t"), ("t", "f"), ("o", "a"), ("u", "v"), ("v", "u"), ("a", "ä"), ("o", "ö"), ("u", "ü"), ("b", "h"), ("h", "b")}
+#: The confusions by the first character that is read: (seen, meant, cost).
+BY_FIRST: dict[str, list[tuple[str, str, float]]] = {}
+for _a, _b in CONFUSIONS:
+    BY_FIRST.setdefault(_a[0], []).append((_a, _b, 0.5 if (_a, _b) in CHEAP else 0.3))
 # Words of page lines in the six languages.
 PAGE_WORDS = set("page pages p pg pag pág seite s blatt bl sheet sh sayfa sf yaprak página pagina hoja foglio feuille folio f of von de sur di da aus from vom".split())
 ROMAN = re.compile(r"(?i)(?=[ivxlc])(c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})")
@@ -82,9 +86,8 @@ def confusion_cost(seen: str, word: str, limit: float = 1.0) -> float:
                 continue
             if i < len(seen) and j < len(word) and seen[i] == word[j]:
                 rows[i + 1][j + 1] = min(rows[i + 1][j + 1], at)
-            for a, b in CONFUSIONS:
+            for a, b, step in BY_FIRST.get(seen[i : i + 1], ()):
                 if seen.startswith(a, i) and word.startswith(b, j):
-                    step = 0.5 if (a, b) in CHEAP else 0.3
                     rows[i + len(a)][j + len(b)] = min(rows[i + len(a)][j + len(b)], at + step)
     return rows[-1][-1] if rows[-1][-1] <= limit else inf
 
@@ -363,7 +366,7 @@ def _analysed(
     """(defects, repairs, pages, whole) of scan_defects and repaired_paragraphs: pages(id, src, name, ci, text) are the
     scanned ones, whole(id, line_no, seen, repair) the repairs of words divided at the end of a line."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("_name"), F.col(order_col).cast("long").alias("ci"), F.col(text_col).alias("text"))
-    rows = rows.filter("id is not null and _name is not null and text is not null").withColumn("name", source_key(F.col("_name"))).withColumn("src", F.xxhash64("name")).drop("_name")
+    rows = spread(rows).filter("id is not null and _name is not null and text is not null").withColumn("name", source_key(F.col("_name"))).withColumn("src", F.xxhash64("name")).drop("_name")
     prose = F.regexp_replace("text", r"(?m)^--- SOURCE:.*---\s*$", "")
     long_line = F.col("text").rlike(rf"(?m)^(?!--- SOURCE:)[^\n]{{{widest + 1},}}")
     rows = rows.withColumn("narrow", ~long_line & (F.length(F.trim(prose)) > 0))
@@ -387,12 +390,15 @@ def _analysed(
 
     # one row for each page of a source: the copy with the smallest id stands for those loaded twice
     one = facts.filter("ci is not null").groupBy("src", "ci").agg(F.min_by(F.struct("top_key", "top_word", "body_word"), "id").alias("p"))
-    one = one.join(keys.select("src", F.col("key").alias("k"), "times"), (F.col("p.top_key") == F.col("k")) & (one["src"] == keys["src"]), "left").select(one["src"], "ci", "p", F.coalesce("times", F.lit(0)).alias("times"))
-    after = one.select("src", (F.col("ci") - 1).alias("ci"), F.col("p.top_key").alias("next_key"), F.col("p.top_word").alias("next_top"), F.col("p.body_word").alias("next_body"), (F.col("times") >= 2).alias("next_titled"))
-    prior = one.select("src", (F.col("ci") + 1).alias("ci"), F.col("p.top_key").alias("prev_key"))
-    times = lambda name: keys.select("src", F.col("key").alias(f"{name}_key"), F.col("times").alias(f"{name}_times"))
-    context = facts.select("id", "src", "ci", "top_key", "bottom_key").join(times("top"), ["src", "top_key"], "left").join(times("bottom"), ["src", "bottom_key"], "left")
-    context = context.join(after, ["src", "ci"], "left").join(prior, ["src", "ci"], "left").join(per_source, "src", "left")
+    # pages without a title or an order meet no other: each is joined by a key of its own, so that no task has them all
+    lone = lambda key, own: F.when(key == "", F.concat(F.lit("\n"), own.cast("string"))).otherwise(key)
+    one = one.withColumn("k", lone(F.col("p.top_key"), F.col("ci"))).join(keys.select("src", F.col("key").alias("k"), "times"), ["src", "k"], "left").select("src", "ci", "p", F.coalesce("times", F.lit(0)).alias("times"))
+    after = one.select("src", (F.col("ci") - 1).cast("string").alias("at"), F.col("p.top_key").alias("next_key"), F.col("p.top_word").alias("next_top"), F.col("p.body_word").alias("next_body"), (F.col("times") >= 2).alias("next_titled"))
+    prior = one.select("src", (F.col("ci") + 1).cast("string").alias("at"), F.col("p.top_key").alias("prev_key"))
+    times = lambda name: keys.select("src", F.col("key").alias(f"{name}_at"), F.col("times").alias(f"{name}_times"))
+    context = facts.select("id", "src", F.coalesce(F.col("ci").cast("string"), F.concat(F.lit("\n"), F.col("id").cast("string"))).alias("at"), lone(F.col("top_key"), F.col("id")).alias("top_at"), lone(F.col("bottom_key"), F.col("id")).alias("bottom_at"))
+    context = context.join(times("top"), ["src", "top_at"], "left").join(times("bottom"), ["src", "bottom_at"], "left")
+    context = context.join(after, ["src", "at"], "left").join(prior, ["src", "at"], "left").join(small_side(per_source, broadcast_sources), "src", "left")
     context = context.select(
         "id", "pages", "title_share", "page_forms", "next_key", "next_top", "next_body", F.coalesce("next_titled", F.lit(False)).alias("next_titled"), "prev_key",
         F.coalesce("top_times", F.lit(0)).alias("top_times"), F.coalesce("bottom_times", F.lit(0)).alias("bottom_times"),
