@@ -55,7 +55,7 @@ def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, p: Retri
     """
     found = (candidates_within if within else candidates)(chunks, vectors, queries, p)
     text = chunks.select(F.col("row_id").alias("doc_id"), F.col("documents").alias("text"), "source", "page", "parent_context", "has_visual", "image_path")
-    full = text.filter(F.trim("text") != "").join(small_side(found), "doc_id").join(queries.select("query_id", "query"), "query_id")
+    full = text.filter(F.trim("text") != "").join(small_side(found.join(queries.select("query_id", "query"), "query_id")), "doc_id")
     scored = full.withColumn("rerank_score", fusion.lexical_overlap(technical_tokens(F.col("query")), technical_tokens(F.col("text"))))
     return fusion.rerank_decision(scored, p.min_score, p.rrf_floor, p.fallback, p.context)
 
