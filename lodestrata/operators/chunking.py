@@ -145,6 +145,16 @@ def large_images(images: DataFrame, width: str, height: str, least: int = 80) ->
     return images.filter((F.col(width) >= least) & (F.col(height) >= least))
 
 
+def visual_regions(images: DataFrame, drawings: DataFrame, blocks: DataFrame, most_drawings: int) -> DataFrame:
+    """(page, x0, y0, x1, y1): what may belong to a figure, for merge_boxes. Pictures count if both sides exceed 50,
+    drawings if a side exceeds 5 and the page has at most `most_drawings`, blocks of text if they are shorter than 200."""
+    box = ["page", "x0", "y0", "x1", "y1"]
+    wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    crowded = drawings.groupBy("page").count().filter(F.col("count") > most_drawings).select("page")
+    lines = drawings.join(crowded, "page", "left_anti").filter((wide > 5) | (high > 5))
+    return images.filter((wide > 50) & (high > 50)).select(box).unionByName(lines.select(box)).unionByName(blocks.filter(F.length("text") < 200).select(box))
+
+
 # --- lexicon pages -------------------------------------------------------------------------------------------------
 
 # What marks a line of a page as running matter.

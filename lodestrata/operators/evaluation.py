@@ -69,6 +69,13 @@ def style_passed(strict: Column, base: Column, compliant: Column, style: Column)
     return base & (~F.coalesce(strict, F.lit(False)) | (compliant & style))
 
 
+def case_report(nth: Column, passed: Column, query: Column, figures: dict[str, Column]) -> Column:
+    """The lines that report one case: number and outcome, query, and a line for each figure."""
+    head = F.concat(F.lit("["), nth.cast("string"), F.lit("] "), F.when(passed, "PASS").otherwise("FAIL"))
+    lines = [F.concat(F.lit(f"{name}: "), F.coalesce(value.cast("string"), F.lit("-"))) for name, value in figures.items()]
+    return F.concat_ws("\n", head, F.concat(F.lit("Query: "), F.coalesce(query, F.lit(""))), *lines)
+
+
 def summary(results: DataFrame, keys: list[str], rates: dict[str, Column], passed: Column, rollup: bool = False) -> DataFrame:
     """Cases, passed cases and mean rates, rounded, by the keys; with `rollup` also their totals."""
     grouped = results.rollup(*keys) if rollup else results.groupBy(*keys)

@@ -17,8 +17,10 @@ from lodestrata.session import checkpointed
 #: A model: takes a DataFrame with a prompt column and returns it with an answer column.
 Model = Callable[[DataFrame], DataFrame]
 NOTHING_FOUND = "Information not found in provided documents."
-# What the templates allow; characters of context.
-BUDGETS = {"procedure": 5500, "descriptive": 4500, "safety": 7000, "general": 6000}
+# What the templates allow: characters of context, tokens of an answer, texts of the context.
+BUDGETS = {"safety": 5500, "procedure": 4500, "descriptive": 7000, "general": 6000}
+MOST_TOKENS = {"safety": 768, "procedure": 768, "descriptive": 1024, "general": 1024}
+TEXTS = {"safety": 3, "procedure": 3, "descriptive": 3, "general": 3}
 
 PROMPTS = {
     "rewrite": "Rewrite the question so that it stands alone.\nConversation:\n{history}\nQuestion: {query}",
@@ -57,14 +59,19 @@ def _only_where(df: DataFrame, condition: Column, step: Callable[[DataFrame], Da
     return checkpointed(done.drop("_yes"))
 
 
-def context_limit(template: Column) -> Column:
-    kind = F.lower(F.coalesce(template, F.lit("general")))
-    out = F.lit(BUDGETS["general"])
-    for name, size in BUDGETS.items():
-        out = F.when(kind == name, size).otherwise(out)
+def template_value(template: Column, values: dict[str, int]) -> Column:
+    """The value of a template, without regard to letter case and blanks; that of general for any other."""
+    kind = F.lower(F.trim(F.coalesce(template, F.lit("general"))))
+    out = F.lit(values["general"])
+    for name, value in values.items():
+        out = F.when(kind == name, value).otherwise(out)
     return out
 
 
+def context_limit(template: Column) -> Column:
+    return template_value(template, BUDGETS)
+
+
 def prepared(questions: DataFrame, sources: DataFrame, model: Model, p: AnswerParams) -> DataFrame:
     """questions(query_id, query, history, template_type, strict_mode, last_context) with route, source_filter and the
     standalone query. A given template means search without asking; a question without history is not rewritten."""

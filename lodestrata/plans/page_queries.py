@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import text
 from lodestrata.operators import answers, bm25, chunking, evaluation
+from lodestrata.plans import answer
 from lodestrata.plans.queries import SQL_CLAIM, SQL_GROUND, SQL_IN, SQL_INSTRUCTION, SQL_NORM, SQL_SENTENCES, SQL_STRIP, SQL_STYLE_MARKERS, SQL_TOKENS, SQL_UNITS_OF, SQL_WORDS, _t, _wide, query
 
 SQL_LINES = "ln as (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) - 1 as n from documents where text is not null)"
@@ -166,6 +167,22 @@ def mode_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return modes.select("result_id", "strict", evaluation.style_passed(F.col("strict"), F.col("content"), F.col("compliant"), F.col("style")).alias("passed"))
 
 
+SQL_KIND = "case lower(trim(coalesce(template_type, ''))) when 'safety' then {} when 'procedure' then {} when 'descriptive' then {} else {} end"
+
+
+@query(f"select result_id, {SQL_KIND.format(5500, 4500, 7000, 6000)} as chars, {SQL_KIND.format(768, 768, 1024, 1024)} as tokens, {SQL_KIND.format(3, 3, 3, 3)} as texts from faithfulness_results")
+def template_limits(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("template_type")
+    limits = {"chars": answer.BUDGETS, "tokens": answer.MOST_TOKENS, "texts": answer.TEXTS}
+    return _t(spark, d, "faithfulness_results").select("result_id", *[answer.template_value(kind, v).alias(n) for n, v in limits.items()])
+
+
+@query("""select result_id, '[' || result_id || '] ' || case when coalesce(passed, false) then 'PASS' else 'FAIL' end || chr(10) || 'Query: ' || coalesce(query, '') || chr(10) || 'Source hit: ' || coalesce(source_hit::varchar, '-') || chr(10) || 'Context: ' || coalesce(context_length::varchar, '-') as report from faithfulness_results""")
+def case_reports(spark: SparkSession, d: str) -> DataFrame:
+    figures = {"Source hit": F.col("source_hit"), "Context": F.col("context_length")}
+    return _t(spark, d, "faithfulness_results").select("result_id", evaluation.case_report(F.col("result_id"), F.coalesce("passed", F.lit(False)), F.col("query"), figures).alias("report"))
+
+
 # --- retrieval within sources ----------------------------------------------------------------------------------------
 
 _TOK = SQL_TOKENS

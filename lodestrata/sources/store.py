@@ -56,6 +56,11 @@ def without_file(keys: DataFrame, filename: str) -> DataFrame:
     return keys.filter(~F.col("key").startswith(filename + "::"))
 
 
+def save_checkpoints(keys: DataFrame, path: str) -> None:
+    """The keys as JSON lines, sorted over all files."""
+    keys.select("key").distinct().orderBy("key").write.mode("overwrite").json(path)
+
+
 def with_captions(images: DataFrame, cache: DataFrame, caption) -> DataFrame:
     """images(img_hash, …) with captions: from the cache, and from the model `caption` (DataFrame to DataFrame with
     img_hash, caption) only for those that it lacks."""

@@ -460,3 +460,32 @@ def test_filtered_retrieval_equals_retrieval_in_the_filtered_sources(spark):
         mine = vectors.join(own.select("row_id"), "row_id", "left_semi")
         want |= {key(r) for r in retrieval.candidates(own, mine, queries.filter(F.col("source_filter") == name)).collect()}
     assert got == want and want
+
+
+def test_service(spark, tmp_path):
+    from lodestrata.plans import service
+
+    for header, token, status in ((None, "", 503), ("Basic x", "x", 401), ("Bearer y", "x", 401), (None, "x", 401)):
+        with pytest.raises(service.Refused) as e:
+            service.check_token(header, token)
+        assert e.value.status == status
+    service.check_token("Bearer x ", " x")
+    answer_ = lambda q: q.select("query_id", "query", "history", "template_type", "strict_mode", "last_context")
+    asked = {"query": "how?", "collection_name": "c", "history": [{"role": "user", "content": "a"}, {"role": "bot", "content": "b", "context_text": "t"}, {"role": "user", "content": None}]}
+    got = service.ask(spark, asked, "Bearer x", "x", [str(tmp_path)], answer_)
+    assert got == {"query_id": 0, "query": "how?", "history": "User: a\nAssistant: b", "template_type": "General", "strict_mode": False, "last_context": "t"}
+    with pytest.raises(service.Refused, match="missing"):
+        service.ask(spark, asked, "Bearer x", "x", ["/no/such"], answer_)
+    with pytest.raises(service.Refused, match="query"):
+        service.requests(spark, [{"collection_name": "c"}])
+    assert service.health("m", batch=8) == {"status": "ok", "model": "m", "batch": 8}
+
+
+def test_visual_regions_and_saved_keys(spark, tmp_path):
+    box = "page long, x0 double, y0 double, x1 double, y1 double"
+    images = spark.createDataFrame([(1, 0.0, 0.0, 60.0, 60.0), (1, 0.0, 0.0, 60.0, 50.0)], box)
+    drawings = spark.createDataFrame([(1, 0.0, 0.0, 6.0, 1.0), (1, 0.0, 0.0, 5.0, 5.0), (2, 0.0, 0.0, 9.0, 9.0), (2, 0.0, 0.0, 9.0, 9.0), (2, 0.0, 0.0, 9.0, 9.0)], box)
+    blocks = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0, "x"), (1, 0.0, 0.0, 2.0, 2.0, "x" * 200)], box + ", text string")
+    assert sorted(r.x1 for r in chunking.visual_regions(images, drawings, blocks, 2).collect()) == [1.0, 6.0, 60.0]
+    store.save_checkpoints(spark.createDataFrame([("b",), ("a",), ("b",)], "key string"), str(tmp_path / "keys"))
+    assert [r.key for r in spark.read.json(str(tmp_path / "keys")).collect()] == ["a", "b"]
