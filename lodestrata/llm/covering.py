@@ -347,9 +347,9 @@ def near_duplicates(
     if not hot.isEmpty():
         own = hot.join(reps, "id").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("blk", o).alias("i"), F.greatest("blk", o).alias("j")))
-        spread = own.select("key", "size", "id", "n", "sketch", "blk", F.explode(cells).alias("c")).select("key", "c.i", "c.j", (F.col("c.i") != F.col("blk")).cast("int").alias("second"), "id", "n", "sketch")
-        spread = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "second")
-        close = close.unionByName(spread.mapInPandas(filled(_cell_pairs(bins, threshold)), "a long, b long")).distinct()
+        divided = own.select("key", "size", "id", "n", "sketch", "blk", F.explode(cells).alias("c")).select("key", "c.i", "c.j", (F.col("c.i") != F.col("blk")).cast("int").alias("second"), "id", "n", "sketch")
+        divided = divided.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "second")
+        close = close.unionByName(divided.mapInPandas(filled(_cell_pairs(bins, threshold)), "a long, b long")).distinct()
     close = checkpointed(close)
 
     ids = checkpointed(close.select(F.explode(F.array("a", "b")).alias("id")).distinct())
