@@ -70,9 +70,9 @@ def small_side(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its files give fewer tasks than there are; otherwise as it is."""
+    """df over all cores where its files give tasks for less than half of them; otherwise as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
 def ship_package(spark: SparkSession) -> None:
