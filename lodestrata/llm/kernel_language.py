@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.frames import filled
+from lodestrata.llm.langwords import guess
 from lodestrata.session import spread
 
 LANGUAGES = ("en", "de", "fr", "es", "it", "tr")
@@ -202,15 +203,21 @@ def segments(score: np.ndarray, letters: np.ndarray, switch: float, least: int)
 
 
 def label_language(label: Column) -> Column:
-    """The language that a label names, null if none or several: spelling, country and letter case do not matter."""
-    name = F.regexp_replace(F.lower(F.trim(label)), r"[-_].*$", "")
+    """The language that a label names, null if none or several: spelling, country and letter case do not matter. A part
+    of two capitals after the first is a country (de-IT), other parts may name a further language (de-it)."""
     pairs = [F.lit(x) for lang, names in LABELS.items() for n in names.split() for x in (n, lang)]
-    return F.try_element_at(F.create_map(*pairs), name)
+    named = lambda part: F.try_element_at(F.create_map(*pairs), F.lower(part))
+    parts = F.split(F.trim(label), "[-_]")
+    more = F.filter(F.slice(parts, 2, 9), lambda p: ~p.rlike("^[A-Z]{2}$"))
+    first = named(F.get(parts, F.lit(0)))
+    return F.when(~F.exists(more, lambda p: F.coalesce(named(p) != first, F.lit(False))), first)
 
 
 def train(df: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int = 250, lines_each: int = 6) -> np.ndarray:
     """Fit on at most `per_language` labelled documents of each language (the smallest hashes of their ids) and
-    `lines_each` of their lines, each of at least 30 characters. Wrong labels among them are outvoted."""
+    `lines_each` of their lines, each of at least 30 characters. Wrong labels among them are outvoted. Where the labels
+    name fewer than two languages, function words label the lines of as many documents; with one language in all, or
+    none, every text is taken for it, or for the first of LANGUAGES."""
     from pyspark.sql import Window
 
     ids = df.select(F.col(id_col).alias("id"), label_language(F.col(label_col)).alias("label")).filter("label is not null and id is not null")
@@ -222,9 +229,15 @@ def train(df: DataFrame, id_col: str, text_col: str, label_col: str, per_languag
     rows = sorted(((r.id, r.label, r.lines) for r in sample.collect()), key=lambda r: (r[1], r[0]))
     strings = [x for _, _, ls in rows for x in ls]
     labels = [label for _, label, ls in rows for _ in ls]
-    if len(set(labels)) < 2:
-        raise ValueError("the labelled rows name fewer than two languages")
-    return fit(strings, labels)
+    if len(set(labels)) < 2:  # unlabelled, or one language only: lines whose function words leave no doubt
+        some = texts.orderBy(F.xxhash64("id"), "id", "text").limit(per_language * len(LANGUAGES)).select(F.slice(lines, 1, lines_each).alias("lines"))
+        each = [(x, lang) for r in some.collect() for x in r.lines if (lang := guess(x, 2.0, 2.0))]
+        strings, labels = [x for x, _ in each] + strings, [lang for _, lang in each] + labels
+    if len(set(labels)) > 1:
+        return fit(strings, labels)
+    dense = np.zeros((SIZE + 1, len(LANGUAGES)), dtype=np.float32)  # all there is evidence for is one language, or none
+    dense[SIZE] = [1.0 if x in labels else -1.0 for x in LANGUAGES]
+    return dense
 
 
 def document_languages(

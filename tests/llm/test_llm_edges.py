@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.automaton import leaks
 from lodestrata.llm.covering import near_duplicates, similar_pairs
 from lodestrata.llm.curves import nearest_vectors
-from lodestrata.llm.kernel_language import document_languages, fit
+from lodestrata.llm.kernel_language import document_languages, fit, label_language
 from lodestrata.llm.packing import pack
 from lodestrata.llm.pairs import defective_pairs
 from lodestrata.llm.repeated_lines import fold_token, folded_cost, remove_lines, repeated_lines
@@ -124,3 +124,15 @@ def test_variants_count_together_and_sources_are_divided(spark, share_rows):
     out = repeated_lines(df, "i", "t", "s", share_rows=share_rows)
     assert sorted(map(tuple, out.filter("line_no = 2").collect())) == [(i, 2) for i in range(12)]
     assert repeated_lines(df.filter("i > 3"), "i", "t", "s", share_rows=share_rows).filter("line_no = 2").isEmpty()  # 8 of 41
+
+
+def test_labels_and_corpora_without_labels(spark):
+    labels = {"de-DE": "de", "fr_CA": "fr", "de-en": None, "de-IT": "de", "English": "en", "en-gb": "en", "mul": None, "": None, " TR ": "tr"}
+    df = spark.createDataFrame([(k,) for k in labels], "l string")
+    assert {r.l: r.v for r in df.select("l", label_language(F.col("l")).alias("v")).collect()} == labels
+    texts = [(i, f"The pump is near the door and it must not be opened before the valve {i}.") for i in range(20)] + [(100 + i, f"Die Pumpe ist neben der Tür und darf nicht vor dem Ventil {i} geöffnet werden.") for i in range(20)]
+    none = spark.createDataFrame([(i, t, None) for i, t in texts], "i long, t string, l string")
+    got = {r.doc_id: r.lang for r in document_languages(none, "i", "t", "l").collect()}
+    assert {got[i] for i in range(20)} == {"en"} and {got[100 + i] for i in range(20)} == {"de"}
+    one = spark.createDataFrame([(i, t, "en") for i, t in texts[:20]], "i long, t string, l string")
+    assert {r.lang for r in document_languages(one, "i", "t", "l").collect()} == {"en"}
