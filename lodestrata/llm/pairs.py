@@ -59,10 +59,9 @@ def is_copy(query: str, answer: str) -> bool:
     q, a = _words(query), _words(LEAD_INS.sub("", answer))
     if len(q) < 2 or not a:
         return False
-    have = Counter(q)
-    own = sum(1 for w in a if w in have) / len(a)
-    cover = sum(1 for w in have if w in set(a)) / len(have)
-    if cover < 0.75 or own < 0.7:
+    have, said = set(q), set(a)
+    own = sum(w in have for w in a) / len(a)
+    if own < 0.7 or len(have & said) < 0.75 * len(have):
         return False
     pairs = set(zip(q, q[1:]))
     contained = sum(p in pairs for p in zip(a, a[1:])) / max(1, len(a) - 1)
