@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.frames import filled
+from lodestrata.llm.frames import filled, sampled
 from lodestrata.session import checkpointed
 
 ENTRY = np.dtype([("id", "<i8"), ("sim", "<f4")])
@@ -285,7 +285,7 @@ def nearest_vectors(
     asked = max(probes, math.ceil(probes * (cells / full_cells) ** 0.75))
     c = np.zeros((1, dim), np.float32)
     if cells > 1:
-        sample = reps.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(max(20_000, 20 * cells)).collect()
+        sample = sampled(reps.select("id", "v"), "id", max(20_000, 20 * cells), n).collect()
         c = centres(_matrix([bytes(r.v) for r in sample], dim), cells, axes, bits, seed)
     placed = reps.mapInPandas(filled(_cells(c, asked)), "cell int, asks int, id long, v binary, more array<long>")
     placed = placed.repartition(cells, "cell").sortWithinPartitions("cell", "asks", "id")

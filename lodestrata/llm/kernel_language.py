@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.frames import filled
+from lodestrata.llm.frames import filled, sampled
 from lodestrata.llm.langwords import guess
 from lodestrata.session import spread
 
@@ -230,7 +230,7 @@ def train(df: DataFrame, id_col: str, text_col: str, label_col: str, per_languag
     strings = [x for _, _, ls in rows for x in ls]
     labels = [label for _, label, ls in rows for _ in ls]
     if len(set(labels)) < 2:  # unlabelled, or one language only: lines whose function words leave no doubt
-        some = texts.orderBy(F.xxhash64("id"), "id", "text").limit(per_language * len(LANGUAGES)).select(F.slice(lines, 1, lines_each).alias("lines"))
+        some = sampled(texts, "id", per_language * len(LANGUAGES), texts.count(), "text").select(F.slice(lines, 1, lines_each).alias("lines"))
         each = [(x, lang) for r in some.collect() for x in r.lines if (lang := guess(x, 2.0, 2.0))]
         strings, labels = [x for x, _ in each] + strings, [lang for _, lang in each] + labels
     if len(set(labels)) > 1:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.frames import filled
+from lodestrata.llm.frames import filled, sampled
 from lodestrata.llm.kernel_language import LANGUAGES, _alphabet, _sums, fit, spectra, unquoted
 from lodestrata.llm.langwords import guess, named_languages, scores
 from lodestrata.llm.refusals import lcs, statement
@@ -284,7 +284,7 @@ def defective_pairs(
 
     The first of these that holds is given. Null and blank answers are empty; a null query is compared with nothing; a
     null flag takes an answer that nothing was found for right. The classifier of languages is fitted on those of `sample_rows`
-    rows (the smallest hashes of their ids) whose function words tell their language; if these are in fewer than two
+    rows (by the hashes of their ids) whose function words tell their language; if these are in fewer than two
     languages, function words judge all. An answer without final stop is truncated if its last
     words, the longest of five to one of them seen at least `least_seen` times in closed sentences of the table, end a
     sentence in less than `end_share` of their cases, or if its last word is never seen in one. Repeated rows are each
@@ -313,6 +313,6 @@ def defective_pairs(
 
 
 def _weights(rows: DataFrame, sample_rows: int) -> np.ndarray | None:
-    sample = rows.select("id", "query", "answer").orderBy(F.xxhash64("id"), "id", "query", "answer").limit(sample_rows).collect()
+    sample = sampled(rows.select("id", "query", "answer"), "id", sample_rows, rows.count(), "query", "answer").collect()
     strings, labels = self_labelled([t for r in sample for t in (r.query or "", prose_of(visible(r.answer))) if t])
     return fit(strings, labels) if len(set(labels)) > 1 else None
