@@ -4,8 +4,10 @@ import hashlib
 import json
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -186,6 +188,31 @@ def test_knn_passes_agree(spark):
     assert a == b and len(a) == 150 and all(r[0] == r[1] for r in a if r[3] == 0)
 
 
+def test_neighbours_of_many_queries_in_little_memory():
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(3000, 8)).astype(np.float32)
+    v[1500:] = v[:1500]  # ties
+    ids = rng.permutation(3000)
+    unit = v / np.sqrt((v.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+    scan = knn._scan(np.arange(3000), unit, 15, 6)
+    batches = [pd.DataFrame({"id": ids[a : a + 1500], "v": list(v[a : a + 1500])}) for a in (0, 1500)]
+    tracemalloc.start()
+    got = pd.concat(list(scan(iter(batches))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # all distances of a batch take 36 MB, several times
+    dist = np.round(1 - unit @ unit.T, 6) + 0.0
+    best = got.sort_values(["query_id", "distance", "id"]).groupby("query_id").head(15)
+    assert best["id"].to_numpy().reshape(3000, 15).tolist() == [ids[np.lexsort((ids, d))[:15]].tolist() for d in dist]
+
+
+def test_neighbours_with_not_a_number_come_last(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    got = [(r.query_id, r.id, str(r.distance)) for r in knn.knn_topk(df, "id", "v", df, "id", "v", k=2, dim=2).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, "0.0"), (1, 2, "1.0"), (2, 2, "0.0"), (2, 1, "1.0"), (3, 1, "nan"), (3, 2, "nan")]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab \n", max_size=40), max_size=25), st.integers(5, 60), st.integers(1, 10))
 def test_packing_loses_nothing(texts, most, overlap):
