@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import heading_path, merged_paths
+from lodestrata.functions.text import heading_path, let, merged_paths
 
 TEXT_TYPES = ("TextItem", "SectionHeaderItem", "ListItem")
 TABLE_TYPE = "TableItem"
@@ -165,11 +165,13 @@ POS = rf"\((?:{'|'.join(POS_TAGS)})\)"
 
 
 def unwanted_line(text: Column) -> Column:
-    up = F.upper(F.trim(F.coalesce(text, F.lit(""))))
-    hit = up == ""
-    for phrase in RUNNING:
-        hit = hit | up.contains(phrase)
-    return hit | up.rlike(r"\b\d{4}-\d{2}-\d{2}\b|ISSUE \d+|PAGE [A-Z0-9-]+")
+    def hit(up: Column) -> Column:
+        found = up == ""
+        for phrase in RUNNING:
+            found = found | up.contains(phrase)
+        return found | up.rlike(r"\b\d{4}-\d{2}-\d{2}\b|ISSUE \d+|PAGE [A-Z0-9-]+")
+
+    return let(F.upper(F.trim(F.coalesce(text, F.lit("")))), hit)
 
 
 def columns_of(words: DataFrame, height: Column, first: float = 140, second: float = 265, margin: float = 0.08) -> DataFrame:
@@ -222,8 +224,15 @@ def parsed_entries(entries: DataFrame) -> DataFrame:
 def lexicon(rows: DataFrame) -> DataFrame:
     """(keyword, forms, notes): the forms of each keyword in order of their entries, its notes joined by spaces."""
     ordered = F.array_sort(F.collect_list(F.struct("entry", "word_form", "pos", "is_approved", "alternatives", "meaning")))
-    notes = rows.filter("note is not null").select("keyword", "entry", "note").distinct().groupBy("keyword").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry", "note"))), lambda x: x["note"]), " ").alias("notes"))
-    return rows.groupBy("keyword").agg(ordered.alias("forms")).join(notes, "keyword", "left")
+    # a set hashes its rows, where array_distinct would compare each with all others
+    notes = F.array_sort(F.collect_set(F.when(F.col("note").isNotNull(), F.struct("entry", "note"))))
+    made = rows.groupBy("keyword").agg(ordered.alias("forms"), notes.alias("notes"))
+    return made.withColumn("notes", F.when(F.size("notes") > 0, F.array_join(F.transform("notes", lambda x: x["note"]), " ")))
+
+
+def form_entries(forms: str) -> Column:
+    """The first form of each entry, of forms in order of their entries."""
+    return F.filter(forms, lambda x, i: ~F.get(F.col(forms), i - 1)["entry"].eqNullSafe(x["entry"]))
 
 
 def font_sections(spans: DataFrame, size: float = 11, shortest: int = 20, default: str = "General") -> DataFrame:

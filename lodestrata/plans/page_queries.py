@@ -45,13 +45,16 @@ p as (select doc_id as page, n as line, case when opens then word || ' (' || pos
 
 
 def _entry_lines(spark: SparkSession, d: str) -> DataFrame:
-    words = _lines(spark, d).select("doc_id", "n", F.filter(F.split(F.regexp_replace("l", "[^A-Za-z ]", " "), " "), lambda x: x != "").alias("ws")).filter(F.size("ws") > 0)
+    # a generator's output is computed once: filters on it are not pushed into it
+    ws = F.filter(F.split(F.regexp_replace("l", "[^A-Za-z ]", " "), " "), lambda x: x != "")
+    words = _lines(spark, d).select("doc_id", "n", F.explode(F.array(ws)).alias("ws")).filter(F.size("ws") > 0)
     first = F.get("ws", F.lit(0))
     opens = first.rlike("^[A-Z]") & (F.length(first) > 1)
     word = F.when(F.length(first) > 6, F.upper(first)).otherwise(first)
     pos = F.element_at(F.array(*map(F.lit, chunking.POS_TAGS)), (F.length(first) % 9 + 1).cast("int"))
+    c1 = F.when(opens, F.concat(word, F.lit(" ("), pos, F.lit(")"))).otherwise(F.upper(first))
     c2 = F.concat(F.array_join(F.slice("ws", 2, 4), " "), F.when(opens & (F.length(word) % 2 == 0), " USE (v)").otherwise(""))
-    return words.select(F.col("doc_id").alias("page"), F.col("n").alias("line"), F.when(opens, F.concat(word, F.lit(" ("), pos, F.lit(")"))).otherwise(F.upper(first)).alias("c1"), c2.alias("c2"))
+    return words.select(F.col("doc_id").alias("page"), F.col("n").alias("line"), F.inline(F.array(F.struct(c1.alias("c1"), c2.alias("c2")))))
 
 
 SQL_RUNNING_LINE = "(trim(u) = '' or " + " or ".join(f"contains(u, '{x}')" for x in chunking.RUNNING) + r" or regexp_matches(u, '\b\d{4}-\d{2}-\d{2}\b|ISSUE \d+|PAGE [A-Z0-9-]+'))"
@@ -77,12 +80,10 @@ r as (select entry, lower(word) as keyword, pos, ok, case when not ok then alts
 @query(SQL_PARSED + " select keyword, sum(len(forms))::bigint as n_forms, count(*) filter (where ok) as approved, string_agg(array_to_string(alts, ';'), '|' order by entry) as alternatives, md5(coalesce(string_agg(note, ' ' order by entry), '')) as notes_hash from r group by 1")
 def dictionary_keywords(spark: SparkSession, d: str) -> DataFrame:
     rows = chunking.parsed_entries(chunking.lexicon_entries(_entry_lines(spark, d)))
-    made = chunking.lexicon(rows)
-    entries = F.array_sort(F.array_distinct(F.transform("forms", lambda f: F.struct(f["entry"].alias("entry"), f["is_approved"].alias("ok"), F.array_join(f["alternatives"], ";").alias("alts")))))
-    each = made.withColumn("e", entries)
+    each = chunking.lexicon(rows).withColumn("e", chunking.form_entries("forms"))
     return each.select(
-        "keyword", F.size("forms").cast("long").alias("n_forms"), F.size(F.filter("e", lambda x: x["ok"])).cast("long").alias("approved"),
-        F.array_join(F.transform("e", lambda x: x["alts"]), "|").alias("alternatives"), F.md5(F.coalesce("notes", F.lit("")).cast("binary")).alias("notes_hash"),
+        "keyword", F.size("forms").cast("long").alias("n_forms"), F.size(F.filter("e", lambda x: x["is_approved"])).cast("long").alias("approved"),
+        F.array_join(F.transform("e", lambda x: F.array_join(x["alternatives"], ";")), "|").alias("alternatives"), F.md5(F.coalesce("notes", F.lit("")).cast("binary")).alias("notes_hash"),
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import hashing, models, text
 from lodestrata.operators import answers, bm25, chunking, evaluation, fusion, knn, querying
-from lodestrata.plans import answer, ingest, retrieval
+from lodestrata.plans import answer, ingest, page_queries, retrieval
 from lodestrata.sources import readers, store
 from lodestrata.streaming.ingest import event_windows, ingest_stream
 
@@ -270,6 +270,24 @@ def test_lexicon_pages(spark):
     assert got["utilize"].forms[0].alternatives == ["USE (v)"] and not got["utilize"].forms[0].is_approved and got["big"].notes == "Many words"
 
 
+def test_lexicon_with_a_frequent_keyword(spark):
+    n = 20_000
+    rows = spark.range(n).select(
+        F.col("id").alias("entry"), F.lit("stop").alias("keyword"), F.explode(F.array(F.lit("STOP"), F.lit("STOPS"))).alias("word_form"), F.lit("v").alias("pos"), (F.col("id") % 2 == 0).alias("is_approved"),
+        F.array(F.col("id").cast("string")).alias("alternatives"), F.lit("m").alias("meaning"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("n"), F.col("id"))).alias("note"),
+    )
+    made = chunking.lexicon(rows)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = made.withColumn("e", chunking.form_entries("forms")).select("notes", F.size("forms").alias("forms"), F.col("e.entry").alias("entries")).collect()
+    assert [(r.forms, r.entries, r.notes) for r in got] == [(2 * n, list(range(n)), " ".join(f"n{i}" for i in range(0, n, 4)))]
+
+
+def test_dictionary_keywords_compares_no_entry_with_all_others(spark):
+    made = page_queries.dictionary_keywords(spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct(transform(" not in plan and "collect_set" in plan
+
+
 def test_font_sections_and_boxes(spark):
     spans = spark.createDataFrame([("s", 0, "An early line that is long enough", 9, False), ("s", 1, "Head", 14, False), ("s", 2, "body text that is", 9, False), ("s", 3, "long enough", 9, False), ("s", 4, "Bold", 9, True), ("s", 5, "short", 9, False)], "source string, span int, text string, size int, bold boolean")
     got = [(r.heading, r.text) for r in chunking.font_sections(spans).orderBy("section").collect()]
